@@ -1,4 +1,4 @@
-"""All queries of the core library, by name."""
+"""All queries of the core library, by name, with the SQL that another engine checks them by."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from boxlake.plans import evaluation_queries
+
+_PARTS = (evaluation_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

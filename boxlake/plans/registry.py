@@ -22,11 +22,11 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.oracle: dict[str, str] = {}
 
-    def add(self, name: str, tables: str, build: Callable[..., DataFrame], sql: str | None = None) -> None:
+    def add(self, name: str, tables: str, build: Callable[..., DataFrame], sql: str | None = None, places: int = 6) -> None:
         """build gets a DataFrame for each of the (space-separated) fixture tables."""
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(*(fixture(spark, sf_dir, t) for t in tables.split())))
+            return rounded(build(*(fixture(spark, sf_dir, t) for t in tables.split())), places)
 
         self.queries[name] = query
         if sql:

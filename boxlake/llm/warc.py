@@ -2,8 +2,8 @@
 
 Each archive file holds up to ``FILE_BYTES`` of records. Its dictionary is made from the records it is
 to hold and stands in a leading skippable frame (magic 0x184D2A5D); each record is a Zstandard frame
-of its own. Files are named by content, written under another name and then renamed, so a task that
-runs again leaves the same file.
+of its own. Files are named by their task's partition and place in it, written under another name and
+then renamed, so a task that runs again replaces its files; what is read back are the manifest's.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the smallest page_id is the
 response and the others revisit it. Defined results: a null html is an empty payload; a null url leaves
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,9 +113,9 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _writer(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def put(fs, base: str, records: list[bytes]) -> tuple[str, int, int]:
+    def put(fs, base: str, records: list[bytes], place: int) -> tuple[str, int, int]:
         content = archive(records)
-        path = f"{base}/{hashlib.sha256(content).hexdigest()}.warc.zst"
+        path = f"{base}/part-{TaskContext.get().partitionId():06d}-{place:06d}.warc.zst"
         part = f"{path}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(part) as f:
             f.write(content)
@@ -132,10 +133,10 @@ def _writer(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 held.append(warc_record(page_id, url, (html or "").encode(), refers_to, revisit, date))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
-                    done.append(put(fs, base, held))
+                    done.append(put(fs, base, held, len(done)))
                     held, size = [], 0
         if held:
-            done.append(put(fs, base, held))
+            done.append(put(fs, base, held, len(done)))
         names = ["path", "n_records", "n_bytes"]
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=names)
 
@@ -158,8 +159,9 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2
     return written(typed.mapInArrow(_writer(folder, date), "path string, n_records bigint, n_bytes bigint"), "warc-manifest")
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of the archives in folder; the payload of a response is checked against its digest."""
+def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """A row per record of the archives in folder (of the manifest's, if one is given); the payload of a response
+    is checked against its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +180,9 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    if manifest is not None:
+        name = lambda c: F.regexp_extract(c, r"[^/]+$", 0)
+        files = files.join(manifest.select(name("path").alias("__name")), name("path") == F.col("__name"), "left_semi")
     return files.select("content").mapInArrow(run, RECORD_SCHEMA)
 
 
@@ -186,7 +191,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(read_table(spark, sf_dir, "pages"), folder)
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return read_warc(spark, folder)
+    return read_warc(spark, folder, manifest)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_warc": op9_warc}

@@ -115,7 +115,7 @@ def learn_rules(rows: list[tuple[list[float], bool]]) -> list[Rule]:
         at = {v[min(len(v) - 1, q * len(v) // QUANTILES)] for v in (values, bad) for q in range(QUANTILES)}
         ends = sorted(set(values))
         # a threshold lies midway between two neighbouring values
-        for cut in sorted({(ends[i] + ends[min(i + 1, len(ends) - 1)]) / 2 for i in (bisect_left(ends, x) for x in at)}):
+        for cut in sorted({(ends[i] + ends[min(i + 1, len(ends) - 1)]) / 2 for x in at for i in (bisect_left(ends, x), max(bisect_left(ends, x) - 1, 0))}):
             above = sum(1 << i for i, r in enumerate(rows) if r[0][k] > cut) if len(rows) < 64 else int("".join("1" if r[0][k] > cut else "0" for r in reversed(rows)), 2)
             literals.append((Literal(name, True, cut), above))
             literals.append((Literal(name, False, cut), ((1 << len(rows)) - 1) & ~above))

@@ -83,10 +83,19 @@ def clipped(c: Column) -> Column:
     return F.greatest(c, F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def polygon_area(points: Column) -> Column:
-    """Area of a polygon, an array of structs x, y, by the shoelace sum."""
-    n = F.size(points)
-    return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + points[i]["x"] * points[(i + 1) % n]["y"] - points[(i + 1) % n]["x"] * points[i]["y"])) / 2
+    """Area of a polygon, an array of structs x, y, by the shoelace sum; 0 with fewer than 3 points."""
+
+    def shoelace(p: Column) -> Column:
+        n = F.size(p)
+        return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + p[i]["x"] * p[(i + 1) % n]["y"] - p[(i + 1) % n]["x"] * p[i]["y"])) / 2
+
+    return bound(points, lambda p: F.when(F.size(p) >= 3, shoelace(p)).otherwise(0.0))
 
 
 def rotated_corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:

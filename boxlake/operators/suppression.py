@@ -138,9 +138,9 @@ def lsnms(dets: DataFrame, threshold: float = 0.5, cell: int = 256, rounds: int
 
 def rotated_iou(a: Column, b: Column) -> Column:
     """IoU of two rotated boxes given as corner arrays."""
-    shared = boxes.polygon_area(boxes.clipped_polygon(a, b))
-    shared = F.when(F.size(boxes.clipped_polygon(a, b)) >= 3, shared).otherwise(0.0)
-    return F.coalesce(F.try_divide(shared, boxes.polygon_area(a) + boxes.polygon_area(b) - shared), F.lit(0.0))
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    areas = boxes.bound(pair, lambda p: F.struct(boxes.polygon_area(boxes.clipped_polygon(p["a"], p["b"])).alias("shared"), (boxes.polygon_area(p["a"]) + boxes.polygon_area(p["b"])).alias("both")))
+    return boxes.bound(areas, lambda s: F.coalesce(F.try_divide(s["shared"], s["both"] - s["shared"]), F.lit(0.0)))
 
 
 def rotated_nms(dets: DataFrame, threshold: float = 0.5) -> DataFrame:

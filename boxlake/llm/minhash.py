@@ -4,14 +4,13 @@ components by alternating large-star and small-star.
 Documents are linked when ``100 * intersection >= 100 * threshold * union`` of their sets of word
 shingles. Documents with equal sets are one class; from there on only classes are compared:
 
-1. Band buckets propose; a bucket is never expanded into all its pairs. A shingle that one candidate
-   alone holds can be shared with nobody, so n shingles with u of them unique share at most n - u:
-   classes (and pairs) that cannot reach the threshold by these counts drop out, exactly.
-2. In each bucket every class is verified against the bucket's most central one (fewest unique
-   shingles), and the links' components are found.
-3. What a bucket still holds outside its centre's component is verified against the classes of other
-   components in the bucket that the counts allow. Links within a component change nothing, so no
-   component is missed.
+1. Band buckets propose; a bucket is never expanded into its pairs. A shingle that one candidate alone
+   holds can be shared with nobody, so a class with more than 1 - threshold of such shingles drops out.
+2. In each bucket every class is tested against the most central one (fewest such shingles), and the
+   links' components are found.
+3. Pairs of a centre's family that lie in different components are looked for by what they must share
+   outside the centre (see ``_across``), so only pairs that share rare shingles are made and tested.
+   Links within a component change nothing: no component is missed.
 
 With 32 bands of 4 minima a pair at the threshold 0.8 shares no bucket with probability 5e-8.
 
@@ -28,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import read_table, written
@@ -84,18 +83,55 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _may_link(n1: Column, g1: Column, n2: Column, g2: Column, percent: int) -> Column:
-    most = F.least(g1, g2)
-    return 100 * most >= percent * (n1 + n2 - most)
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the full sets sa and sb."""
+    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
+    return left.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    counted = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return written(counted.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), "near-links")
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared, an, bn, linked: pairs counted on their full sets."""
+    counted = _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), F.size("sa").cast("long").alias("an"), F.size("sb").cast("long").alias("bn"))
+    return written(counted.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("an") + F.col("bn") - F.col("shared"))), "near-tested")
+
+
+def _across(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, members of one centre's family, that may still be linked.
+
+    A pair must share percent / (100 + percent) of both sizes together. What it shares inside the centre is
+    at most the less of what each has of it; the rest has to come from shingles outside. Of those, taken
+    from the rarest in the family, each side's first (count - needed + 1) must have one in common, so only
+    pairs that meet there are made; unique shingles, which come first, meet nobody. Pairs that need nothing
+    from outside differ in size and are found by classes of size.
+    """
+    family = tested.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.col("shared").alias("inside"), F.col("bn").alias("n"))
+    family = family.unionByName(tested.select(F.col("a").alias("c"), F.col("a").alias("doc"), F.col("an").alias("inside"), F.col("an").alias("n")).distinct())
+    root_of = lambda df, column, name: df.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+    rooted = root_of(root_of(family, "doc", "root"), "c", "main")
+    rooted = written(rooted, "near-family")
+    split = rooted.filter("root <> main").select("c").distinct()
+    open_rows = written(rooted.join(split, "c"), "near-open")
+
+    outside = _with_sets(open_rows.filter("doc <> c").select(F.col("c").alias("a"), F.col("doc").alias("b")), sets)
+    tokens = written(outside.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.explode(F.array_except("sb", "sa")).alias("token")), "near-outside")
+    common = tokens.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    mine = Window.partitionBy("c", "doc")  # a document's shingles
+    shared = tokens.join(common, ["c", "token"]).withColumn("later", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("df", "token")))
+    placed = shared.join(open_rows, ["c", "doc"]).select("c", "token", "doc", "n", "inside", "root", "main", (F.col("later") - F.col("place") + 1).alias("left"))
+    placed = written(placed, "near-placed")
+    side = lambda df, s: df.select("c", *(x for x in ("token", "size_class") if x in df.columns), *(F.col(x).alias(f"{s}_{x}") for x in ("doc", "n", "inside", "root", "left") if x in df.columns))
+    need = F.col("y_n") + F.col("x_n")
+    within = F.least("y_inside", "x_inside")
+    apart = F.col("y_root") != F.col("x_root")
+    # left counts a side's shingles from this one on: enough must remain on both
+    lacking = percent * need - (100 + percent) * within
+    meets = apart & (lacking > 0) & ((100 + percent) * F.least("y_left", "x_left") >= lacking)
+    by_token = side(placed.filter("root <> main"), "y").join(side(placed, "x"), ["c", "token"]).filter(meets)
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.03))).cast("int")
+    low, high = F.col("n") * percent / 100, F.col("inside") * (100 + percent) / percent - F.col("n")
+    minor = open_rows.filter("root <> main").filter(high >= low).withColumn("size_class", F.explode(F.sequence(size_class(low), size_class(high))))
+    by_size = side(minor, "y").join(side(open_rows.withColumn("size_class", size_class(F.col("n").cast("double"))), "x"), ["c", "size_class"]).filter(apart & (lacking <= 0))
+    return by_token.select("y_doc", "x_doc").union(by_size.select("y_doc", "x_doc")).select(F.least("y_doc", "x_doc").alias("a"), F.greatest("y_doc", "x_doc").alias("b")).distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -135,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
 
     wanted = written(members.select("doc").distinct(), "near-candidates")
     keyed = written(classes.join(wanted, "doc", "left_semi").select("doc", F.col("set_key").alias("wanted_key")), "near-wanted")
-    texts = docs.select("doc_id", "text").join(keyed, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted_key")
+    texts = docs.select("doc_id", "text").join(keyed.hint("merge"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted_key")
     sets = written(texts.mapInArrow(_sets(words), f"doc {id_type}, shingles array<bigint>"), "near-sets")
     held = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
     alone = held.filter("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("unique"))
@@ -144,28 +180,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
     shared = written(shared.filter(100 * F.col("g") >= percent * F.col("n")), "near-shared")
 
     live = written(members.join(shared, "doc"), "near-live")
-    central = F.min(F.struct(((F.col("n") - F.col("g")) / F.col("n")).alias("alone"), "doc", "n", "g")).alias("c")
-    centres = live.groupBy("bucket").agg(central).select("bucket", "c.*")
-    star = live.join(centres.select("bucket", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag")), "bucket")
-    star = star.filter((F.col("doc") != F.col("a")) & _may_link(F.col("n"), F.col("g"), F.col("an"), F.col("ag"), percent))
-    tried = written(star.select("a", F.col("doc").alias("b")).distinct(), "near-star")
-    links = _verified(tried, sets, percent)
+    centres = live.groupBy("bucket").agg(F.min(F.struct(((F.col("n") - F.col("g")) / F.col("n")).alias("alone"), "doc")).alias("centre"))
+    star = live.join(centres.select("bucket", F.col("centre.doc").alias("a")), "bucket").filter("doc <> a")
+    tested = _tested(written(star.select("a", F.col("doc").alias("b")).distinct(), "near-star"), sets, percent)
+    links = tested.filter("linked").select("a", "b")
     roots = connected_components(links)
-
-    # classes outside their bucket's centre's component, against what the bucket holds of other components
-    placed = live.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    placed = written(placed, "near-placed")
-    main = placed.groupBy("bucket").agg(F.min(F.struct(((F.col("n") - F.col("g")) / F.col("n")).alias("alone"), "doc", "root")).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = written(main.filter("r0 <> r1").select("bucket", F.col("c.root").alias("main")), "near-mixed")
-    open_rows = placed.join(mixed, "bucket")
-    minor = open_rows.filter("root <> main").select("bucket", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"), F.col("root").alias("br"))
-    rest = open_rows.join(minor, "bucket").filter((F.col("root") != F.col("br")) & _may_link(F.col("n"), F.col("g"), F.col("bn"), F.col("bg"), percent))
-    rest = rest.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
+    rest = written(_across(tested, roots, sets, percent), "near-rest")
     if not rest.isEmpty():
-        links = written(links.union(_verified(rest, sets, percent)), "near-all-links")
-        roots = connected_components(links)
+        more_links = _tested(rest, sets, percent).filter("linked").select("a", "b")
+        roots = connected_components(links.union(more_links))
 
     of_class = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("root", "doc").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")

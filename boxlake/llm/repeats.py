@@ -11,7 +11,7 @@ every position's longest match (inside a run it is one less than its predecessor
 
 Grams in very many places (``HOT`` or more) are dealt on by the middle of their strings, so a passage
 that a third of the documents share meets nowhere whole. Only grams' hashes, stretches that may repeat,
-and places are shuffled; matches never cross documents.
+places, and the texts that hold them are shuffled; matches never cross documents.
 
 Defined results: a null text is empty; texts shorter than length lose nothing; of texts that share a
 doc_id only positions inside one row count as the same document, and the row with the smaller hash of
@@ -66,6 +66,10 @@ def designated(text: np.ndarray, length: int = LENGTH, gram: int = GRAM, h: np.n
     return which[edges], hashes[which[edges]], starts[edges], starts[np.append(edges[1:], len(starts)) - 1]
 
 
+#: A place is one long: start of the stretch, offset of the gram in it, its strings less one, whether it is hot.
+_START, _BACK, _SPAN, _FIELD = 25, 13, 1, (1 << 12) - 1
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode()
 
@@ -73,68 +77,47 @@ def _bytes(text: str | None) -> bytes:
 def _grams(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_bytes(x) for x in batch.column(2).to_pylist()]
+            texts = [_bytes(x) for x in batch.column(1).to_pylist()]
             for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
                 found = [designated(np.frombuffer(t, np.uint8), length, gram) for t in texts[start:end]]
                 of = np.repeat(np.arange(start, end), [len(f[0]) for f in found])
-                where = np.concatenate([f[0] for f in found]).astype(np.int32)
-                grams = np.concatenate([f[1] for f in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(where), pa.array(grams)], names=["doc_id", "row_key", "pos", "gram"])
+                at, grams, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = first << _START | (at - first) << _BACK | (last - first) << _SPAN
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(place), pa.array(grams.view(np.int64))], names=["uid", "place", "gram"])
 
     return run
 
 
-def stretches(text: np.ndarray, positions: np.ndarray, hot: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
-    """(shard, first start, last start) of the stretches of the grams at positions; hot ones in pieces."""
-    h = prefix_hashes(text)
-    at, hashes, first, last = designated(text, length, gram, h)
-    pick = np.searchsorted(at, positions)
-    out = []
-    for k, is_hot in zip(pick.tolist(), hot.tolist(), strict=True):
-        p, a, b, g = int(at[k]), int(first[k]), int(last[k]), int(hashes[k])
-        if not is_hot:
-            out.append((g, a, b))
-            continue
-        # pieces by the offset of the gram in the string, the same in all copies of a string
-        for j in range((p - b) // PIECE, (p - a) // PIECE + 1):
-            lo, hi = max(a, p - PIECE * j - PIECE + 1), min(b, p - PIECE * j)
-            s, e = p - PIECE * j, p - PIECE * j - PIECE + 1 + length  # bytes that all strings of the piece have
-            if e <= len(text):
-                core = int(span_hashes(h, np.array([s]), np.array([e]))[0])
-                out.append((core ^ (j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), lo, hi))
-            else:  # pragma: no cover - every string of the piece ends at or after e
-                raise AssertionError("a piece reaches past its text")
-    return out
-
-
-def _contexts(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            of, shard, start, body = [], [], [], []
-
-            def ready(ids=ids, keys=keys):
-                take = pa.array(of, pa.int64())
-                return pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(np.array(shard, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(body, pa.binary())], names=["doc_id", "row_key", "shard", "start", "body"])  # noqa: B023
-
-            held = 0
-            for i, (text, places, hot) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)):
-                raw = _bytes(text)
-                where, is_hot = places.values.to_numpy(zero_copy_only=False), hot.values.to_numpy(zero_copy_only=False)
-                order = np.argsort(where, kind="stable")
-                for s, a, b in stretches(np.frombuffer(raw, np.uint8), where[order], is_hot[order], length, gram):
-                    of.append(i)
-                    shard.append(s)
-                    start.append(a)
-                    body.append(raw[a : b + length])
-                    held += b - a + length
-                if held > 8 << 20:
-                    yield ready()
-                    of, shard, start, body, held = [], [], [], [], 0
-            if of:
-                yield ready()
-
-    return run
+def contexts(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, uid, shard, start, body: the stretches of the places of each text. Those of a hot gram come in
+    pieces by the gram's offset in the string, the same in all copies of a string, and are dealt by the
+    bytes that all strings of the piece have."""
+    a, back, span = f"shiftright(p, {_START})", f"(shiftright(p, {_BACK}) & {_FIELD})", f"(shiftright(p, {_SPAN}) & {_FIELD})"
+    cut = lambda start, size: f"substring(bin, cast({start} as int) + 1, cast({size} as int))"
+    whole = f"struct(xxhash64({cut(f'{a} + {back}', gram)}) AS shard, cast({a} as int) AS start, {cut(a, f'{span} + {length}')} AS body)"
+    at = f"{a} + {back} - {PIECE} * j"
+    low, high = f"greatest({a}, {at} - {PIECE - 1})", f"least({a} + {span}, {at})"
+    piece = f"struct(xxhash64(j, {cut(at, length - PIECE + 1)}) AS shard, cast({low} as int) AS start, {cut(low, f'{high} - {low} + {length}')} AS body)"
+    pieces = f"transform(sequence(({back} - {span}) div {PIECE}, {back} div {PIECE}), j -> {piece})"
+    all_of = f"flatten(transform(places, p -> if(p & 1L = 1L, {pieces}, array({whole}))))"
+    return parts.select("doc_id", "uid", F.col("text").cast("binary").alias("bin"), "places").select("doc_id", "uid", F.expr(f"inline({all_of})"))
+
+
+def place_keys(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, numbers of strings) of the stretches of places, hot ones in pieces as ``contexts`` cuts them."""
+    a, back, span = places >> _START, (places >> _BACK) & _FIELD, (places >> _SPAN) & _FIELD
+    hot = (places & 1) == 1
+    starts, counts = [a[~hot]], [span[~hot] + 1]
+    if hot.any():
+        a, back, span = a[hot], back[hot], span[hot]
+        first = (back - span) // PIECE
+        n = back // PIECE - first + 1
+        of = np.repeat(np.arange(len(a)), n)
+        at = (a + back)[of] - PIECE * (first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        low, high = np.maximum(a[of], at - (PIECE - 1)), np.minimum((a + span)[of], at)
+        starts.append(low)
+        counts.append(high - low + 1)
+    return np.concatenate(starts), np.concatenate(counts)
 
 
 class RunIndex:
@@ -169,7 +152,7 @@ class RunIndex:
                 break
             at = order[slots]
             nxt = rank[np.minimum(at + size, n - 1)]
-            again = np.lexsort((nxt, rank[at]))
+            again = np.argsort(rank[at] << 32 | nxt)
             at, nxt = at[again], nxt[again]
             order[slots] = at
             group = rank[at]
@@ -247,10 +230,13 @@ def _index(length: int):
         def flush() -> pa.RecordBatch:
             ranks = {d: i for i, d in enumerate(sorted({(x[0] is not None, x[0] or 0, x[1]) for x in held}))}
             places = [(ranks[x[0] is not None, x[0] or 0, x[1]], x[3]) for x in held]
-            flags = repeated_starts([x[4] for x in held], places, length)
-            froms, tos = zip(*map(_runs, flags), strict=True)
-            cols = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[3] for x in held], pa.int32()), pa.array([len(x[4]) - length + 1 for x in held], pa.int32()), pa.array([(f).tolist() for f in froms], pa.list_(pa.int32())), pa.array([(t).tolist() for t in tos], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "start", "n_starts", "froms", "tos"])
+            uids, ranges = [], []
+            for x, flags in zip(held, repeated_starts([x[4] for x in held], places, length), strict=True):
+                if flags.any():
+                    froms, tos = _runs(flags)
+                    uids.append(x[1])
+                    ranges.append((froms + x[3]) << 32 | (tos + x[3] - 1 + length))
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ranges, pa.list_(pa.int64()))], names=["uid", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -266,78 +252,66 @@ def _index(length: int):
     return run
 
 
-def removed_spans(text: bytes, positions: list[int], hot: list[bool], firsts: dict[tuple[int, int], tuple[list[int], list[int]]], length: int, gram: int) -> list[tuple[int, int]]:
-    """The maximal removed runs of a document: of stretches that stand first here the strings the index
-    marked, of all others everything."""
-    cover = np.zeros(len(text) + 1, np.int64)
-    order = np.argsort(np.array(positions), kind="stable")
-    for _, a, b in stretches(np.frombuffer(text, np.uint8), np.array(positions)[order], np.array(hot)[order], length, gram):
-        own = firsts.get((a, b - a + 1))
-        if own is None:
-            cover[a] += 1
-            cover[b + length] -= 1
-        else:
-            for f, t in zip(*own, strict=True):
-                cover[a + f] += 1
-                cover[a + t - 1 + length] -= 1
-    starts, ends = _runs(np.cumsum(cover)[:-1] > 0)
-    return list(zip(starts.tolist(), ends.tolist(), strict=True))
-
-
-def _apply(length: int, gram: int):
+def removed_spans(n_bytes: int, places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal removed runs of a text: all strings of the stretches that don't stand first here (owned), and
+    the ranges that the index marked in those that do."""
+    starts, counts = place_keys(places)
+    other = ~np.isin(starts << 13 | counts, owned)
+    cover = np.zeros(n_bytes + 1, np.int32)
+    np.add.at(cover, np.concatenate([starts[other], ranges >> 32]), 1)
+    np.add.at(cover, np.concatenate([starts[other] + counts[other] - 1 + length, ranges & 0xFFFFFFFF]), -1)
+    return _runs(np.cumsum(cover)[:-1] > 0)
+
+
+def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = [(c.fill_null([]) if c.null_count else c) for c in batch.columns[2:]]
+            parts = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in lists]
             rows = []
-            for text, where, hot, firsts in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 raw = _bytes(text)
-                own = {(f["start"], f["n_starts"]): (f["froms"], f["tos"]) for f in firsts or []}
-                spans = removed_spans(raw, where, hot, own, length, gram)
+                starts, ends = removed_spans(len(raw), *(v[o[i] : o[i + 1]] for o, v in parts), length)
                 kept, at = [], 0
-                for s, e in spans:
+                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     kept.append(raw[at:s])
                     at = e
                 kept.append(raw[at:])
-                rows.append((sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "stop": e} for s, e in spans]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            arrays = [batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_key", "n_removed", "n_spans", "kept_sha256", "spans"])
+                rows.append((int((ends - starts).sum()), len(starts), hashlib.sha256(b"".join(kept)).hexdigest(), starts.tolist(), ends.tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            arrays = [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_from: int = HOT) -> DataFrame:
-    """doc_id, row_key, n_removed, n_spans, kept_sha256, spans of the documents that may lose bytes."""
-    if not 8 <= gram <= length - PIECE:
-        raise ValueError("gram must be from 8 to length - 8")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key("doc_id", "text").alias("row_key"), "text")
-    grams = written(keyed.mapInArrow(_grams(length, gram), "doc_id bigint, row_key bigint, pos int, gram bigint"), "repeat-grams")
-    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") >= hot_from).alias("hot")), "repeat-often")
-    places = grams.join(often, "gram").groupBy("doc_id", "row_key").agg(F.collect_list("pos").alias("places"), F.collect_list("hot").alias("hot"))
-    places = written(places, "repeat-places").withColumnRenamed("doc_id", "p_id").withColumnRenamed("row_key", "p_key")
-    first_copy = keyed.join(places, keyed["doc_id"].eqNullSafe(places["p_id"]) & (keyed["row_key"] == places["p_key"])).select("doc_id", "row_key", "text", "places", "hot")
-    parts = written(first_copy, "repeat-texts")
-    contexts = parts.mapInArrow(_contexts(length, gram), "doc_id bigint, row_key bigint, shard bigint, start int, body binary")
-    distinct = contexts.groupBy("shard", "body").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first")).select("first.doc_id", "first.row_key", "shard", "first.start", "body")
+    """uid (the row's key), n_removed, n_spans, kept_sha256, starts, stops of the documents that may lose bytes."""
+    if not 8 <= gram <= length - PIECE or length > _FIELD:
+        raise ValueError("gram must be from 8 to length - 8, length below 4096")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key("doc_id", "text").alias("uid"), "text")
+    grams = written(keyed.select("uid", "text").mapInArrow(_grams(length, gram), "uid bigint, place bigint, gram bigint"), "repeat-grams")
+    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") >= hot_from).cast("bigint").alias("hot")), "repeat-often")
+    places = grams.join(often, "gram").groupBy("uid").agg(F.collect_list(F.col("place").bitwiseOR(F.col("hot"))).alias("places"))
+    places = written(places, "repeat-places")
+    parts = written(keyed.join(places.hint("merge"), "uid"), "repeat-texts")
+    distinct = contexts(parts, length, gram).groupBy("shard", "body").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first")).select("first.doc_id", "first.uid", "shard", "first.start", "body")
     distinct = written(distinct, "repeat-stretches")
-    lone = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shard")
-    shared = distinct.join(lone, "shard").select("doc_id", "row_key", "shard", "start", "body").repartition("shard").sortWithinPartitions("shard")
-    marks = written(shared.mapInArrow(_index(length), "doc_id bigint, row_key bigint, start int, n_starts int, froms array<int>, tos array<int>"), "repeat-marks")
-    empty = F.array().cast("array<int>")
-    plain = distinct.select("doc_id", "row_key", "start", (F.octet_length("body") - length + 1).alias("n_starts"))
-    firsts = plain.join(marks, [plain[c].eqNullSafe(marks[c]) for c in ("doc_id", "row_key", "start", "n_starts")], "left").select(plain["doc_id"], plain["row_key"], plain["start"], plain["n_starts"], F.coalesce("froms", empty).alias("froms"), F.coalesce("tos", empty).alias("tos"))
-    by_doc = firsts.groupBy(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key")).agg(F.collect_list(F.struct("start", "n_starts", "froms", "tos")).alias("firsts"))
-    ready = parts.join(by_doc, parts["doc_id"].eqNullSafe(by_doc["f_id"]) & (parts["row_key"] == by_doc["f_key"]), "left").select("doc_id", "row_key", "text", "places", "hot", "firsts")
-    return ready.mapInArrow(_apply(length, gram), "doc_id bigint, row_key bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
+    several = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shard")
+    shared = distinct.join(several, "shard").select("doc_id", "uid", "shard", "start", "body").repartition("shard").sortWithinPartitions("shard")
+    marks = shared.mapInArrow(_index(length), "uid bigint, ranges array<bigint>").groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    owned = distinct.groupBy("uid").agg(F.collect_list(F.shiftleft(F.col("start").cast("bigint"), 13).bitwiseOR(F.octet_length("body") - length + 1)).alias("owned"))
+    ready = parts.select("uid", "text", "places").join(owned, "uid", "left").join(marks, "uid", "left").select("uid", "text", "places", "owned", "ranges")
+    return ready.mapInArrow(_apply(length), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(repeated_spans(docs).filter("n_removed > 0").drop("spans").distinct(), "repeat-found").withColumnRenamed("doc_id", "f_id").withColumnRenamed("row_key", "f_key")
+    found = written(repeated_spans(docs).filter("n_removed > 0").drop("starts", "stops").dropDuplicates(["uid"]), "repeat-found")
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    joined = plain.join(found, plain["doc_id"].eqNullSafe(found["f_id"]) & (plain["row_key"] == found["f_key"]), "left")
+    plain = docs.select("doc_id", row_key("doc_id", "text").alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return plain.join(found, "uid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_suffix_dedup": op7_suffix_dedup}

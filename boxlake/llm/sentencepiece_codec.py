@@ -30,7 +30,7 @@ from boxlake.llm.common import default_tokenizer, read_table
 
 MARK = "▁"
 #: Bytes of text in an output batch, and words or pairs of pieces that a worker remembers before it starts anew.
-BATCH_BYTES, REMEMBERED = 1 << 20, 500_000
+BATCH_BYTES, REMEMBERED = 4 << 20, 600_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: How much less than the least score an unknown character costs in unigram models.
@@ -52,20 +52,21 @@ class Pieces:
         self.raw = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self.starts_marked = [t in (NORMAL, USER_DEFINED, UNUSED) and p.startswith(MARK) for p, _, t in pieces]
         #: words can be encoded apart if no piece goes on past a mark that follows another character
+        self.plain = dummy_prefix and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        #: lengths of the pieces, longest first, by their last two characters
-        self.lengths: dict[str, list[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                self.lengths.setdefault(p[-2:], []).append(len(p))
-        self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
         ranks = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.rank = {p: ranks[s] for p, s in self.score.items()}
         self.halves: dict[str, tuple[str, str]] = {}
-        self.whole: dict[str, bool] = {}
+        #: pieces that their own text encodes to (in unigram models all), and whether a piece may follow another
+        self.followers: dict[str, dict[str, bool]] = {p: {} for p in self.ids if len(p) > 1 and (kind != BPE or self.merged(p) == [p])}
+        self.n_known = 0
+        #: lengths of these, longest first, by the last three characters; after others only two are tried
+        ends: dict[str, set[int]] = {}
+        for p in self.followers:
+            ends.setdefault(p[-3:], {2}).add(len(p))
+        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """text by merging the best-ranked neighbours until none can be merged, leftmost first of equals;
@@ -102,28 +103,26 @@ class Pieces:
 
     def _extend_bpe(self, word: str, states: list, start: int) -> None:
         """states of the prefixes of word from start characters on: each the last piece of its encoding."""
-        lengths, whole, follows = self.lengths, self.whole, self.follows
+        lengths, followers = self.lengths, self.followers
         for end in range(start, len(word) + 1):
             state = word[end - 1]  # unless more merges: nothing joins the last character; it may be no piece
-            for n in lengths.get(word[end - 2 : end], ()):
+            for n in lengths.get(word[max(end - 3, 0) : end], (2,)):
                 if n <= end:
                     piece = word[end - n : end]
-                    own = whole.get(piece)
-                    if own is None:
-                        if len(whole) > REMEMBERED:
-                            whole.clear()
-                        own = whole[piece] = piece in self.ids and self.merged(piece) == [piece]
-                    if own:
+                    known = followers.get(piece)
+                    if known is not None:
                         before = states[end - n]
                         if not before:
                             state = piece
                             break
-                        key = (before, piece)
-                        found = follows.get(key)
+                        found = known.get(before)
                         if found is None:
-                            if len(follows) > REMEMBERED:
-                                follows.clear()
-                            found = follows[key] = self.may_follow(before, piece)
+                            self.n_known += 1
+                            if self.n_known > REMEMBERED:
+                                self.n_known = 0
+                                for k in followers.values():
+                                    k.clear()
+                            found = known[before] = self.may_follow(before, piece)
                         if found:
                             state = piece
                             break
@@ -131,14 +130,14 @@ class Pieces:
 
     def _unigram_state(self, word: str, states: list, end: int):
         best = (states[end - 1][0] + self.least, word[end - 1])
-        for n in [*(self.lengths.get(word[end - 2 : end], ()) if end > 1 else ()), 1]:
+        for n in (*self.lengths.get(word[max(end - 3, 0) : end], (2,)), 1):
             if n <= end and (piece := word[end - n : end]) in self.ids:
                 s = states[end - n][0] + self.score[piece]
                 if s > best[0] or (s == best[0] and n > len(best[1])):
                     best = (s, piece)
         return best
 
-    def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+    def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, ids) of distinct words in sorted order, each from the states of the prefix it shares."""
         bpe = self.kind == BPE
         states: list = ["" if bpe else (0.0, "")]
@@ -162,7 +161,7 @@ class Pieces:
                     out.extend(reversed(self.ids_of(piece)))
                 end -= len(piece)
             out.reverse()
-            yield word, out
+            yield word, tuple(out)
             before = word
 
     def ids_of(self, piece: str) -> list[int]:
@@ -174,17 +173,24 @@ class Pieces:
     def words(self, text: str) -> list[str]:
         if not text:
             return []
+        if self.plain and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
+            return text.split(" ")  # without their marks
         marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if self.apart else [marked]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """ids of each text. Words are remembered as they were cut; one cut at single spaces has its mark added."""
         cut = [self.words(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self.known}
+        new = {w for words in cut for w in words}.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for words in cut for w in words}
-        self.known.update(self.encode_sorted(sorted(new)))
-        get = self.known.__getitem__
+        mark = MARK if self.plain else ""
+        marked = {w: w if w[:1] == MARK else mark + w for w in new}
+        ids_of = dict(self.encode_sorted(sorted(set(marked.values()))))
+        known = self.known
+        known.update((w, ids_of[m]) for w, m in marked.items())
+        get = known.__getitem__
         return [list(chain.from_iterable(map(get, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -243,6 +249,9 @@ def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     """A mapInArrow function: (doc_id, text) to (doc_id, n_pieces, piece_ids, round_trip)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # nothing here makes cycles, and collections would walk all remembered words
         pieces = load(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]

@@ -5,7 +5,9 @@ characters that stand in links. The subtree whose children's densities sum highe
 looked for below the threshold that the densities on its path from the body set: a child of the body's
 path that is less dense than the thinnest node on the path is left out. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, markup and reader comments are left out by tag,
-role or class before that.
+role or class before that. A class or id counts where it is such a part's own name (``cookie-notice``,
+not ``with-sidebar`` or ``related-work``), and not on an element that holds the page's article or the
+larger part of its text without links; the density decides there.
 
 Character references are decoded, white space ``[\\x20\\x09-\\x0D]`` inside a block becomes one space,
 blocks are trimmed and joined in page order by one space.
@@ -51,6 +53,11 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies disqus respond related recommended widget toolbar pagination pager masthead topbar skip copyright disclaimer form search".split()
 )
+#: Words that may stand beside those in the name of such a part; any other word makes the name another thing's.
+NAME_WORDS = frozenset("site page main top bottom left right primary secondary global bar box block container wrapper inner outer area list item items link links icon icons button buttons section panel media post posts user reader".split())
+#: Readers' words, which are never the text of a page that has an article beside them.
+READER_WORDS = frozenset("comment comments reply replies disqus respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -58,10 +65,10 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "dropped", "named", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.dropped, self.named, self.kids = tag, parent, dropped, named, []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -77,13 +84,24 @@ def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.strip() in DROPPED_ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if words & DROPPED_WORDS or ("header" in words and not inside_article):
-                return True
     return False
 
 
+def _named(tag: str, attrs: str, inside_article: bool) -> frozenset[str]:
+    """Words of the classes and the id that name the element itself as boilerplate. A heading's id is its text's."""
+    if not attrs or tag in ("html", "body", "main", "article"):
+        return frozenset()
+    found: set[str] = set()
+    for name, value in _ATTR.findall(attrs):
+        if (name := name.lower()) == "class" or (name == "id" and tag not in HEADINGS):
+            for one in unescape(value.strip("\"'")).lower().split():
+                words = set(_WORDS.findall(one))
+                marks = {w for w in words if w in DROPPED_WORDS or (w == "header" and not inside_article)}
+                if marks and words - marks <= NAME_WORDS:
+                    found |= marks
+    return frozenset(found)
+
+
 def parse(html: str) -> Node:
     """The page's tree; kids are nodes and strings (text, references decoded)."""
     root = Node("html", None)
@@ -123,7 +141,7 @@ def parse(html: str) -> Node:
         parent = open_nodes[-1]
         if tag == "html":
             continue
-        new = Node(tag, parent, _is_dropped(tag, m["attrs"], articles > 0))
+        new = Node(tag, parent, _is_dropped(tag, m["attrs"], articles > 0), _named(tag, m["attrs"], articles > 0))
         parent.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
@@ -133,9 +151,59 @@ def parse(html: str) -> Node:
             articles += tag in ("article", "main")
     if at < len(html):
         open_nodes[-1].kids.append(unescape(html[at:]))
+    _drop_named(root)
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Drops the elements that are named as boilerplate, but for those that hold the page's text."""
+    nodes = _ordered(root)
+    if not any(n.named for n in nodes):
+        return
+    plain: dict[Node, int] = {}  # characters outside links
+    articles: dict[Node, int] = {}  # of these in the largest article or main below the node or in itself
+    for node in reversed(nodes):
+        kids = [k for k in node.kids if not isinstance(k, str) and not k.dropped]
+        plain[node] = 0 if node.tag == "a" else sum(len(_SPACE.sub("", k)) for k in node.kids if isinstance(k, str)) + sum(plain[k] for k in kids)
+        articles[node] = max((articles[k] for k in kids), default=0)
+        if node.tag in ("article", "main"):
+            articles[node] = max(articles[node], plain[node])
+    free = 0  # of these in the largest article or main outside all named elements
+    above: dict[Node, tuple[bool, int]] = {}  # stands in a named element; characters of the article or main around it
+    for node in nodes:
+        named, around = above[node.parent] if node.parent else (False, 0)
+        named = named or bool(node.named)
+        if node.tag in ("article", "main"):
+            around = max(around, plain[node])
+            if not named:
+                own = plain[node] - sum(plain[x] for x in _first_named(node))
+                free = max(free, own)
+        above[node] = named, around
+    for node in nodes:
+        if node.named:
+            around = above[node][1]
+            if node.named <= READER_WORDS and free:
+                holds = False
+            elif around:  # a part of the article
+                holds = articles[node] > free or 2 * plain[node] > plain[root]
+            elif articles[node]:
+                holds = articles[node] > free
+            else:
+                holds = not free and 2 * plain[node] > plain[root]
+            node.dropped = not holds
+
+
+def _first_named(top: Node) -> list[Node]:
+    """The uppermost named elements below a node."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        for k in node.kids:
+            if not isinstance(k, str) and not k.dropped:
+                (out if k.named else todo).append(k)
+    return out
+
+
 def _ordered(root: Node) -> list[Node]:
     """Nodes that aren't dropped, parents before kids."""
     out, todo = [], [root]

@@ -45,6 +45,29 @@ def test_deep_and_long_pages():
     assert html_text.extract(f"<article><p>{words}</p></article>") == words
 
 
+BODY = "A sentence of the article that is long enough to count as text. " * 4
+
+
+@pytest.mark.parametrize("name", ["class='container with-sidebar'", "class=no-sidebar", "class=long-form", "id=has-comments", "class=sidebar", "class='form'"])
+def test_wrappers_of_the_article_stay(name):
+    assert html_text.extract(f"<body><div {name}><article><p>{BODY}</p></article></div>") == BODY.strip()
+    assert html_text.extract(f"<body><div {name}><p>{BODY}</p><p>{BODY}</p></div>") == f"{BODY}{BODY}".strip()
+
+
+@pytest.mark.parametrize("part", ["<section id='related-work'><p>kept</p></section>", "<h2 id='search-and-menu'>kept</h2>", "<h2 id='comments'>kept</h2>", "<p class='notice-board'>kept</p>"])
+def test_longer_names_inside_an_article_stay(part):
+    assert html_text.extract(f"<article><p>{BODY}</p>{part}</article>") == f"{BODY}kept"
+
+
+@pytest.mark.parametrize("name", ["class='ad'", "class='box cookie-notice'", "id='main-menu'", "class='related-posts'", "class='sidebar-left'", "id='comments'"])
+def test_parts_with_a_name_of_their_own_go(name):
+    part = f"<div {name}><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div>"
+    assert html_text.extract(f"<body><article><p>{BODY}</p></article>{part}") == BODY.strip()
+    assert html_text.extract(f"<body><article><p>{BODY}{BODY}</p><div {name}><p>gone</p></div></article>") == f"{BODY}{BODY}".strip()
+    replies = f"<div id='comments'><article>{BODY}{BODY}</article></div>"
+    assert html_text.extract(f"<body><main><p>{BODY}</p>{replies}</main>") == BODY.strip()
+
+
 def test_whole_column(spark):
     from pyspark.sql import functions as F
 

@@ -2,13 +2,18 @@
 
 Every node of a page's tree gets a composite density: characters per tag, lowered by the share of its
 characters that stand in links. The subtree whose children's densities sum highest is the main text,
-looked for below the threshold that the densities on its path from the body set: a child of the body's
-path that is less dense than the thinnest node on the path is left out. Menus, headers, footers,
+looked for below the threshold that the densities on its path from the body set. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, markup and reader comments are left out by tag,
 role or class before that. A class or id counts where it is such a part's own name (``cookie-notice``,
 not ``with-sidebar`` or ``related-work``), and not on an element that holds the page's article or the
 larger part of its text without links; the density decides there.
 
+Without an article or main, what stands beside the path from the body to the main text is text too where
+it is a heading or as dense as the path's thinnest node. Short blocks are less dense than any node that
+holds many; beside the main text itself the bar is therefore its own thinnest block, and paragraphs,
+quotes, lists, tables and (inside an element of the body) blocks without blocks in them stay unless most
+of them is links.
+
 Character references are decoded, white space ``[\\x20\\x09-\\x0D]`` inside a block becomes one space,
 blocks are trimmed and joined in page order by one space.
 
@@ -57,7 +62,9 @@ DROPPED_WORDS = frozenset(
 NAME_WORDS = frozenset("site page main top bottom left right primary secondary global bar box block container wrapper inner outer area list item items link links icon icons button buttons section panel media post posts user reader".split())
 #: Readers' words, which are never the text of a page that has an article beside them.
 READER_WORDS = frozenset("comment comments reply replies disqus respond".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Blocks that hold text and no parts of a page.
+TEXTS = frozenset("p pre blockquote ul ol dl table figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -214,6 +221,15 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _density(root: Node, chars: int, links: int, tags: int, link_tags: int) -> float:
+    whole = max(root.chars, 1)
+    plain = max(chars - links, 1)
+    per_tag = chars / max(tags, 1)
+    spread = chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)
+    scale = math.log(chars / plain * links + root.links / whole * chars + math.e) if links else math.log(root.links + math.e)
+    return per_tag * math.log(max(spread, 1.0) + 1.0) / max(scale, 1.0)
+
+
 def measure(root: Node) -> list[Node]:
     """Composite densities of all nodes and the sums of their children's."""
     nodes = _ordered(root)
@@ -229,16 +245,9 @@ def measure(root: Node) -> list[Node]:
                 node.link_tags += kid.link_tags + (kid.tag == "a")
         if node.tag == "a":
             node.links = node.chars
-    whole = max(root.chars, 1)
-    base = math.log(root.links * whole / whole + math.e)
     for node in nodes:
         if node.chars:
-            plain = max(node.chars - node.links, 1)
-            per_tag, link_tags = node.chars / max(node.tags, 1), max(node.link_tags, 1)
-            links = max(node.links, 1)
-            spread = node.chars / links * max(node.tags, 1) / link_tags
-            scale = math.log(node.chars / plain * node.links + root.links / whole * node.chars + math.e) if node.links else base
-            node.density = per_tag * math.log(max(spread, 1.0) + 1.0) / max(scale, 1.0)
+            node.density = _density(root, node.chars, node.links, node.tags, node.link_tags)
     for node in nodes:
         node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.dropped)
         own = sum(len(_SPACE.sub("", k)) for k in node.kids if isinstance(k, str))
@@ -274,16 +283,53 @@ def _below(node: Node, top: Node) -> bool:
     return False
 
 
+def _with_path(root: Node, best: Node, threshold: float) -> list:
+    """The best node and what belongs to it along its path from the body, in page order; None ends a block."""
+    blocks = [k.density for k in best.kids if not isinstance(k, str) and not k.dropped and k.tag in BLOCKS and k.tag not in HEADINGS and 2 * k.links < k.chars]
+    least = min([threshold, *blocks])
+    before: list[list] = []
+    after: list[list] = []
+    node, near = best, True  # near: nothing but the best node's text has been passed
+    while node.parent is not None and node.tag != "body":
+        parts: list[list] = [[], []]
+        side, run = 0, []
+
+        def close() -> None:
+            inner = [k for k in run if not isinstance(k, str)]  # noqa: B023
+            own = sum(len(_SPACE.sub("", k)) for k in run if isinstance(k, str))  # noqa: B023
+            chars, links = own + sum(k.chars for k in inner), sum(k.links for k in inner)
+            tags, link_tags = sum(k.tags + 1 for k in inner), sum(k.link_tags + (k.tag == "a") for k in inner)
+            if chars and 2 * links < chars and (near or _density(root, chars, links, tags, link_tags) >= least):  # noqa: B023
+                parts[side].extend([None, *run, None])  # noqa: B023
+            run.clear()  # noqa: B023
+
+        for k in node.parent.kids:
+            if isinstance(k, str) or (k is not node and not k.dropped and k.tag not in BLOCKS):
+                run.append(k)
+                continue
+            close()
+            if k is node:
+                side = 1
+            elif not k.dropped and k.chars:
+                leaf = node.parent.tag not in ("html", "body") and not any(not isinstance(x, str) and x.tag in BLOCKS for x in k.kids)
+                bar = least if near or k.tag in TEXTS else threshold
+                if k.tag in HEADINGS or k.density >= bar > 0 or (near and (k.tag in TEXTS or leaf) and 2 * k.links < k.chars):
+                    parts[side].append(k)
+        close()
+        before.append(parts[0])
+        after.append(parts[1])
+        node = node.parent
+        near = near and node.chars == best.chars
+    return [x for part in reversed(before) for x in part] + [None, best, None] + [x for part in after for x in part]
+
+
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
     root = parse(html)
     best, threshold = main_node(root)
-    # siblings of the path that are as dense as its thinnest node and hold several blocks are parts of the text too
-    tops = [best]
-    if best.tag not in ("article", "main") and best.parent is not None:
-        tops = [k for k in best.parent.kids if k is best or (not isinstance(k, str) and not k.dropped and k.tag == best.tag and k.total >= threshold > 0 and k.density >= threshold)]
+    tops: list = [best] if best.tag in ("article", "main") else _with_path(root, best, threshold)
     blocks: list[str] = []
     held: list[str] = []
 

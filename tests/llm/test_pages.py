@@ -68,6 +68,27 @@ def test_parts_with_a_name_of_their_own_go(name):
     assert html_text.extract(f"<body><main><p>{BODY}</p>{replies}</main>") == BODY.strip()
 
 
+LEAD, PARAGRAPH = "lead " * 40, "para " * 80
+TEN = f"<p>{PARAGRAPH}</p>" * 10
+
+
+@pytest.mark.parametrize("tag", ["p", "div", "section"])
+def test_title_and_lead_of_a_page_of_divs_stay(tag):
+    want = f"Title {LEAD}{PARAGRAPH * 10}end".strip()
+    post = f"<h1>Title</h1><{tag}>{LEAD}</{tag}><div class=body>{TEN}</div><p>end</p>"
+    menu = "<div id=x><ul>" + "".join(f"<li><a href='/{i}'>menu item {i}</a></li>" for i in range(9)) + "</ul></div>"
+    small = "<div id=bottom>2024 Company</div>"
+    assert html_text.extract(f"<body><div class=post>{post}</div>") == want
+    assert html_text.extract(f"<body>{menu}<div><div class=post>{post}</div></div>{menu}{small}") == want
+    assert html_text.extract(f"<body><div><h1>Title</h1><{tag}>{LEAD}</{tag}><div><div>{TEN}</div></div><p>end</p></div>{menu}") == want
+
+
+def test_text_beside_the_path_stays():
+    got = html_text.extract(f"<body><div>Some words <b>before</b> the text<div>{TEN}</div>{'dense ' * 300}<a href=x>link</a></div>")
+    assert got == f"Some words before the text {PARAGRAPH * 10}{'dense ' * 300}link"
+    assert html_text.extract(f"<body><div><div>{TEN}</div></div><section>{TEN}</section>") == (PARAGRAPH * 20).strip()
+
+
 def test_whole_column(spark):
     from pyspark.sql import functions as F
 

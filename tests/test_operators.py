@@ -226,3 +226,17 @@ def test_nested_objects_of_empty_images(spark):
     assert rows["a.jpg"].width == 50 and rows["a.jpg"].objects.categories == [3]
     assert rows["b.jpg"].width == 2000 and rows["b.jpg"].objects.bbox == []
     assert steps.classification_report(dets(spark, (1, 1, 0, A, 0.9)), gts(spark, (5, 1, 0, A)), 2).first().f1 == 1.0
+
+
+def test_a_task_counts_once_for_the_retrain_trigger(spark, tmp_path):
+    from boxlake.streaming import jobs
+
+    schema = "project_id int, task_id bigint"
+    parts = [[(1, 1), (1, 2), (2, 1)], [(1, 2), (1, 1), (1, 3), (2, None)], [(1, 1), (1, 3), (1, 2)], [(1, 4), (1, 5), (1, 5), (2, 7)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = jobs.retrain_trigger(stream, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(1, 1, 2), (1, 2, 4), (2, 1, 2)]

@@ -5,14 +5,15 @@ with the most code points in the original stays, then the smallest doc_id (a nul
 
 Defined results: a null text counts as empty and equals every blank text; an empty table gives an empty
 table; rows that repeat doc_id and text all count in group_size and share the verdict (``drop_copies``
-keeps one of them); other columns may have any name and pass ``drop_copies`` unchanged.
+keeps one of them, the same in every run); rows whose texts differ all stay, whether their doc_id is null,
+repeated or their own; other columns may have any name and pass ``drop_copies`` unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import SPACES, read_table, written
@@ -27,18 +28,26 @@ def duplicate_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
     both with another row; text_sha256 is null for the others unless digest is set. Groups of copies
     are only ever counts and minima, combined before the shuffle, so no group meets in one task.
     """
+    return _groups(docs, digest).select("doc_id", "n_points", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _groups(docs: DataFrame, digest: bool = False, *more: Column) -> DataFrame:
+    """The columns of duplicate_groups, and more of docs."""
     norm = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, "")
     keyed = docs.select(
         F.col("doc_id"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_points"),
         norm.alias("norm"),
+        F.struct(F.lit(0).alias("none"), *more).alias("more"),
     ).select(
         "doc_id",
         "n_points",
         F.octet_length("norm").alias("n_norm"),
         F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix_hash"),
         "norm",
-    )
+        "more.*",
+    ).drop("none")
+    names = keyed.columns[5:]
     light = written(keyed.select("n_norm", "prefix_hash"), "exact-keys")
     by_length = light.groupBy("n_norm").count().filter("count > 1").select("n_norm")
     by_prefix = (
@@ -54,6 +63,7 @@ def duplicate_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
             "n_points",
             F.coalesce("shared", F.lit(False)).alias("shared"),
             (whole if digest else F.when(F.col("shared"), whole)).alias("text_sha256"),
+            *names,
         ),
         "exact-tagged",
     )
@@ -70,15 +80,32 @@ def duplicate_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == -F.col("best.p")))).alias("kept"),
         "text_sha256",
+        *names,
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; one row of each doc_id."""
-    gone = duplicate_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("n_points").alias("__gone_points"))
-    gone = written(gone.distinct(), "exact-gone")
-    points = F.length(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (points == gone["__gone_points"]), "left_anti").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns: one row of each text.
+
+    Rows are told by doc_id, length and hash of the text as it is. Those that go are dropped; of a group's rows
+    that share the verdict to stay one is taken by the least hash of its columns.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    found = _groups(docs, False, F.xxhash64("text").alias("text_hash")).filter("group_size > 1")
+    rows = found.groupBy("doc_id", "n_points", "text_hash", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "exact-rows")
+    several = rows.filter("kept").groupBy("text_sha256").agg(F.sum("n").alias("n")).filter("n > 1").select("text_sha256", F.lit(True).alias("several"))
+    marked = rows.join(several, "text_sha256", "left").filter("several OR NOT kept")
+    marked = marked.select(F.col("doc_id").alias("__id"), F.col("n_points").alias("__points"), F.col("text_hash").alias("__hash"), F.when(F.col("kept"), F.col("text_sha256")).alias("__group"))
+    marked = written(marked, "exact-marked")
+    same = docs["doc_id"].eqNullSafe(marked["__id"]) & (F.length(text) == marked["__points"]) & (F.xxhash64(docs["text"]) == marked["__hash"])
+    out = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("__group IS NOT NULL")
+    if repeated.isEmpty():
+        return out
+    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    groups = docs.join(repeated, same).select("__group", F.struct(*(docs[c] for c in docs.columns)).alias("__row"), hashed.alias("__order"))
+    return out.unionByName(groups.groupBy("__group").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ With 32 bands of 4 minima a pair at the threshold 0.8 shares no bucket with prob
 Defined results: null and blank texts have an empty set and are linked with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows that repeat a doc_id are one node; a
 null doc_id is linked with nothing; an empty table gives an empty table; ``drop_near_copies`` keeps
-all columns.
+all columns, and different texts under one doc_id are documents of their own to it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import read_table, written
+from boxlake.llm.common import read_table, row_key, written
 from boxlake.llm.hashing import mix, shingle_sets, slices_by_bytes
 
 BANDS, ROWS = 32, 4
@@ -197,10 +197,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each component, with all columns."""
-    gone = near_duplicates(docs, words, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each component, with all columns. Where a doc_id has several texts, each is a node."""
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row_key("text")).alias("low"), F.max(row_key("text")).alias("high"))
+    key = F.col("doc_id")
+    if not texts.filter("low <> high").isEmpty():
+        key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row_key("text").alias("text")))
+    gone = near_duplicates(docs.select(key.alias("doc_id"), "text"), words, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, key == F.col("__gone"), "left_anti")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,16 @@ def test_exact_keeps_columns_and_repeats(spark, clashing, empty):
     assert [r.doc_id for r in exact_dedup.duplicate_groups(nulls).filter("kept").collect()] == [None]
 
 
+def test_exact_drops_only_copies_where_ids_are_null_or_repeat(spark):
+    rows = [(None, "a b", "s"), (None, "c", "s"), (None, "c", "t"), (None, None, "s"), (None, "", "s"), (None, "d", "s")]
+    rows += [(5, "ef", "s"), (5, "gh", "s"), (5, "ij", "s"), (5, "ij", "s"), (4, "gh", "s"), (7, "a  b", "s"), (8, "k l", "s"), (8, "kl ", "s"), (8, "kl", "s")]
+    docs = spark.createDataFrame([(d, t, "en", x, len(t or "")) for d, t, x in rows], SCHEMA)
+    out = [sorted(((r.doc_id, r.text, r.source) for r in exact_dedup.drop_copies(docs.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert out[0] == out[1]
+    assert sorted(re.sub(" ", "", t or "") for _, t, _ in out[0]) == ["", "ab", "c", "d", "ef", "gh", "ij", "kl"]
+    assert {(4, "gh"), (5, "ef"), (5, "ij"), (7, "a  b"), (None, "d")} <= {(d, t) for d, t, _ in out[0]}
+
+
 # line dedup
 
 
@@ -310,6 +320,15 @@ def test_near_edges(spark, clashing, empty):
     assert sorted(map(tuple, minhash.near_duplicates(nulls).collect()), key=str) == [(3, 2, 3, True), (3, 2, 3, True), (None, 2, None, True)]
 
 
+def test_near_copies_of_a_repeated_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "xy")
+    rows = [(1, one), (3, one), (3, two), (4, two + " more"), (4, "other words that stand alone here"), (None, one), (None, two)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    out = minhash.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
 def test_star_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]

@@ -10,7 +10,9 @@ every position's longest match (inside a run it is one less than its predecessor
 ``length`` bytes or more are marked, and of each class of equal strings the earliest start stays.
 
 Grams in very many places (``HOT`` or more) are dealt on by the middle of their strings, so a passage
-that a third of the documents share meets nowhere whole. Only grams' hashes, stretches that may repeat,
+that a third of the documents share meets nowhere whole. Where so many distinct stretches remain about
+one middle (varied text around a shared passage), they go to no index: the first place of each of their
+strings is a minimum by the string's hash, combined before the shuffle, so no group meets in one task. Only grams' hashes, stretches that may repeat,
 places, and the texts that hold them are shuffled; matches never cross documents.
 
 Defined results: a null text is empty; texts shorter than length lose nothing; of texts that share a
@@ -33,7 +35,7 @@ from boxlake.llm.common import read_table, row_key, written
 from boxlake.llm.hashing import prefix_hashes, slices_by_bytes, span_hashes
 
 LENGTH, GRAM = 100, 32
-#: Places from which a gram counts as hot, offsets that share a piece of a hot stretch, and bytes of text in one index.
+#: Places from which a gram counts as hot and stretches from which a shard does, offsets that share a piece of a hot stretch, and bytes of text in one index.
 HOT, PIECE = 4096, 8
 INDEX_BYTES, SLICE_BYTES = 1 << 20, 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
@@ -252,14 +254,19 @@ def _index(length: int):
     return run
 
 
-def removed_spans(n_bytes: int, places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal removed runs of a text: all strings of the stretches that don't stand first here (owned), and
-    the ranges that the index marked in those that do."""
+def removed_spans(n_bytes: int, places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, length: int, hot: np.ndarray | None = None, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal removed runs of a text: all strings of the stretches that don't stand first here (owned), the
+    ranges that the index marked in those that do, and of the stretches of hot shards all strings but the firsts."""
     starts, counts = place_keys(places)
     other = ~np.isin(starts << 13 | counts, owned)
     cover = np.zeros(n_bytes + 1, np.int32)
-    np.add.at(cover, np.concatenate([starts[other], ranges >> 32]), 1)
-    np.add.at(cover, np.concatenate([starts[other] + counts[other] - 1 + length, ranges & 0xFFFFFFFF]), -1)
+    again = np.zeros(0, np.int64)
+    if hot is not None and len(hot):
+        n = hot & 0x1FFF
+        strings = np.repeat((hot >> 13) - np.cumsum(n) + n, n) + np.arange(n.sum())
+        again = strings[~np.isin(strings, firsts)]
+    np.add.at(cover, np.concatenate([starts[other], ranges >> 32, again]), 1)
+    np.add.at(cover, np.concatenate([starts[other] + counts[other] - 1 + length, ranges & 0xFFFFFFFF, again + length]), -1)
     return _runs(np.cumsum(cover)[:-1] > 0)
 
 
@@ -271,7 +278,7 @@ def _apply(length: int):
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 raw = _bytes(text)
-                starts, ends = removed_spans(len(raw), *(v[o[i] : o[i + 1]] for o, v in parts), length)
+                starts, ends = removed_spans(len(raw), *(v[o[i] : o[i + 1]] for o, v in parts[:3]), length, *(v[o[i] : o[i + 1]] for o, v in parts[3:]))
                 kept, at = [], 0
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     kept.append(raw[at:s])
@@ -285,6 +292,13 @@ def _apply(length: int):
     return run
 
 
+def first_strings(stretches: DataFrame, length: int) -> DataFrame:
+    """uid, firsts: starts of the strings of the stretches (doc_id, uid, start, body) that stand nowhere earlier."""
+    strings = stretches.select("doc_id", "uid", F.expr(f"inline(transform(sequence(0, octet_length(body) - {length}), k -> struct(unhex(sha2(substring(body, k + 1, {length}), 256)) AS string, start + k AS at)))"))
+    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"))
+    return first.groupBy("first.uid").agg(F.collect_list(F.col("first.at").cast("bigint")).alias("firsts"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_from: int = HOT) -> DataFrame:
     """uid (the row's key), n_removed, n_spans, kept_sha256, starts, stops of the documents that may lose bytes."""
     if not 8 <= gram <= length - PIECE or length > _FIELD:
@@ -297,11 +311,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     parts = written(keyed.join(places.hint("merge"), "uid"), "repeat-texts")
     distinct = contexts(parts, length, gram).groupBy("shard", "body").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first")).select("first.doc_id", "first.uid", "shard", "first.start", "body")
     distinct = written(distinct, "repeat-stretches")
-    several = distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shard")
-    shared = distinct.join(several, "shard").select("doc_id", "uid", "shard", "start", "body").repartition("shard").sortWithinPartitions("shard")
+    sizes = written(distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-sizes")
+    shared = distinct.join(sizes.filter(F.col("n") < hot_from).select("shard"), "shard").select("doc_id", "uid", "shard", "start", "body").repartition("shard").sortWithinPartitions("shard")
     marks = shared.mapInArrow(_index(length), "uid bigint, ranges array<bigint>").groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    owned = distinct.groupBy("uid").agg(F.collect_list(F.shiftleft(F.col("start").cast("bigint"), 13).bitwiseOR(F.octet_length("body") - length + 1)).alias("owned"))
+    key = F.shiftleft(F.col("start").cast("bigint"), 13).bitwiseOR(F.octet_length("body") - length + 1)
+    owned = distinct.groupBy("uid").agg(F.collect_list(key).alias("owned"))
     ready = parts.select("uid", "text", "places").join(owned, "uid", "left").join(marks, "uid", "left").select("uid", "text", "places", "owned", "ranges")
+    hot = sizes.filter(F.col("n") >= hot_from).select("shard")
+    if not hot.isEmpty():
+        stretches = distinct.join(hot, "shard", "left_semi")
+        ready = ready.join(stretches.groupBy("uid").agg(F.collect_list(key).alias("hot")), "uid", "left").join(first_strings(stretches, length), "uid", "left")
     return ready.mapInArrow(_apply(length), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
 

@@ -370,6 +370,39 @@ def test_repeats_against_brute_force(spark, hot):
         assert got.get(d, (0, hashlib.sha256((texts_of(docs)[d] or "").encode()).hexdigest())) == w
 
 
+def test_no_index_holds_a_hot_shard(spark, monkeypatch):
+    """Varied text right before and after one shared passage: as many distinct stretches as documents."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(60)
+    docs = frame(spark, [word(50) + passage + word(50) for _ in range(120)])
+    want = brute_removed(texts_of(docs), 40)
+    index = repeats._index
+
+    def bounded(length):
+        run, limit = index(length), 16
+
+        def checked(batches):
+            count = {}
+
+            def counted():
+                for batch in batches:
+                    for shard in batch.column(2).to_pylist():
+                        count[shard] = count.get(shard, 0) + 1
+                        if count[shard] >= limit:
+                            raise ValueError("a hot shard in one index")
+                    yield batch
+
+            yield from run(counted())
+
+        return checked
+
+    monkeypatch.setattr(repeats, "_index", bounded)
+    keys = {r.uid: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) uid").collect()}
+    got = {keys[r.uid]: (r.n_removed, r.kept_sha256) for r in repeats.repeated_spans(docs, 40, 16, 16).collect()}
+    assert got == {d: want[d] for d in got} and sum(n > 0 for n, _ in got.values()) == 119 == sum(n > 0 for n, _ in want.values())
+
+
 def test_index_against_brute_force():
     rng = random.Random(10)
     for _ in range(40):

@@ -178,9 +178,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "quality-sample")
     stats = text_statistics(docs.join(sample, "doc_id").select("doc_id", "text", "quality"), ["doc_id", "quality"])
-    ratios = [F.expr(x).cast("double").alias(k) for k, x in RATIOS.items()]
-    rows = stats.filter(~base_failed()).select("doc_id", *ratios, (F.col("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return learn_rules([([r[k] for k in RATIOS], r["bad"]) for r in rows[: 2 * fit_rows]])
+    ratios = F.struct(*(F.expr(x).cast("double").alias(k) for k, x in RATIOS.items()))
+    by_id = stats.filter(~base_failed()).groupBy("doc_id", "quality").agg(F.min(ratios).alias("ratios"))  # a row per label
+    rows = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return learn_rules([(list(r["ratios"]), r["quality"] == 0) for r in rows])
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:

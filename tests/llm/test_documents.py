@@ -214,6 +214,17 @@ def test_rules_without_labels_and_columns(spark, clashing, empty):
     assert quality_rules.learn_rules([([0.0] * 9, True)] * 5) == []
 
 
+def test_a_repeated_id_is_fitted_on_once(spark, monkeypatch):
+    texts = [(i % 4, " ".join(f"w{i}x{k}" for k in range(60)) + "#" * i) for i in range(80)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], SCHEMA)
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(8)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn_rules", lambda rows: seen.append(rows) or [])
+    for n in (1, 5):
+        quality_rules.fit_rules(docs.repartition(n), labels, fit_rows=8)
+    assert len(seen[0]) == 4 and seen[0] == seen[1] and sum(bad for _, bad in seen[0]) == 2
+
+
 # SentencePiece
 
 

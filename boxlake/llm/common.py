@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 
 #: White space as the operators mean it: space and the five ASCII controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of its own only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a local session (tests) gets a folder of
+    its own; on a cluster it is an error, since executors can't read each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="boxlake-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +35,26 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, a lost executor
-    costs no recomputation, and the planner knows its size before it chooses a join."""
+    costs no recomputation, and the planner knows its size before it chooses a join. The write's own shuffle
+    files are of no use to anything else and go when it ends."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` whose readers have all been written themselves."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

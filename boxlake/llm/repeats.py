@@ -1,24 +1,25 @@
 """Suffix-array dedup: bytes covered by a string of ``length`` bytes that also starts earlier.
 
 Every string of ``length`` bytes has one designated gram, the one with the least hash in it (winnowing),
-so all its copies meet wherever that gram's copies meet. A document sends, for each gram that occurs
-twice or more, the stretch of text in which that gram is the designated one. Equal stretches are
-combined before the shuffle into their first place. The distinct stretches of a gram then go to one
-run-length index: a suffix array to the depth of ``length``, its Burrows-Wheeler transform cut into
-runs, and the common prefixes sampled at run ends only. Streaming the text, the sampled values give
-every position's longest match (inside a run it is one less than its predecessor's); matches of
-``length`` bytes or more are marked, and of each class of equal strings the earliest start stays.
-
-Grams in very many places (``HOT`` or more) are dealt on by the middle of their strings, so a passage
-that a third of the documents share meets nowhere whole. Where so many distinct stretches remain about
-one middle (varied text around a shared passage), they go to no index: the first place of each of their
-strings is a minimum by the string's hash, combined before the shuffle, so no group meets in one task. Only grams' hashes, stretches that may repeat,
-places, and the texts that hold them are shuffled; matches never cross documents.
-
-Defined results: a null text is empty; texts shorter than length lose nothing; of texts that share a
-doc_id only positions inside one row count as the same document, and the row with the smaller hash of
-its text counts as earlier; rows that repeat doc_id and text all get the same result, that of their
-first copy; a null doc_id comes before all others; an empty table gives an empty table.
+so all its copies meet wherever that gram's copies meet. A document has, for each gram that occurs twice
+or more, the stretch of text in which that gram is the designated one. Equal stretches meet as hashes,
+combined before the shuffle into their first place; all strings of the other places are repeats. Bytes
+are sent only of the first places of grams that have several different stretches. They go to one
+run-length index for each shard of grams: its Burrows-Wheeler transform is cut into runs, and of the
+sorted suffixes only samples at run ends stay. Streaming the text, a sample gives every position's match
+(inside a run its source moves along with it and its length falls by one); matches of ``length`` bytes
+or more are linked to their sources, and of each class of linked strings the earliest start stays.
+
+Grams with very many different stretches (``HOT`` or more: varied text around something common) are dealt
+on by the middles of their strings. Where as many distinct stretches remain about one middle, they go to
+no index: the first place of each of their strings is a minimum by the string's hash, combined before the
+shuffle, so no group meets in one task. Matches never cross documents.
+
+Defined results: a null text is empty; texts shorter than length lose nothing; very long texts are worked
+on whole, a row at a time; of texts that share a doc_id only positions inside one row count as the same
+document, and the row with the smaller hash of its text counts as earlier; rows that repeat doc_id and
+text all get the same result, that of their first copy; a null doc_id comes before all others; an empty
+table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import read_table, row_key, written
+from boxlake.llm.common import drop_written, read_table, row_key, written
 from boxlake.llm.hashing import prefix_hashes, slices_by_bytes, span_hashes
 
 LENGTH, GRAM = 100, 32
-#: Places from which a gram counts as hot and stretches from which a shard does, offsets that share a piece of a hot stretch, and bytes of text in one index.
+#: Different stretches from which a gram or a shard counts as hot, and offsets that share a piece of a hot stretch.
 HOT, PIECE = 4096, 8
+#: Bytes of text in one index (and at most one more shard), and of the texts that are worked on at once.
 INDEX_BYTES, SLICE_BYTES = 1 << 20, 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -68,45 +70,74 @@ def designated(text: np.ndarray, length: int = LENGTH, gram: int = GRAM, h: np.n
     return which[edges], hashes[which[edges]], starts[edges], starts[np.append(edges[1:], len(starts)) - 1]
 
 
-#: A place is one long: start of the stretch, offset of the gram in it, its strings less one, whether it is hot.
+#: A place is one long: start of the stretch, offset of the gram in it, its strings less one, whether its gram is hot.
 _START, _BACK, _SPAN, _FIELD = 25, 13, 1, (1 << 12) - 1
+_LONGS = pa.list_(pa.int64())
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode()
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists; null is an empty list."""
+    if column.null_count:
+        column = column.fill_null(pa.scalar([], column.type))
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+
 def _grams(length: int, gram: int):
+    """(h1, text) to (h1, gram): the designated grams of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_bytes(x) for x in batch.column(1).to_pylist()]
             for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
-                found = [designated(np.frombuffer(t, np.uint8), length, gram) for t in texts[start:end]]
-                of = np.repeat(np.arange(start, end), [len(f[0]) for f in found])
-                at, grams, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-                place = first << _START | (at - first) << _BACK | (last - first) << _SPAN
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(place), pa.array(grams.view(np.int64))], names=["uid", "place", "gram"])
+                found = [designated(np.frombuffer(t, np.uint8), length, gram)[1] for t in texts[start:end]]
+                of = np.repeat(np.arange(start, end), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], names=["h1", "gram"])
+
+    return run
+
+
+def _stretches(length: int, gram: int):
+    """(doc_id, h1, h2, text, wanted grams) to (doc_id, h1, h2, places, grams, bodies): a body is the stretch's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, wanted = _flat(batch.column(4))
+            texts = [_bytes(x) for x in batch.column(3).to_pylist()]
+            for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
+                lists: tuple[list, list, list] = ([], [], [])
+                for i in range(start, end):
+                    text = np.frombuffer(texts[i], np.uint8)
+                    h = prefix_hashes(text)
+                    at, grams, first, last = designated(text, length, gram, h)
+                    here = np.isin(grams.view(np.int64), wanted[offsets[i] : offsets[i + 1]])
+                    at, grams, first, last = at[here], grams[here], first[here], last[here]
+                    lists[0].append(first << _START | (at - first) << _BACK | (last - first) << _SPAN)
+                    lists[1].append(grams.view(np.int64))
+                    lists[2].append(span_hashes(h, first, last + length).view(np.int64))
+                names = ["doc_id", "h1", "h2", "places", "grams", "bodies"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in range(3)), *(pa.array(x, _LONGS) for x in lists)], names=names)
 
     return run
 
 
-def contexts(parts: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, uid, shard, start, body: the stretches of the places of each text. Those of a hot gram come in
-    pieces by the gram's offset in the string, the same in all copies of a string, and are dealt by the
-    bytes that all strings of the piece have."""
-    a, back, span = f"shiftright(p, {_START})", f"(shiftright(p, {_BACK}) & {_FIELD})", f"(shiftright(p, {_SPAN}) & {_FIELD})"
-    cut = lambda start, size: f"substring(bin, cast({start} as int) + 1, cast({size} as int))"
-    whole = f"struct(xxhash64({cut(f'{a} + {back}', gram)}) AS shard, cast({a} as int) AS start, {cut(a, f'{span} + {length}')} AS body)"
-    at = f"{a} + {back} - {PIECE} * j"
-    low, high = f"greatest({a}, {at} - {PIECE - 1})", f"least({a} + {span}, {at})"
-    piece = f"struct(xxhash64(j, {cut(at, length - PIECE + 1)}) AS shard, cast({low} as int) AS start, {cut(low, f'{high} - {low} + {length}')} AS body)"
-    pieces = f"transform(sequence(({back} - {span}) div {PIECE}, {back} div {PIECE}), j -> {piece})"
-    all_of = f"flatten(transform(places, p -> if(p & 1L = 1L, {pieces}, array({whole}))))"
-    return parts.select("doc_id", "uid", F.col("text").cast("binary").alias("bin"), "places").select("doc_id", "uid", F.expr(f"inline({all_of})"))
+def pieces_of(cuts: DataFrame, length: int) -> DataFrame:
+    """doc_id, h1, h2, shard, start, body: the pieces of hot stretches (doc_id, h1, h2, place, body). A piece has the
+    strings in which the gram's offset is the same but for its lowest bits, alike in all copies of a string;
+    they are dealt by the bytes that all strings of the piece have."""
+    a, back, span = f"shiftright(place, {_START})", f"(shiftright(place, {_BACK}) & {_FIELD})", f"(shiftright(place, {_SPAN}) & {_FIELD})"
+    cut = lambda start, size: f"substring(body, cast({start} as int) + 1, cast({size} as int))"
+    at = f"{back} - {PIECE} * j"
+    low, high = f"greatest(0L, {at} - {PIECE - 1})", f"least({span}, {at})"
+    piece = f"struct(xxhash64(j, {cut(at, length - PIECE + 1)}) AS shard, {a} + {low} AS start, {cut(low, f'{high} - {low} + {length}')} AS body)"
+    return cuts.select("doc_id", "h1", "h2", F.expr(f"inline(transform(sequence(({back} - {span}) div {PIECE}, {back} div {PIECE}), j -> {piece}))"))
 
 
 def place_keys(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, numbers of strings) of the stretches of places, hot ones in pieces as ``contexts`` cuts them."""
+    """(starts, numbers of strings) of the stretches of places, hot ones in pieces as ``pieces_of`` cuts them."""
     a, back, span = places >> _START, (places >> _BACK) & _FIELD, (places >> _SPAN) & _FIELD
     hot = (places & 1) == 1
     starts, counts = [a[~hot]], [span[~hot] + 1]
@@ -123,7 +154,12 @@ def place_keys(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunIndex:
-    """A run-length index over texts: sorted suffixes, the transform's runs, prefixes sampled at run ends."""
+    """A run-length index over texts: the transform's runs, each with samples of the sorted suffixes at its end.
+
+    What sorting needs is let go of; ``heads`` (positions in text order), ``sources`` and ``common`` have one value
+    for each run of the transform: where its first suffix stands, where the one sorted before it does (the end of
+    the run before), and how many bytes these two have in common.
+    """
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) for t in texts])
@@ -133,7 +169,6 @@ class RunIndex:
         n = len(self.text)
         ends = np.cumsum(sizes + 1) - 1
         room = ends[self.owner] - np.arange(n)  # bytes from here to the text's end
-        self.room = room
         # ranks by the first 5 bytes; an end mark is a symbol of its own, by its text's number
         padded = np.concatenate([self.text, np.full(8, 255, np.uint8)]).astype(np.uint64)
         key = np.zeros(n, np.uint64)
@@ -162,59 +197,56 @@ class RunIndex:
             new[slots] = fresh
             rank[at] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
             size *= 2
-        self.order, self.rank = order, rank
         before = self.text[order - 1].astype(np.int64)  # the transform; row of position 0 wraps to the last mark
         before = np.where(before == 255, 256 + order, before)  # end marks are all different
-        self.run_heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-
-    def longest_matches(self) -> np.ndarray:
-        """For every position, the common prefix with the suffix sorted before it.
-
-        Values are computed where a run begins and streamed in text order from there.
-        """
-        n, order = len(self.text), self.order
-        heads = self.run_heads[self.run_heads > 0]
-        a, b = order[heads], order[heads - 1]
-        common = np.zeros(len(heads), np.int64)
-        going = np.arange(len(heads))
-        padded = np.concatenate([self.text, np.full(8, 255, np.uint8)])
-        limit = np.minimum(self.room[a], self.room[b])
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        rows = np.flatnonzero(before[1:] != before[:-1]) + 1
+        heads, sources = order[rows], order[rows - 1]
+        common = self._common(heads, sources, room)
+        heads, sources, common = np.append(heads, order[0]), np.append(sources, order[0]), np.append(common, 0)
+        in_text = np.argsort(heads)
+        self.heads, self.sources, self.common = heads[in_text], sources[in_text], common[in_text]
+
+    def _common(self, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at a and b have in common."""
+        n = len(self.text)
+        out, going = np.zeros(len(a), np.int64), np.arange(len(a))
+        words = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.text, np.full(8, 255, np.uint8)]), 8)
+        limit = np.minimum(room[a], room[b])
         for k in range(0, int(limit.max(initial=0)) + 8, 8):
             if not len(going):
                 break
             x, y = np.minimum(a[going] + k, n - 1), np.minimum(b[going] + k, n - 1)
             differ = words[x] != words[y]
             first = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
-            common[going] = k + first
+            out[going] = k + first
             going = going[(first == 8) & (k + 8 < limit[going])]
-        common = np.minimum(common, limit)
-        sampled = np.full(n, -1, np.int64)
-        sampled[a] = common
-        sampled[order[0]] = 0
-        base = np.maximum.accumulate(np.where(sampled >= 0, np.arange(n), 0))
-        return np.maximum(sampled[base] - (np.arange(n) - base), 0)
+        return np.minimum(out, limit)
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every position, the length and the source of its match: the suffix sorted before it. Where the
+        transform's run goes on, both positions have moved by one and the match is one byte shorter."""
+        at = np.arange(len(self.text))
+        run = np.searchsorted(self.heads, at, "right") - 1  # position 0 follows an end mark, so a run begins there
+        moved = at - self.heads[run]
+        return np.maximum(self.common[run] - moved, 0), self.sources[run] + moved
 
 
 def repeated_starts(texts: list[bytes], places: list[tuple[int, int]], length: int) -> list[np.ndarray]:
     """For each text (distinct, first at places[i] = (document's rank, start)), which of its strings of
     length bytes also start earlier in another text or here."""
     index = RunIndex(texts)
-    n = len(index.text)
-    match = index.longest_matches()
-    # rows in suffix order: a class of equal strings goes on while the common prefix is long enough
-    row_match = match[index.order]
-    inside = index.room[index.order] >= length
-    joined = (row_match >= length) & inside
-    cls = np.cumsum(~joined)
-    size = np.bincount(cls)
-    many = inside & (size[cls] > 1)
-    at, cls = index.order[many], cls[many]
-    owner = index.owner[at]
+    match, source = index.matches()
+    # a long match links a string with its equal; following the links leads to one string of each class
+    long = match >= length
+    root = np.where(long, source, np.arange(len(match)))
+    while (further := root[root] != root).any():
+        root = np.where(further, root[root], root)
+    at = np.union1d(np.flatnonzero(long), root[long])
+    cls, owner = root[at], index.owner[at]
     docs, firsts = np.array([p[0] for p in places]), np.array([p[1] for p in places])
     order = np.lexsort((firsts[owner] + at - index.starts[owner], docs[owner], cls))
     again = np.concatenate([[False], cls[order][1:] == cls[order][:-1]]) if len(order) else np.zeros(0, bool)
-    flags = np.zeros(n, bool)
+    flags = np.zeros(len(match), bool)
     flags[at[order][again]] = True
     return [flags[s : s + len(t) - length + 1] for s, t in zip(index.starts, texts, strict=True)]
 
@@ -225,112 +257,178 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(length: int):
+    """(doc_id, h1, h2, shard, start, body), a shard's rows together, to (h1, h2, ranges of repeated bytes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            ranks = {d: i for i, d in enumerate(sorted({(x[0] is not None, x[0] or 0, x[1]) for x in held}))}
-            places = [(ranks[x[0] is not None, x[0] or 0, x[1]], x[3]) for x in held]
-            uids, ranges = [], []
-            for x, flags in zip(held, repeated_starts([x[4] for x in held], places, length), strict=True):
+            rows = [(x[0] is not None, x[0] or 0, x[1], x[2]) for x in held]
+            ranks = {d: i for i, d in enumerate(sorted(set(rows)))}
+            keys, ranges = [], []
+            for x, flags in zip(held, repeated_starts([x[5] for x in held], [(ranks[r], x[4]) for r, x in zip(rows, held, strict=True)], length), strict=True):
                 if flags.any():
                     froms, tos = _runs(flags)
-                    uids.append(x[1])
-                    ranges.append((froms + x[3]) << 32 | (tos + x[3] - 1 + length))
-            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ranges, pa.list_(pa.int64()))], names=["uid", "ranges"])
+                    keys.append((x[1], x[2]))
+                    ranges.append((froms + x[4]) << 32 | (tos + x[4] - 1 + length))
+            arrays = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ranges, _LONGS)]
+            return pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != last and size >= INDEX_BYTES:
+                if row[3] != last and size >= INDEX_BYTES:
                     yield flush()
                     held, size = [], 0
-                last = row[2]
+                last = row[3]
                 held.append(row)
-                size += len(row[4]) + 1
+                size += len(row[5]) + 1
         if held:
             yield flush()
 
     return run
 
 
-def removed_spans(n_bytes: int, places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, length: int, hot: np.ndarray | None = None, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, pieces: np.ndarray, hot: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The maximal removed runs of a text: all strings of the stretches that don't stand first here (owned), the
-    ranges that the index marked in those that do, and of the stretches of hot shards all strings but the firsts."""
-    starts, counts = place_keys(places)
-    other = ~np.isin(starts << 13 | counts, owned)
-    cover = np.zeros(n_bytes + 1, np.int32)
-    again = np.zeros(0, np.int64)
-    if hot is not None and len(hot):
-        n = hot & 0x1FFF
-        strings = np.repeat((hot >> 13) - np.cumsum(n) + n, n) + np.arange(n.sum())
-        again = strings[~np.isin(strings, firsts)]
-    np.add.at(cover, np.concatenate([starts[other], ranges >> 32, again]), 1)
-    np.add.at(cover, np.concatenate([starts[other] + counts[other] - 1 + length, ranges & 0xFFFFFFFF, again + length]), -1)
-    return _runs(np.cumsum(cover)[:-1] > 0)
-
-
-def _apply(length: int):
+    ranges that the index marked in those that do, of owned stretches of hot grams the pieces that don't stand
+    first here, and of the pieces of hot shards all strings but the firsts."""
+    first_here = np.isin(places, owned & ~1)
+    starts, counts = place_keys(places[~first_here])
+    hot_starts, hot_counts = place_keys(owned[(owned & 1) == 1])
+    other = ~np.isin(hot_starts << 13 | hot_counts, pieces)
+    n = hot & 0x1FFF
+    strings = np.repeat((hot >> 13) - np.cumsum(n) + n, n) + np.arange(n.sum())
+    again = strings[~np.isin(strings, firsts)]
+    starts, counts = np.concatenate([starts, hot_starts[other]]), np.concatenate([counts, hot_counts[other]])
+    froms = np.concatenate([starts, ranges >> 32, again])
+    tos = np.concatenate([starts + counts - 1 + length, ranges & 0xFFFFFFFF, again + length])
+    order = np.argsort(froms, kind="stable")
+    froms, tos = froms[order], np.maximum.accumulate(tos[order])
+    new = np.concatenate([[True], froms[1:] > tos[:-1]])[: len(froms)]
+    return froms[new], tos[np.append(np.flatnonzero(new)[1:], len(froms)) - 1] if len(froms) else tos
+
+
+def _spans(length: int):
+    """(h1, h2, places, owned, ranges, pieces, hot, firsts) to (h1, h2, starts, stops) of the texts that lose bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [(c.fill_null([]) if c.null_count else c) for c in batch.columns[2:]]
-            parts = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in lists]
-            rows = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = _bytes(text)
-                starts, ends = removed_spans(len(raw), *(v[o[i] : o[i + 1]] for o, v in parts[:3]), length, *(v[o[i] : o[i + 1]] for o, v in parts[3:]))
-                kept, at = [], 0
-                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                    kept.append(raw[at:s])
-                    at = e
-                kept.append(raw[at:])
-                rows.append((int((ends - starts).sum()), len(starts), hashlib.sha256(b"".join(kept)).hexdigest(), starts.tolist(), ends.tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            arrays = [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
+            lists = [_flat(c) for c in batch.columns[2:]]
+            found = [removed_spans(*(v[o[i] : o[i + 1]] for o, v in lists), length) for i in range(batch.num_rows)]
+            some = pa.array([i for i, f in enumerate(found) if len(f[0])], pa.int64())
+            arrays = [batch.column(k).take(some) for k in (0, 1)] + [pa.array([f[k] for f in found if len(f[0])], _LONGS) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "starts", "stops"])
 
     return run
 
 
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, starts, stops, text) to (h1, h2, n_removed, n_spans, kept_sha256, starts, stops)."""
+    for batch in batches:
+        (o, starts), (_, stops) = _flat(batch.column(2)), _flat(batch.column(3))
+        rows = []
+        for i, text in enumerate(batch.column(4).to_pylist()):
+            raw, at, kept = memoryview(_bytes(text)), 0, hashlib.sha256()
+            s, e = starts[o[i] : o[i + 1]], stops[o[i] : o[i + 1]]
+            for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                kept.update(raw[at:x])
+                at = y
+            kept.update(raw[at:])
+            rows.append((int((e - s).sum()), len(s), kept.hexdigest()))
+        made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, batch.column(2), batch.column(3)], names=["h1", "h2", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
+
+
 def first_strings(stretches: DataFrame, length: int) -> DataFrame:
-    """uid, firsts: starts of the strings of the stretches (doc_id, uid, start, body) that stand nowhere earlier."""
-    strings = stretches.select("doc_id", "uid", F.expr(f"inline(transform(sequence(0, octet_length(body) - {length}), k -> struct(unhex(sha2(substring(body, k + 1, {length}), 256)) AS string, start + k AS at)))"))
-    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"))
-    return first.groupBy("first.uid").agg(F.collect_list(F.col("first.at").cast("bigint")).alias("firsts"))
+    """h1, h2, firsts: starts of the strings of the stretches (doc_id, h1, h2, start, body) that stand nowhere earlier."""
+    strings = stretches.select("doc_id", "h1", "h2", F.expr(f"inline(transform(sequence(0, octet_length(body) - {length}), k -> struct(unhex(sha2(substring(body, k + 1, {length}), 256)) AS string, start + k AS at)))"))
+    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "h1", "h2", "at")).alias("first"))
+    return first.groupBy("first.h1", "first.h2").agg(F.collect_list("first.at").alias("firsts"))
+
+
+def _hot_marks(cuts: DataFrame, length: int, hot_from: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """What comes of the owned stretches of hot grams: pieces for the index, and arrays by document."""
+    pieces = pieces_of(cuts.filter("hot"), length).groupBy("shard", "body").agg(F.min(F.struct("doc_id", "h1", "h2", "start")).alias("first")).select("first.*", "shard", "body")
+    pieces = written(pieces, "repeat-pieces")
+    sizes = written(pieces.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-shards")
+    key = F.shiftleft("start", 13).bitwiseOR(F.octet_length("body") - length + 1)
+    hottest = pieces.join(sizes.filter(F.col("n") >= hot_from).select("shard"), "shard", "left_semi")
+    lists = pieces.groupBy("h1", "h2").agg(F.collect_list(key).alias("pieces"))
+    lists = lists.join(hottest.groupBy("h1", "h2").agg(F.collect_list(key).alias("hot")), ["h1", "h2"], "left").join(first_strings(hottest, length), ["h1", "h2"], "left")
+    lists = written(lists, "repeat-hot")
+    index = pieces.join(sizes.filter(F.col("n") < hot_from).select("shard"), "shard", "left_semi")
+    return index.select("doc_id", "h1", "h2", "shard", "start", "body"), lists, [pieces, sizes, lists]
+
+
+def spans_of(keyed: DataFrame, length: int, gram: int, hot_from: int) -> DataFrame:
+    """h1, h2, starts, stops of the texts of keyed (doc_id, h1, h2, text; a row for each key) that lose bytes.
+
+    Tables are deleted as soon as what was made from them is written."""
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    grams = written(keyed.select("h1", "text").mapInArrow(_grams(length, gram), "h1 bigint, gram bigint"), "repeat-grams")
+    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "repeat-often")
+    wanted = written(grams.join(often, "gram").groupBy("h1").agg(F.collect_set("gram").alias("wanted")), "repeat-wanted")
+    drop_written(grams, often)
+    # rows whose h1 collides share their wanted grams, which only makes them look for more
+    texts = keyed.join(wanted.hint("merge"), "h1").select("doc_id", "h1", "h2", "text", "wanted")
+    texts = written(texts.mapInArrow(_stretches(length, gram), f"doc_id {id_type}, h1 bigint, h2 bigint, places array<bigint>, grams array<bigint>, bodies array<bigint>"), "repeat-places")
+    drop_written(wanted)
+    places = texts.select("doc_id", "h1", "h2", F.expr("inline(arrays_zip(places, grams, bodies))")).toDF("doc_id", "h1", "h2", "place", "gram", "body")
+    firsts = places.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "h1", "h2", "place")).alias("first")).select("gram", "first.*")
+    firsts = written(firsts, "repeat-firsts")
+    sizes = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") >= hot_from).alias("hot")), "repeat-sizes")
+
+    needed = firsts.join(sizes, "gram").groupBy("h1", "h2").agg(F.collect_list(F.struct("gram", "hot", "place")).alias("needed"))
+    cut = f"substring(bin, cast(shiftright(x.place, {_START}) as int) + 1, cast(shiftright(x.place, {_SPAN}) & {_FIELD} as int) + {length})"
+    cuts = keyed.join(needed, ["h1", "h2"]).select("doc_id", "h1", "h2", F.col("text").cast("binary").alias("bin"), "needed")
+    cuts = cuts.select("doc_id", "h1", "h2", F.expr(f"inline(transform(needed, x -> struct(x.gram AS shard, x.hot AS hot, x.place AS place, {cut} AS body)))"))
+    cuts = written(cuts, "repeat-stretches")
+    index = cuts.filter("not hot").select("doc_id", "h1", "h2", "shard", F.shiftright("place", _START).alias("start"), "body")
+    done, lists = [texts, firsts, sizes, cuts], None
+    hot_grams = sizes.filter("hot").select("gram", F.lit(1).cast("bigint").alias("flag"))
+    if not hot_grams.isEmpty():
+        pieces, lists, tables = _hot_marks(cuts, length, hot_from)
+        index, done = index.union(pieces), [*done, *tables]
+        firsts = firsts.join(hot_grams, "gram", "left").withColumn("place", F.col("place").bitwiseOR(F.coalesce("flag", F.lit(0))))
+    marks = index.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index(length), "h1 bigint, h2 bigint, ranges array<bigint>")
+    marks = marks.groupBy("h1", "h2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    owned = firsts.groupBy("h1", "h2").agg(F.collect_list("place").alias("owned"))
+    ready = texts.select("h1", "h2", "places").join(owned, ["h1", "h2"], "left").join(marks, ["h1", "h2"], "left")
+    if lists is not None:
+        ready = ready.join(lists, ["h1", "h2"], "left")
+    none = F.lit(None).cast("array<bigint>")
+    ready = ready.select("h1", "h2", "places", "owned", "ranges", *(c if lists is not None else none.alias(c) for c in ("pieces", "hot", "firsts")))
+    out = written(ready.mapInArrow(_spans(length), "h1 bigint, h2 bigint, starts array<bigint>, stops array<bigint>"), "repeat-spans")
+    drop_written(*done)
+    return out
+
+
+def _keys() -> tuple:
+    """128 bits that tell rows apart by doc_id and text."""
+    return row_key("doc_id", "text").alias("h1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h2")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_from: int = HOT) -> DataFrame:
-    """uid (the row's key), n_removed, n_spans, kept_sha256, starts, stops of the documents that may lose bytes."""
+    """h1, h2 (the row's key), n_removed, n_spans, kept_sha256, starts, stops of the texts that lose bytes."""
     if not 8 <= gram <= length - PIECE or length > _FIELD:
         raise ValueError("gram must be from 8 to length - 8, length below 4096")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key("doc_id", "text").alias("uid"), "text")
-    grams = written(keyed.select("uid", "text").mapInArrow(_grams(length, gram), "uid bigint, place bigint, gram bigint"), "repeat-grams")
-    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") >= hot_from).cast("bigint").alias("hot")), "repeat-often")
-    places = grams.join(often, "gram").groupBy("uid").agg(F.collect_list(F.col("place").bitwiseOR(F.col("hot"))).alias("places"))
-    places = written(places, "repeat-places")
-    parts = written(keyed.join(places.hint("merge"), "uid"), "repeat-texts")
-    distinct = contexts(parts, length, gram).groupBy("shard", "body").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first")).select("first.doc_id", "first.uid", "shard", "first.start", "body")
-    distinct = written(distinct, "repeat-stretches")
-    sizes = written(distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-sizes")
-    shared = distinct.join(sizes.filter(F.col("n") < hot_from).select("shard"), "shard").select("doc_id", "uid", "shard", "start", "body").repartition("shard").sortWithinPartitions("shard")
-    marks = shared.mapInArrow(_index(length), "uid bigint, ranges array<bigint>").groupBy("uid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    key = F.shiftleft(F.col("start").cast("bigint"), 13).bitwiseOR(F.octet_length("body") - length + 1)
-    owned = distinct.groupBy("uid").agg(F.collect_list(key).alias("owned"))
-    ready = parts.select("uid", "text", "places").join(owned, "uid", "left").join(marks, "uid", "left").select("uid", "text", "places", "owned", "ranges")
-    hot = sizes.filter(F.col("n") >= hot_from).select("shard")
-    if not hot.isEmpty():
-        stretches = distinct.join(hot, "shard", "left_semi")
-        ready = ready.join(stretches.groupBy("uid").agg(F.collect_list(key).alias("hot")), "uid", "left").join(first_strings(stretches, length), "uid", "left")
-    return ready.mapInArrow(_apply(length), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
+    keyed = docs.select("doc_id", *_keys(), "text")
+    again = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        keyed = written(keyed.dropDuplicates(["h1", "h2"]), "repeat-rows")
+    spans = spans_of(keyed, length, gram, hot_from)
+    texts = spans.join(keyed.select("h1", "h2", "text"), ["h1", "h2"]).select("h1", "h2", "starts", "stops", "text")
+    return texts.mapInArrow(_apply, "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(repeated_spans(docs).filter("n_removed > 0").drop("starts", "stops").dropDuplicates(["uid"]), "repeat-found")
+    found = written(repeated_spans(docs).drop("starts", "stops"), "repeat-found")
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", row_key("doc_id", "text").alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    plain = docs.select("doc_id", *_keys(), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return plain.join(found, "uid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return plain.join(found, ["h1", "h2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_suffix_dedup": op7_suffix_dedup}

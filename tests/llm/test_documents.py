@@ -365,20 +365,29 @@ def brute_removed(docs, length):
                 cover[i : i + length] = b"\1" * length
             else:
                 seen.add(w)
-        out[d] = (sum(cover), hashlib.sha256(bytes(x for x, c in zip(t, cover) if not c)).hexdigest())
+        n_spans = sum(1 for _ in re.finditer(b"\1+", bytes(cover)))
+        out[d] = (sum(cover), n_spans, hashlib.sha256(bytes(x for x, c in zip(t, cover) if not c)).hexdigest())
     return out
 
 
+def repeats_of(docs, *parameters):
+    """The operator's results in the form of brute_removed."""
+    texts = texts_of(docs)
+    keys = {r.h1: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) h1").collect()}
+    rows = repeats.repeated_spans(docs, *parameters).collect()
+    assert all(r.n_removed == sum(r.stops) - sum(r.starts) and r.n_spans == len(r.starts) == len(r.stops) for r in rows)
+    found = {keys[r.h1]: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert len(found) == len(rows)
+    return {d: found.get(d, (0, 0, hashlib.sha256((t or "").encode()).hexdigest())) for d, t in texts.items()}
+
+
 @pytest.mark.parametrize("hot", [2, 10_000])
 def test_repeats_against_brute_force(spark, hot):
     rng = random.Random(9)
     passage = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(30, 200))) for _ in range(6)]
     docs = frame(spark, [None, "", "a" * 400] + ["".join(rng.choice(passage)[rng.randint(0, 9) :] + rng.choice("xyz") for _ in range(rng.randint(1, 6))) for _ in range(60)])
     want = brute_removed(texts_of(docs), 40)
-    keys = {r.uid: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) uid").collect()}
-    got = {keys[r.uid]: (r.n_removed, r.kept_sha256) for r in repeats.repeated_spans(docs, 40, 16, hot).collect()}
-    for d, w in want.items():
-        assert got.get(d, (0, hashlib.sha256((texts_of(docs)[d] or "").encode()).hexdigest())) == w
+    assert repeats_of(docs, 40, 16, hot) == want
 
 
 def test_no_index_holds_a_hot_shard(spark, monkeypatch):
@@ -398,7 +407,7 @@ def test_no_index_holds_a_hot_shard(spark, monkeypatch):
 
             def counted():
                 for batch in batches:
-                    for shard in batch.column(2).to_pylist():
+                    for shard in batch.column(3).to_pylist():
                         count[shard] = count.get(shard, 0) + 1
                         if count[shard] >= limit:
                             raise ValueError("a hot shard in one index")
@@ -409,9 +418,13 @@ def test_no_index_holds_a_hot_shard(spark, monkeypatch):
         return checked
 
     monkeypatch.setattr(repeats, "_index", bounded)
-    keys = {r.uid: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) uid").collect()}
-    got = {keys[r.uid]: (r.n_removed, r.kept_sha256) for r in repeats.repeated_spans(docs, 40, 16, 16).collect()}
-    assert got == {d: want[d] for d in got} and sum(n > 0 for n, _ in got.values()) == 119 == sum(n > 0 for n, _ in want.values())
+    assert repeats_of(docs, 40, 16, 16) == want and sum(x[0] > 0 for x in want.values()) == 119
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = texts_of(read_table(spark, sf_dir, "documents"))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op7_suffix_dedup(spark, sf_dir).collect()}
+    assert got == brute_removed(docs, 100) and any(n for _, n, _ in got.values())
 
 
 def test_index_against_brute_force():
@@ -433,6 +446,10 @@ def test_index_against_brute_force():
 def test_repeats_edges(spark, clashing, empty):
     assert repeats.repeated_spans(empty).count() == 0
     assert repeats.repeated_spans(clashing).filter("n_removed > 0").count() >= 1
+    more = clashing.selectExpr("doc_id", "text", *(f"1 AS {c}" for c in ("h1", "h2", "gram", "place", "starts", "body")))
+    assert repeats.repeated_spans(more).count() == repeats.repeated_spans(clashing).count()
+    named = clashing.withColumn("doc_id", clashing["doc_id"].cast("string"))
+    assert repeats.repeated_spans(named.union(named)).count() == repeats.repeated_spans(named).count() >= 1
     with pytest.raises(ValueError):
         repeats.repeated_spans(empty, 100, 4)
     starts, counts = repeats.place_keys(np.array([5 << 25 | 3 << 13 | 7 << 1]))

@@ -61,6 +61,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that none of them meets a column of the operator."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; null and blank texts have none."""
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * 6), " "), lambda w: w != "")

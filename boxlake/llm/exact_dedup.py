@@ -3,8 +3,12 @@
 Texts are equal when identical after deleting white space ``[\\x20\\x09-\\x0D]``. Of equal texts the row
 with the most code points in the original stays, then the smallest doc_id (a null id sorts first).
 
-Defined results: a null text counts as empty and equals every blank text; an empty table gives an empty
-table; rows that repeat doc_id and text all count in group_size and share the verdict (``drop_copies``
+What is looked up by a key that many rows may share (a length, a hash) is a written table of its own, so
+that adaptive execution can split the rows of a hot key; groupings are counts and minima, combined before
+their shuffle.
+
+Defined results: a null text counts as empty and equals every blank text; very long texts are compared
+whole, by SHA-256; an empty table gives an empty table; rows that repeat doc_id and text all count in group_size and share the verdict (``drop_copies``
 keeps one of them, the same in every run); rows whose texts differ all stay, whether their doc_id is null,
 repeated or their own; other columns may have any name and pass ``drop_copies`` unchanged.
 """
@@ -16,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import SPACES, read_table, written
+from boxlake.llm.common import SPACES, as_row, drop_written, read_table, written
 
 PREFIX_CHARS = 256
 
@@ -49,13 +53,11 @@ def _groups(docs: DataFrame, digest: bool = False, *more: Column) -> DataFrame:
     ).drop("none")
     names = keyed.columns[5:]
     light = written(keyed.select("n_norm", "prefix_hash"), "exact-keys")
-    by_length = light.groupBy("n_norm").count().filter("count > 1").select("n_norm")
-    by_prefix = (
-        light.join(by_length, "n_norm", "left_semi")
-        .groupBy("n_norm", "prefix_hash").count().filter("count > 1")
-        .select("n_norm", "prefix_hash", F.lit(True).alias("shared"))
-    )
+    lengths = written(light.groupBy("n_norm").count().filter("count > 1").select("n_norm"), "exact-lengths")
+    same_length = written(light.join(lengths, "n_norm", "left_semi"), "exact-same-length")
+    by_prefix = same_length.groupBy("n_norm", "prefix_hash").count().filter("count > 1").select("n_norm", "prefix_hash", F.lit(True).alias("shared"))
     survivors = written(by_prefix, "exact-survivors")
+    drop_written(light, lengths, same_length)
     whole = F.sha2(F.col("norm"), 256)
     tagged = written(
         keyed.join(survivors, ["n_norm", "prefix_hash"], "left").select(
@@ -67,12 +69,14 @@ def _groups(docs: DataFrame, digest: bool = False, *more: Column) -> DataFrame:
         ),
         "exact-tagged",
     )
+    drop_written(survivors)
     groups = (
         tagged.filter("shared")
         .groupBy("text_sha256")
         .agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("p"), "doc_id")).alias("best"))
         .filter("group_size > 1")
     )
+    groups = written(groups, "exact-groups")
     return tagged.join(groups, "text_sha256", "left").select(
         "doc_id",
         "n_points",
@@ -91,21 +95,24 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     that share the verdict to stay one is taken by the least hash of its columns.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    found = _groups(docs, False, F.xxhash64("text").alias("text_hash")).filter("group_size > 1")
+    found = written(_groups(docs, False, F.xxhash64("text").alias("text_hash")).filter("group_size > 1"), "exact-found")
     rows = found.groupBy("doc_id", "n_points", "text_hash", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     rows = written(rows, "exact-rows")
     several = rows.filter("kept").groupBy("text_sha256").agg(F.sum("n").alias("n")).filter("n > 1").select("text_sha256", F.lit(True).alias("several"))
+    several = written(several, "exact-several")
     marked = rows.join(several, "text_sha256", "left").filter("several OR NOT kept")
-    marked = marked.select(F.col("doc_id").alias("__id"), F.col("n_points").alias("__points"), F.col("text_hash").alias("__hash"), F.when(F.col("kept"), F.col("text_sha256")).alias("__group"))
+    marked = marked.select("doc_id", "n_points", "text_hash", F.when(F.col("kept"), F.col("text_sha256")).alias("group"))
     marked = written(marked, "exact-marked")
-    same = docs["doc_id"].eqNullSafe(marked["__id"]) & (F.length(text) == marked["__points"]) & (F.xxhash64(docs["text"]) == marked["__hash"])
-    out = docs.join(marked, same, "left_anti")
-    repeated = marked.filter("__group IS NOT NULL")
+    drop_written(found, rows, several)
+    packed = docs.select(as_row(docs).alias("row"), "doc_id", F.length(text).alias("n_points"), F.xxhash64("text").alias("text_hash"))
+    same = packed["doc_id"].eqNullSafe(marked["doc_id"]) & (packed["n_points"] == marked["n_points"]) & (packed["text_hash"] == marked["text_hash"])
+    out = packed.join(marked, same, "left_anti").select("row.*")
+    repeated = marked.filter("group IS NOT NULL")
     if repeated.isEmpty():
         return out
-    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
-    groups = docs.join(repeated, same).select("__group", F.struct(*(docs[c] for c in docs.columns)).alias("__row"), hashed.alias("__order"))
-    return out.unionByName(groups.groupBy("__group").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
+    hashed = F.xxhash64(*(F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    groups = packed.join(repeated, same).select("group", "row", hashed.alias("order"))
+    return out.unionByName(groups.groupBy("group").agg(F.min_by("row", "order").alias("row")).select("row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

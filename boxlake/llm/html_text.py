@@ -8,7 +8,8 @@ role or class before that. A class or id counts where it is such a part's own na
 not ``with-sidebar`` or ``related-work``), and not on an element that holds the page's article or the
 larger part of its text without links; the density decides there.
 
-Without an article or main, what stands beside the path from the body to the main text is text too where
+Of several articles all stay that are as dense as the thinnest node on the path from the body to the best
+one. Without an article or main, what stands beside the path from the body to the main text is text too where
 it is a heading or as dense as the path's thinnest node. Short blocks are less dense than any node that
 holds many; beside the main text itself the bar is therefore its own thinnest block, and paragraphs,
 quotes, lists, tables and (inside an element of the body) blocks without blocks in them stay unless most
@@ -20,7 +21,7 @@ blocks are trimmed and joined in page order by one space.
 Defined results: null, empty or blank html, or html without a text, gives an empty text; html without
 tags is one block; tags left open are closed where their parent ends; rows that repeat are all
 extracted; an empty table gives an empty table; other columns are ignored. Trees are walked without
-recursion, so depth doesn't matter.
+recursion, so neither depth nor length matters.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ CLOSES = {x: ("p",) for x in "address article aside blockquote center details di
 }
 SCOPES = frozenset("html body table ul ol dl td th div article section main aside nav header footer form blockquote button template object".split())
 #: Elements, roles and words of classes and ids that mark what isn't main text.
-DROPPED = frozenset("nav footer aside form script style noscript iframe button select option textarea input svg canvas object embed template head title menu dialog xmp noembed noframes audio video map".split())
+DROPPED = frozenset("nav footer aside script style noscript iframe button select option textarea input svg canvas object embed template head title menu dialog xmp noembed noframes audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies disqus respond related recommended widget toolbar pagination pager masthead topbar skip copyright disclaimer form search".split()
@@ -96,6 +97,8 @@ def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
 
 def _named(tag: str, attrs: str, inside_article: bool) -> frozenset[str]:
     """Words of the classes and the id that name the element itself as boilerplate. A heading's id is its text's."""
+    if tag == "form":
+        return frozenset(["form"])
     if not attrs or tag in ("html", "body", "main", "article"):
         return frozenset()
     found: set[str] = set()
@@ -262,8 +265,9 @@ def main_node(root: Node) -> tuple[Node, float]:
     best = max(nodes, key=lambda n: n.total)
     marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     inside = [n for n in marked if _below(n, best)]
-    if inside and best.tag not in ("article", "main") and 2 * max(n.chars for n in inside) >= best.chars and not any(_below(best, n) for n in marked):
-        best = max(inside, key=lambda n: n.chars)
+    outer = [n for n in inside if not any(n is not m and _below(n, m) for m in inside)]
+    if inside and best.tag not in ("article", "main") and 2 * sum(n.chars for n in outer) >= best.chars and not any(_below(best, n) for n in marked):
+        best = max(outer, key=lambda n: n.chars - n.links)
     for n in marked:  # part of an article: the article
         if n is not best and _below(best, n):
             best = n
@@ -313,7 +317,7 @@ def _with_path(root: Node, best: Node, threshold: float) -> list:
             elif not k.dropped and k.chars:
                 leaf = node.parent.tag not in ("html", "body") and not any(not isinstance(x, str) and x.tag in BLOCKS for x in k.kids)
                 bar = least if near or k.tag in TEXTS else threshold
-                if k.tag in HEADINGS or k.density >= bar > 0 or (near and (k.tag in TEXTS or leaf) and 2 * k.links < k.chars):
+                if k.tag in HEADINGS or (near and _only_headings(k)) or k.density >= bar > 0 or (near and (k.tag in TEXTS or leaf) and 2 * k.links < k.chars):
                     parts[side].append(k)
         close()
         before.append(parts[0])
@@ -323,13 +327,39 @@ def _with_path(root: Node, best: Node, threshold: float) -> list:
     return [x for part in reversed(before) for x in part] + [None, best, None] + [x for part in after for x in part]
 
 
+def _only_headings(node: Node) -> bool:
+    """All text of the node stands in headings."""
+    todo: list = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if _SPACE.sub("", x):
+                return False
+        elif not x.dropped and x.tag not in HEADINGS:
+            todo.extend(x.kids)
+    return True
+
+
+def _articles(root: Node, best: Node, threshold: float) -> list:
+    """The best article, and the page's others beside it that are as dense as its path's thinnest node."""
+    out: list = []
+    todo: list[Node] = [root]
+    while todo:
+        node = todo.pop()
+        if node is best or (node.tag == best.tag and 2 * node.links < node.chars and node.density >= threshold and not _below(best, node)):
+            out += [None, node, None]
+        elif node.tag != best.tag:
+            todo.extend(k for k in reversed(node.kids) if not isinstance(k, str) and not k.dropped)
+    return out
+
+
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
     root = parse(html)
     best, threshold = main_node(root)
-    tops: list = [best] if best.tag in ("article", "main") else _with_path(root, best, threshold)
+    tops: list = _articles(root, best, threshold) if best.tag in ("article", "main") else _with_path(root, best, threshold)
     blocks: list[str] = []
     held: list[str] = []
 

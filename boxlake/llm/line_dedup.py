@@ -4,9 +4,14 @@ first occurrences are streamed by windows, and what comes back for a document is
 A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; keys
 under ``min_points`` code points are never dropped.
 
-Defined results: a null or empty text is one empty line; a key counts once for each document, however
+A hot key's documents are counted in parts. The frequent keys are a written table of their own when they are
+looked up, so that adaptive execution can split the rows of a hot one.
+
+Defined results: a null or empty text is one empty line; very long texts and lines are worked on whole, in
+their row; a key counts once for each document, however
 often the document has it; rows that repeat doc_id and text are one document when counted and each get
-their row back; an empty table gives an empty table; other columns pass ``drop_lines`` unchanged.
+their row back; an empty table gives an empty table; other columns pass ``drop_lines`` unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import LOWER, SPACES, UPPER, read_table, row_key, written
+from boxlake.llm.common import LOWER, SPACES, UPPER, as_row, read_table, row_key, written
 
 #: Bits in a word of a bitmap (a long, its sign left out) and parts that a hot key's documents are dealt to.
 WORD, SALTS = 62, 16
@@ -59,32 +64,27 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, ke
     return words.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def with_kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with __n_lines and __kept, the array of lines that stay."""
-    b = written(bitmaps, "line-bitmaps").select(F.col("doc_id").alias("__b_id"), F.col("row_key").alias("__b_key"), F.col("dropped").alias("__dropped"))
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    joined = keyed.join(b, keyed["doc_id"].eqNullSafe(b["__b_id"]) & (keyed["__key"] == b["__b_key"]), "left")
-    all_lines = lines_of(joined["text"])
-    bit = "shiftright(coalesce(try_element_at(__dropped, cast(i div {w} as int)), 0L), i % {w}) & 1L = 0L".format(w=WORD)
-    kept = F.when(F.col("__dropped").isNull(), all_lines).otherwise(F.expr(rf"filter(split(coalesce(text, ''), '\n'), (x, i) -> {bit})"))
-    return joined.withColumn("__n_lines", F.size(all_lines).cast("long")).withColumn("__kept", kept).drop("__b_id", "__b_key", "__dropped", "__key")
+def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """row (docs' columns), n_lines and kept, the array of lines that stay, of each row of docs."""
+    b = written(bitmaps, "line-bitmaps")
+    packed = docs.select(as_row(docs).alias("row"), "doc_id", row_key("doc_id", "text").alias("row_key"), "text")
+    joined = packed.join(b, packed["doc_id"].eqNullSafe(b["doc_id"]) & (packed["row_key"] == b["row_key"]), "left").select("row", "text", "dropped")
+    all_lines = lines_of(F.col("text"))
+    bit = "shiftright(coalesce(try_element_at(dropped, cast(i div {w} as int)), 0L), i % {w}) & 1L = 0L".format(w=WORD)
+    kept = F.when(F.col("dropped").isNull(), all_lines).otherwise(F.expr(rf"filter(split(coalesce(text, ''), '\n'), (x, i) -> {bit})"))
+    return joined.select("row", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep: str = "none") -> DataFrame:
     """docs with the repeated lines taken out of text; all other columns as they were."""
-    out = with_kept_lines(docs, dropped_bitmaps(docs, min_docs, min_points, keep))
-    return out.withColumn("text", F.array_join("__kept", "\n")).select(*docs.columns)
+    out = kept_lines(docs, dropped_bitmaps(docs, min_docs, min_points, keep))
+    return out.select(*(F.array_join("kept", "\n").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_kept_lines(docs, dropped_bitmaps(docs))
-    return out.select(
-        "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        (F.col("__n_lines") - F.size("__kept")).alias("n_dropped"),
-        F.sha2(F.array_join("__kept", "\n"), 256).alias("kept_sha256"),
-    )
+    out = kept_lines(docs, dropped_bitmaps(docs))
+    return out.select("row.doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup}

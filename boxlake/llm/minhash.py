@@ -15,9 +15,10 @@ shingles. Documents with equal sets are one class; from there on only classes ar
 With 32 bands of 4 minima a pair at the threshold 0.8 shares no bucket with probability 5e-8.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; with fewer words
-than a shingle has, the whole sequence is the one shingle; rows that repeat a doc_id are one node; a
-null doc_id is linked with nothing; an empty table gives an empty table; ``drop_near_copies`` keeps
-all columns, and different texts under one doc_id are documents of their own to it.
+than a shingle has, the whole sequence is the one shingle; very long texts are shingled whole; rows that
+repeat doc_id and text are one node, different texts under one doc_id are nodes of their own; a null
+doc_id is linked with nothing; an empty table gives an empty table; ``drop_near_copies`` keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import read_table, row_key, written
+from boxlake.llm.common import as_row, drop_written, read_table, row_key, written
 from boxlake.llm.hashing import mix, shingle_sets, slices_by_bytes
 
 BANDS, ROWS = 32, 4
@@ -118,7 +119,11 @@ def _across(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     mine = Window.partitionBy("c", "doc")  # a document's shingles
     shared = tokens.join(common, ["c", "token"]).withColumn("later", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("df", "token")))
     placed = shared.join(open_rows, ["c", "doc"]).select("c", "token", "doc", "n", "inside", "root", "main", (F.col("later") - F.col("place") + 1).alias("left"))
+    # a partner has percent / 100 of n at least, and shares no more inside the centre than this side has of it
+    placed = placed.filter(100 * (F.col("left") + F.col("inside")) >= percent * F.col("n"))
     placed = written(placed, "near-placed")
+    roots_of = placed.groupBy("c", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("c", "token")
+    placed = placed.join(written(roots_of, "near-tokens"), ["c", "token"], "left_semi")  # other tokens link nothing that is apart
     side = lambda df, s: df.select("c", *(x for x in ("token", "size_class") if x in df.columns), *(F.col(x).alias(f"{s}_{x}") for x in ("doc", "n", "inside", "root", "left") if x in df.columns))
     need = F.col("y_n") + F.col("x_n")
     within = F.least("y_inside", "x_inside")
@@ -138,26 +143,42 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that isn't the smallest of its component; links are (a, b).
 
     Large-star hangs a node's larger neighbours under its smallest; small-star does so with the smaller
-    ones; both are a minimum by node joined back, repeated until a round changes no edge.
+    ones; both are a minimum by node joined back, repeated until all components are stars: no node hangs
+    under two others, or under one while others hang under it.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
-    state = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        open_nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0")
+        if open_nodes.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "star-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(hung.filter("u <> v").distinct(), "star-edges")
+        before, edges = edges, written(hung.filter("u <> v").distinct(), "star-edges")
+        drop_written(before, large)
+
+
+def _nodes(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells nodes apart: doc_id, and the text as well (true) where a doc_id has several texts."""
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row_key("text")).alias("low"), F.max(row_key("text")).alias("high"))
+    if texts.filter("low <> high").isEmpty():
+        return F.col("doc_id"), False
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row_key("text").alias("text"))), True
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    key, several = _nodes(docs)
+    out = _near(docs.select(key.alias("doc_id"), "text"), words, threshold, bands, rows)
+    return out.select("doc_id.doc_id", "n_shingles", F.col("component_id.doc_id").alias("component_id"), "kept") if several else out
+
+
+def _near(docs: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """near_duplicates where a doc_id has one text; it may be of any type that can be ordered."""
     percent = round(100 * threshold)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sig = written(docs.select("doc_id", "text").mapInArrow(_signatures(words, bands, rows), f"doc_id {id_type}, n_shingles bigint, set_key binary, bands array<bigint>"), "near-signatures")
@@ -198,13 +219,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
 
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """One document of each component, with all columns. Where a doc_id has several texts, each is a node."""
-    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row_key("text")).alias("low"), F.max(row_key("text")).alias("high"))
-    key = F.col("doc_id")
-    if not texts.filter("low <> high").isEmpty():
-        key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row_key("text").alias("text")))
-    gone = near_duplicates(docs.select(key.alias("doc_id"), "text"), words, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    key, _ = _nodes(docs)
+    gone = _near(docs.select(key.alias("doc_id"), "text"), words, threshold, BANDS, ROWS).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
     gone = written(gone, "near-gone")
-    return docs.join(gone, key == F.col("__gone"), "left_anti")
+    packed = docs.select(as_row(docs).alias("row"), key.alias("key"))
+    return packed.join(gone, packed["key"] == gone["gone"], "left_anti").select("row.*")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ once more the documents whose hash is under a threshold that fills the rest of i
 threshold is found from sums by source and hash bucket: nested buckets, of which only the one that
 holds the budget's edge is opened again. Nothing is sorted, and no source meets in one task.
 
-Defined results: null texts have size 0; the document at the edge is taken if at least half of it fits;
+Defined results: null texts have size 0; very long texts are counted whole; the document at the edge is taken if at least half of it fits;
 rows with the same doc_id share a hash and are taken together; an empty table gives an empty table;
-other columns pass ``mix`` unchanged. The hash depends on doc_id alone, so reruns agree.
+other columns pass ``mix`` unchanged, whatever their names. The hash depends on doc_id alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import n_words, read_table, written
+from boxlake.llm.common import as_row, n_words, read_table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -78,18 +78,18 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 def mix_plan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken."""
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sized")
-    cuts = written(thresholds(sized, targets(sized)), "mix-thresholds").withColumnRenamed("source", "__source")
+    cuts = written(thresholds(sized, targets(sized)), "mix-thresholds").withColumnRenamed("source", "of")
     times = F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long")
-    joined = sized.join(cuts, sized["source"].eqNullSafe(cuts["__source"]))
+    joined = sized.join(cuts, sized["source"].eqNullSafe(cuts["of"]))
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with all its columns."""
-    plan = mix_plan(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("times").cast("int").alias("__times")).distinct()
-    plan = written(plan.filter("__times > 0"), "mix-plan")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__src"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = written(mix_plan(docs).filter("times > 0").select("doc_id", "source", F.col("times").cast("int").alias("times")).distinct(), "mix-plan")
+    packed = docs.select(as_row(docs).alias("row"), "doc_id", "source")
+    joined = packed.join(plan, packed["doc_id"].eqNullSafe(plan["doc_id"]) & packed["source"].eqNullSafe(plan["source"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ ratios of them by FOIL gain against documents labelled 0, prunes them on rows he
 ordered conditional expression (``when(rule, false)... otherwise(true)``). It reads a sample of labelled
 rows bounded by ``FIT_ROWS`` (those whose id has the smallest hash); everything else covers all data.
 
-Defined results: a null or blank text has no words and fails the base rules; an id labelled more than
+Defined results: a null or blank text has no words and fails the base rules; very long texts are measured
+whole, in their row; an id labelled more than
 once counts with its lowest label; without labels of both kinds the list is empty and the base rules
 decide alone; rows that repeat are all judged; an empty table gives an empty table; ``apply_rules``
 keeps all other columns.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import LOWER, SPACES, UPPER, read_table, words_of, written
+from boxlake.llm.common import LOWER, SPACES, UPPER, as_row, read_table, words_of, written
 
 #: At most so many labelled rows are fitted on; a third of them only prune.
 FIT_ROWS = 12_000
@@ -186,8 +187,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))
-    return text_statistics(packed, ["__row"]).filter(verdict(rules)).select("__row.*")
+    packed = docs.select(as_row(docs).alias("row"), F.col("text"))
+    return text_statistics(packed, ["row"]).filter(verdict(rules)).select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

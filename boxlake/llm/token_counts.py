@@ -7,7 +7,7 @@ bound for remembered lengths allows. No special tokens are added; special string
 as the library does by default; nothing is truncated or padded.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; texts with no safe boundary are encoded
-whole; rows that repeat are all counted; an empty table gives an empty table; other columns are ignored.
+whole, however long; rows that repeat are all counted; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from boxlake.llm.common import default_tokenizer, read_table
+from boxlake.llm.hashing import slices_by_bytes
 
 BATCH_BYTES = 1 << 20
 #: Pieces whose length a task remembers before it starts anew.
@@ -60,17 +62,11 @@ def token_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             return [sum(map(known.__getitem__, pieces)) for pieces in cut]
 
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            sizes = [len(t.encode()) for t in texts]
-            start = 0
-            while start < len(texts):
-                end, held = start, 0
-                while end < len(texts) and (end == start or held + sizes[end] <= BATCH_BYTES):
-                    held += sizes[end]
-                    end += 1
-                tokens = lengths(texts[start:end])
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(sizes[start:end], pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-                start = end
+            sizes = pc.coalesce(pc.binary_length(batch.column(1)), pa.scalar(0, pa.int32())).to_pylist()
+            for start, end in slices_by_bytes(sizes, BATCH_BYTES):
+                part = batch.slice(start, end - start)
+                tokens = lengths([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[start:end], pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return count
 

@@ -8,8 +8,8 @@ then renamed, so a task that runs again replaces its files; what is read back ar
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the smallest page_id is the
 response and the others revisit it. Defined results: a null html is an empty payload; a null url leaves
 the target out; rows that repeat the response's page_id are responses as well; a null page_id is
-archived without its header and never revisited; an empty table gives an empty table; other columns
-are not archived.
+archived without its header and never revisited; a payload of any length is one record; an empty table
+gives an empty table; other columns are not archived.
 """
 
 from __future__ import annotations
@@ -144,7 +144,8 @@ def _writer(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to, revisit. Equal payloads meet as hashes; only groups of two or more are joined back."""
+    """page_id, url, html, refers_to, revisit. Equal payloads meet as hashes; only groups of two or more are joined
+    back, from a written table, so that adaptive execution can split a payload that many pages have."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n_bytes"))
     groups = keyed.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")

@@ -38,7 +38,7 @@ def clashing(spark, odd):
     """Extra columns under names that the operators use inside."""
     from pyspark.sql import functions as F
 
-    return odd.withColumns({c: F.lit(1) for c in ("count", "n", "key", "bucket", "doc", "size", "hash", "uid", "first", "word", "value", "line", "pos", "row_key", "kept")})
+    return odd.withColumns({c: F.lit(1) for c in ("count", "n", "key", "bucket", "doc", "size", "hash", "uid", "first", "word", "value", "line", "pos", "row_key", "kept", "row", "group", "order", "times", "of", "gone", "dropped", "n_points", "text_hash", "node", "h1", "__t", "__row", "__times", "__copy", "__dropped", "__key", "__gone", "__id", "a b.c")})
 
 
 def texts_of(df):
@@ -214,6 +214,32 @@ def test_rules_without_labels_and_columns(spark, clashing, empty):
     assert quality_rules.learn_rules([([0.0] * 9, True)] * 5) == []
 
 
+def brute_verdict(text, rules):
+    t = text or ""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute_statistics(t)
+    if n_words < 50 or 100 * n_repeat_words > 50 * n_words:
+        return True, False
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    of = lambda chars: sum(t.count(c) for c in chars)
+    value = {
+        "symbols": n_symbols / len(t), "pipes": of("|") / n_words, "capitals": of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / len(t), "marks": of("!?") / n_words, "digits": of("0123456789") / len(t),
+        "word_length": word_chars / n_words, "repeats": n_repeat_words / n_words, "dup_lines": n_dup_lines / len(lines), "words": n_words / 1000,
+    }
+    return False, not any(all((1000 * value[x.ratio] > x.threshold) == x.above for x in rule) for rule in rules)
+
+
+def test_query_of_rules_against_brute_force(spark, sf_dir):
+    """Statistics, base rules and the list's verdict on every document, the list walked in plain Python."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    rules = quality_rules.fit_rules(docs, labels)
+    texts = texts_of(docs)
+    rows = quality_rules.op3_quality_rules(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(texts[r.doc_id])
+        assert (r.base_failed, r.kept) == brute_verdict(texts[r.doc_id], rules)
+
+
 def test_a_repeated_id_is_fitted_on_once(spark, monkeypatch):
     texts = [(i % 4, " ".join(f"w{i}x{k}" for k in range(60)) + "#" * i) for i in range(80)]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], SCHEMA)
@@ -327,6 +353,8 @@ def test_near_edges(spark, clashing, empty):
     want = brute_components(texts_of(clashing), 5, 80)
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
     assert minhash.near_duplicates(empty).count() == 0
+    both = spark.createDataFrame([(2, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "u v w x y z", "en", "s", 1), (5, "u v w x y z", "en", "s", 1)], SCHEMA)
+    assert sorted(map(tuple, minhash.near_duplicates(both).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 2, True), (5, 2, 2, False)]
     nulls = spark.createDataFrame([(None, "a b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1)], SCHEMA)
     assert sorted(map(tuple, minhash.near_duplicates(nulls).collect()), key=str) == [(3, 2, 3, True), (3, 2, 3, True), (None, 2, None, True)]
 

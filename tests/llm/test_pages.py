@@ -83,6 +83,61 @@ def test_title_and_lead_of_a_page_of_divs_stay(tag):
     assert html_text.extract(f"<body><div><h1>Title</h1><{tag}>{LEAD}</{tag}><div><div>{TEN}</div></div><p>end</p></div>{menu}") == want
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='container has-sidebar'>{}</div>", "<div class='post share-enabled'>{}</div>", "<form id='aspnetForm'>{}</form>", "<form><main>{}</main></form>"])
+def test_a_wrapper_of_the_page_stays(wrapper):
+    for inner in (f"<article><h1>T</h1><p>{BODY}</p></article>", f"<h1>T</h1><p>{BODY}</p>"):
+        assert html_text.extract("<body>" + wrapper.format(inner)) == f"T {BODY}".strip()
+
+
+def test_several_articles_and_a_headline_in_a_block_of_its_own():
+    one, two = (f"<article><p>{BODY}{x}</p></article>" for x in ("one", "two"))
+    links = f"<article><a href=x>{BODY}</a></article>"
+    assert html_text.extract(f"<body>{one}{two}{links}") == f"{BODY}one {BODY}two"
+    assert html_text.extract(f"<body><div>{links}{two}</div><div>{one}</div>") == f"{BODY}two {BODY}one"
+    assert html_text.extract(f"<body><div><h1>Head</h1></div><div class=c><p>{BODY}</p><p>{BODY}</p></div>") == f"Head {BODY}{BODY}".strip()
+    assert html_text.extract(f"<body><article><p>{BODY}</p><form><p>Search this site</p></form></article>") == BODY.strip()
+
+
+def plain_sums(node):
+    """The composite density's definition, by recursion: (chars, link chars, tags, link tags), and sums by node."""
+    import re
+
+    size = lambda text: len(re.sub(r"[\x20\x09-\x0D]", "", text))
+    counts, sums = {}, {}
+
+    def count(n):
+        kids = [k for k in n.kids if not isinstance(k, str) and not k.dropped]
+        inner = [count(k) for k in kids]
+        chars = sum(size(k) for k in n.kids if isinstance(k, str)) + sum(x[0] for x in inner)
+        counts[n] = (chars, chars if n.tag == "a" else sum(x[1] for x in inner), sum(x[2] + 1 for x in inner), sum(x[3] + (k.tag == "a") for k, x in zip(kids, inner)))
+        return counts[n]
+
+    whole, all_links = count(node)[:2]
+
+    def density(n):
+        import math
+
+        c, lc, t, lt = counts[n]
+        if not c:
+            return 0.0
+        scale = math.log(c / max(c - lc, 1) * lc + all_links / max(whole, 1) * c + math.e) if lc else math.log(all_links + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0) + 1.0) / max(scale, 1.0)
+
+    for n in counts:
+        sums[n] = sum(density(k) for k in n.kids if not isinstance(k, str) and not k.dropped) + sum(size(k) for k in n.kids if isinstance(k, str))
+    return sums
+
+
+def test_sums_follow_the_definition(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + [PAGE, f"<body><div>{TEN}</div><a href=x>{BODY}</a>"]
+    for html in pages:
+        root = html_text.parse(html or "")
+        want = plain_sums(root)
+        nodes = html_text.measure(root)
+        assert {n: pytest.approx(want[n]) for n in nodes} == {n: n.total for n in nodes}
+        assert want[max(nodes, key=lambda n: n.total)] == pytest.approx(max(want.values()))
+
+
 def test_text_beside_the_path_stays():
     got = html_text.extract(f"<body><div>Some words <b>before</b> the text<div>{TEN}</div>{'dense ' * 300}<a href=x>link</a></div>")
     assert got == f"Some words before the text {PARAGRAPH * 10}{'dense ' * 300}link"

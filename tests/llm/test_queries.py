@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from boxlake.llm import registry
+from boxlake.llm import registry, sentencepiece_codec
 from boxlake.llm.common import read_table
 
 
@@ -47,3 +47,29 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t, s in (("documents", "doc_id bigint, text string, lang string, source string, n_chars bigint"), ("labels", "doc_id bigint, quality int, toxic int")):
         spark.createDataFrame([], s).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls in every column, repeated ids with equal and other texts, clashing columns, very long texts: only rejected
+    documents and copies go, and what stays passes unchanged."""
+    from pyspark.sql import functions as F
+
+    text = lambda x, n=80: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 1), (1, text("b"), "en", "s", 1), (None, text("c"), None, None, None), (None, text("d"), "en", "t", 1), (2, text("a") + " ", "en", "s", 1)]
+    rows += [(3, text("a", 81), "en", "s", 1), (4, None, None, None, None), (5, "", "en", "s", 0), (6, "too short", "en", "s", 9), (7, text("long", 30_000), "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(1) for c in ("row", "kept", "times", "group", "__row")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        texts = docs if name != "sentencepiece" else sentencepiece_codec.decode(docs)
+        kept[name] = {(r.doc_id, r.text.split(" ")[0], len(r.text.split())) for r in texts.collect()}
+        if name != "sentencepiece":
+            assert docs.columns == columns
+    good = {(1, "a0", 80), (1, "b0", 80), (None, "c0", 80), (None, "d0", 80), (2, "a0", 80), (3, "a0", 81), (7, "long0", 30_000)}
+    assert kept["quality_rules"] == good
+    assert kept["exact_dedup"] == good - {(1, "a0", 80)}  # of a's copies the one with a blank more stays
+    assert kept["minhash_near_dedup"] == good - {(1, "a0", 80), (3, "a0", 81)}
+    assert kept["sentencepiece"] == kept["mix_sources"] <= kept["minhash_near_dedup"]

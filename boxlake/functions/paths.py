@@ -50,8 +50,10 @@ def posix_tail(path: Column, n: int = 2) -> Column:
 
 
 def flat_coco_name(path: Column) -> Column:
-    """Folder names and base name joined by #."""
-    return F.array_join(F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != ""), "#")
+    """Folder names, the nearest first, and the base name, joined by #."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    n = F.size(parts)
+    return F.when(n > 0, F.array_join(F.concat(F.slice(F.reverse(parts), F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(parts, -1, 1)), "#"))
 
 
 def dirname(path: Column) -> Column:

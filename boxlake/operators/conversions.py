@@ -170,21 +170,20 @@ def flatten_predictions(df: DataFrame) -> DataFrame:
 def expand_box(df: DataFrame, factor: float = 2.0, mode: str = "chained") -> DataFrame:
     """Boxes grown about their centre, clipped to the image, truncated: x1, y1, x2, y2.
 
-    mode 'chained' computes the far edges from the near ones already moved and clipped; 'symmetric' grows
-    all edges alike.
+    A box grows by (factor - 1) / 2 of its size at every edge; mode 'chained' moves the far edges after the near
+    ones and takes the size from these, moved and clipped, to the old far edge.
     """
     if factor < 1:
         raise ValueError("factor must be 1 or more")
     if mode not in ("chained", "symmetric"):
         raise ValueError(f"mode must be chained or symmetric, not {mode!r}")
     w, h = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")
-    near = df.withColumns({"__w": w * factor, "__h": h * factor, "x1": F.greatest((F.col("x_min") + w / 2 - w * factor / 2), F.lit(0.0)), "y1": F.greatest((F.col("y_min") + h / 2 - h * factor / 2), F.lit(0.0))})
+    grow = F.lit((factor - 1) / 2)
+    x1, y1 = F.greatest(F.col("x_min") - grow * w, F.lit(0.0)), F.greatest(F.col("y_min") - grow * h, F.lit(0.0))
     if mode == "chained":
-        near = near.withColumns({"x2": F.col("x1") + F.col("__w"), "y2": F.col("y1") + F.col("__h")})
-    else:
-        near = near.withColumns({"x2": F.col("x_max") + (F.col("__w") - w) / 2, "y2": F.col("y_max") + (F.col("__h") - h) / 2})
-    out = near.withColumns({"x2": F.least("x2", F.col("width").cast("double")), "y2": F.least("y2", F.col("height").cast("double"))})
-    return out.withColumns({c: _whole(F.col(c)) for c in ("x1", "y1", "x2", "y2")}).drop("__w", "__h")
+        w, h = F.col("x_max") - x1, F.col("y_max") - y1
+    x2, y2 = F.least(F.col("x_max") + grow * w, F.col("width").cast("double")), F.least(F.col("y_max") + grow * h, F.col("height").cast("double"))
+    return df.withColumns({"x1": _whole(x1), "y1": _whole(y1), "x2": _whole(x2), "y2": _whole(y2)})
 
 
 def tile_to_image_coords(df: DataFrame) -> DataFrame:

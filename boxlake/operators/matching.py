@@ -8,11 +8,13 @@ All later groupings keep the image first, so the join's partitioning serves them
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions import boxes
+from boxlake.sources.shared import written
 
 BOX = ("x_min", "y_min", "x_max", "y_max")
 IMAGE = ("image_id", "file_name")
@@ -28,9 +30,10 @@ def _cells(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("cell_x", F.explode(span("x_min", "x_max"))).withColumn("cell_y", F.explode(span("y_min", "y_max")))
 
 
-def pairs(dets: DataFrame, gts: DataFrame, measure: str | Callable = "iou", cell: int | None = None) -> DataFrame:
+def pairs(dets: DataFrame, gts: DataFrame, measure: str | Callable = "iou", cell: int | None = None, **more: str | Callable) -> DataFrame:
     """Detection and ground-truth box of one image with their measure: image_id, file_name, det_id, annotation_id,
-    det_class, gt_class, score, value. With cell, only pairs that share a cell, each once."""
+    det_class, gt_class, score, value, and other measures under the names given. With cell, only pairs that share
+    a cell, each once."""
     d = dets.select(*IMAGE, "det_id", F.col("category_id").alias("det_class"), "score", *(F.col(c).alias(f"d_{c}") for c in BOX), *BOX)
     g = gts.select("image_id", "annotation_id", F.col("category_id").alias("gt_class"), *(F.col(c).alias(f"g_{c}") for c in BOX), *BOX)
     on = ["image_id"]
@@ -39,8 +42,8 @@ def pairs(dets: DataFrame, gts: DataFrame, measure: str | Callable = "iou", cell
     joined = d.drop(*BOX).join(g.drop(*BOX), on)
     if cell:
         joined = joined.dropDuplicates(["image_id", "det_id", "annotation_id"])
-    value = boxes.measure(measure)(boxes.columns("d_"), boxes.columns("g_"))
-    return joined.select(*IMAGE, "det_id", "annotation_id", "det_class", "gt_class", "score", value.alias("value"))
+    values = [boxes.measure(m)(boxes.columns("d_"), boxes.columns("g_")).alias(name) for name, m in {"value": measure, **more}.items()]
+    return joined.select(*IMAGE, "det_id", "annotation_id", "det_class", "gt_class", "score", *values)
 
 
 def _per_image(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -56,7 +59,7 @@ def match_predictions(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, f
     """
     if fp_mode not in ("image", "row"):
         raise ValueError(f"fp_mode must be image or row, not {fp_mode!r}")
-    dets, gts = clip_boxes(dets), clip_boxes(gts)
+    dets = clip_boxes(dets)
     best = pairs(dets, gts, measure, cell).groupBy(*IMAGE, "det_id").agg(F.max(F.struct("value", (-F.col("annotation_id")).alias("neg"))).alias("b"))
     hit = F.col("b.value") >= threshold
     matched = best.select(*IMAGE, "det_id", F.col("b.value").alias("best_ciou"), F.when(hit, -F.col("b.neg")).alias("annotation_id"), hit.cast("long").alias("tp"), (~hit).cast("long").alias("fp"))
@@ -74,7 +77,7 @@ def missed_ground_truth(dets: DataFrame, gts: DataFrame, threshold: float = 0.4,
     looks only at images with detections, 'all' at every image."""
     if scope not in ("predicted", "all"):
         raise ValueError(f"scope must be predicted or all, not {scope!r}")
-    dets, gts = clip_boxes(dets), clip_boxes(gts)
+    dets = clip_boxes(dets)
     found = pairs(dets, gts, measure, cell).groupBy("image_id", "annotation_id").agg(F.max("value").alias("value")).filter(F.col("value") >= threshold)
     within = _per_image(gts, dets, "left_semi") if scope == "predicted" else gts
     return within.join(found, ["image_id", "annotation_id"], "left_anti").select(*IMAGE, "annotation_id", F.lit(1).cast("long").alias("fn"))
@@ -87,26 +90,25 @@ def image_error_counts(matches: DataFrame, missed: DataFrame) -> DataFrame:
     return sums.withColumns({"fp_tp_ratio": F.col("fp") / (F.col("tp") + 1e-8), "fn_tp_ratio": F.col("fn") / (F.col("tp") + 1e-8)})
 
 
-def _counted(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("gt_class", "pred_class").agg(F.sum("n").alias("n"))
+def _class_counts(df: DataFrame, gt: Column, pred: Column, sign: int = 1) -> DataFrame:
+    return df.groupBy(gt.cast("int").alias("gt_class"), pred.cast("int").alias("pred_class")).agg((sign * F.count(F.lit(1))).alias("n"))
 
 
-def _cell_counts(df: DataFrame, gt: Column, pred: Column) -> DataFrame:
-    return df.groupBy(gt.cast("int").alias("gt_class"), pred.cast("int").alias("pred_class")).agg(F.count(F.lit(1)).alias("n"))
+def _confusion(dets: DataFrame, gts: DataFrame, hits: DataFrame, found: DataFrame, met: DataFrame, n_classes: int) -> DataFrame:
+    """Cells of hits, detections without a hit (all but found) and ground truth without one (all but met): each
+    side is counted by class, so nothing is joined back."""
+    none, det, gt = F.lit(n_classes), F.col("det_class"), F.col("gt_class")
+    parts = [_class_counts(hits, gt, det), _class_counts(dets, none, F.col("category_id")), _class_counts(found, none, det, -1), _class_counts(gts, F.col("category_id"), none), _class_counts(met, gt, none, -1)]
+    return reduce(DataFrame.unionByName, parts).groupBy("gt_class", "pred_class").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def confusion_multi(dets: DataFrame, gts: DataFrame, n_classes: int, score: float = 0.3, threshold: float = 0.5) -> DataFrame:
     """gt_class, pred_class, n: every pair that reaches the threshold counts; a detection with no pair counts
     in the background's row, ground truth with no pair of its class in the background's column (n_classes)."""
     dets = dets.filter(F.col("score") >= score)
-    hits = pairs(dets, gts).filter(F.col("value") >= threshold)
-    none = F.lit(n_classes)
-    alone = dets.join(hits.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
-    lost = gts.join(hits.filter("det_class = gt_class").select("image_id", "annotation_id"), ["image_id", "annotation_id"], "left_anti")
-    return _counted([_cell_counts(hits, F.col("gt_class"), F.col("det_class")), _cell_counts(alone, none, F.col("category_id")), _cell_counts(lost, F.col("category_id"), none)])
+    hits = written(pairs(dets, gts).filter(F.col("value") >= threshold).select("image_id", "det_id", "annotation_id", "det_class", "gt_class"))
+    met = hits.filter("det_class = gt_class").select("image_id", "annotation_id", "gt_class").distinct()
+    return _confusion(dets, gts, hits, hits.select("image_id", "det_id", "det_class").distinct(), met, n_classes)
 
 
 def one_to_one(found: DataFrame, better: Column) -> DataFrame:
@@ -120,15 +122,13 @@ def one_to_one(found: DataFrame, better: Column) -> DataFrame:
 def confusion_one_to_one(dets: DataFrame, gts: DataFrame, n_classes: int, score: float = 0.25, threshold: float = 0.6) -> DataFrame:
     """gt_class, pred_class, n with at most one pair for each detection and ground truth."""
     dets = dets.filter(F.col("score") > score)
-    hits = one_to_one(pairs(dets, gts).filter(F.col("value") > threshold), F.col("value").desc())
-    none = F.lit(n_classes)
-    alone = dets.join(hits.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
-    lost = gts.join(hits.select("image_id", "annotation_id"), ["image_id", "annotation_id"], "left_anti")
-    return _counted([_cell_counts(hits, F.col("gt_class"), F.col("det_class")), _cell_counts(alone, none, F.col("category_id")), _cell_counts(lost, F.col("category_id"), none)])
+    hits = written(one_to_one(pairs(dets, gts).filter(F.col("value") > threshold), F.col("value").desc()).select("det_class", "gt_class"))
+    return _confusion(dets, gts, hits, hits, hits, n_classes)
 
 
 def class_scores(confusion: DataFrame, n_classes: int) -> DataFrame:
     """class, precision, recall, f1 (rounded to 4 places) of every class but the background."""
+    confusion = written(confusion)  # a row for each pair of classes
     tp = F.sum(F.when(F.col("gt_class") == F.col("pred_class"), F.col("n")).otherwise(0))
     actual = confusion.groupBy(F.col("gt_class").alias("class")).agg(F.sum("n").alias("actual"), tp.alias("tp"))
     pred = confusion.groupBy(F.col("pred_class").alias("class")).agg(F.sum("n").alias("pred"))

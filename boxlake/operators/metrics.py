@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.operators.matching import one_to_one, pairs
+from boxlake.operators.matching import clip_boxes, one_to_one, pairs
 
 #: Thresholds that per-image metrics are computed at.
 THRESHOLDS = (0.5, 0.75)
@@ -13,26 +13,40 @@ THRESHOLDS = (0.5, 0.75)
 POINTS = 101
 
 
-def greedy_hits(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """image_id, file_name, category_id, threshold, det_id, score, hit for every detection.
+#: Detections of an image's class that average precision looks at, those of highest score first.
+MOST = 100
 
-    Within an image and class, detections by falling score (then det_id) each take the free ground truth
-    of highest IoU that reaches the threshold. The fold runs over one image's boxes of a class.
-    """
-    near = pairs(dets, gts).filter((F.col("det_class") == F.col("gt_class")) & (F.col("value") >= min(thresholds)))
-    options = near.groupBy("image_id", "det_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("neg"), "annotation_id"))).alias("options"))
+
+def _ranked_options(dets: DataFrame, near: DataFrame) -> DataFrame:
+    """image_id, file_name, category_id, dets: an image's detections of a class by falling score (then det_id), each
+    with the ground truth of its class that near (pairs) has for it, best first."""
+    same = near.filter(F.col("det_class") == F.col("gt_class"))
+    options = same.groupBy("image_id", "det_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("neg"), "annotation_id"))).alias("options"))
     none = F.array().cast("array<struct<neg:double,annotation_id:bigint>>")
     ready = dets.select("image_id", "file_name", "category_id", "det_id", "score").join(options, ["image_id", "det_id"], "left").withColumn("options", F.coalesce("options", none))
-    grouped = ready.groupBy("image_id", "file_name", "category_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "det_id", "options"))).alias("dets"))
-    at = grouped.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    found = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "det_id", "options")))
+    return ready.groupBy("image_id", "file_name", "category_id").agg(F.slice(found, 1, MOST).alias("dets"))
+
+
+def _hits(threshold: float | Column) -> Column:
+    """Of ``dets``: 1 for each detection that takes the free ground truth of highest IoU that reaches the threshold."""
+    least = F.lit(threshold) if isinstance(threshold, float) else threshold
     start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<int>").alias("hits"))
 
     def step(acc: Column, det: Column) -> Column:
-        free = F.filter(det["options"], lambda o: (-o["neg"] >= F.col("threshold")) & ~F.array_contains(acc["taken"], o["annotation_id"]))
+        free = F.filter(det["options"], lambda o: (-o["neg"] >= least) & ~F.array_contains(acc["taken"], o["annotation_id"]))
         found = F.size(free) > 0
         return F.struct(F.when(found, F.array_append(acc["taken"], free[0]["annotation_id"])).otherwise(acc["taken"]).alias("taken"), F.array_append(acc["hits"], found.cast("int")).alias("hits"))
 
-    folded = at.withColumn("hits", F.aggregate("dets", start, step, lambda a: a["hits"]))
+    return F.aggregate("dets", start, step, lambda a: a["hits"])
+
+
+def greedy_hits(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """image_id, file_name, category_id, threshold, det_id, score, hit for every detection, as ``_hits`` finds them.
+    The fold runs over one image's boxes of a class."""
+    near = pairs(clip_boxes(dets), gts).filter(F.col("value") >= min(thresholds))
+    at = _ranked_options(dets, near).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    folded = at.withColumn("hits", _hits(F.col("threshold")))
     rows = folded.select("image_id", "file_name", "category_id", "threshold", F.explode(F.arrays_zip(F.col("dets").alias("d"), F.col("hits").alias("h"))).alias("z"))
     return rows.select("image_id", "file_name", "category_id", "threshold", F.col("z.d.det_id").alias("det_id"), (-F.col("z.d.neg")).alias("score"), F.col("z.h").alias("hit"))
 
@@ -46,24 +60,41 @@ def _ap(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return curve.groupBy(*keys).agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
 
 
-def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """image_id, file_name, category_id, threshold, ap of classes that have ground truth in the image."""
-    keys = ["image_id", "file_name", "category_id", "threshold"]
-    positives = gts.groupBy("image_id", "file_name", "category_id").agg(F.count(F.lit(1)).alias("positives"))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
-    ranked = greedy_hits(dets, gts, thresholds).withColumn("rank", F.row_number().over(order)).withColumn("tp", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    aps = _ap(ranked.join(positives, keys[:3]).withColumn("n", F.col("rank")), keys)
-    every = positives.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).drop("positives")
-    return every.join(aps, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-
-
-def image_ap(dets: DataFrame, gts: DataFrame) -> DataFrame:
-    """image_id, file_name, map50, map75 of every image with detections: the mean over its ground truth's
-    classes, -1 where it has none."""
-    per_class = image_class_ap(dets, gts)
-    mean = lambda t: F.avg(F.when(F.col("threshold") == t, F.col("ap")))
-    means = per_class.groupBy("image_id").agg(mean(0.5).alias("map50"), mean(0.75).alias("map75"))
-    return dets.select("image_id", "file_name").distinct().join(means, "image_id", "left").select("image_id", "file_name", F.coalesce("map50", F.lit(-1.0)).alias("map50"), F.coalesce("map75", F.lit(-1.0)).alias("map75"))
+def folded_ap(hits: Column, positives: Column) -> Column:
+    """Interpolated precision at POINTS recalls of one ranking: the hits are walked from the last, so that the best
+    precision from each one on is known."""
+    whole = F.aggregate(hits, F.lit(0), lambda a, h: a + h)
+    start = F.struct(F.size(hits).alias("k"), whole.alias("tp"), F.lit(0.0).alias("best"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, h: Column) -> Column:
+        best = F.greatest(a["best"], a["tp"] / a["k"])
+        before = a["tp"] - h
+        recalls = lambda tp: F.floor((POINTS - 1) * tp / positives)
+        points = recalls(a["tp"]) - F.when(a["k"] == 1, F.lit(-1)).otherwise(recalls(before))
+        return F.struct((a["k"] - 1).alias("k"), before.alias("tp"), best.alias("best"), (a["sum"] + best * points).alias("sum"))
+
+    return F.aggregate(F.reverse(hits), start, step, lambda a: a["sum"] / POINTS)
+
+
+def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None) -> DataFrame:
+    """image_id, file_name, category_id, threshold, ap of classes that have ground truth in the image. near: pairs
+    that the caller has already. Hits and precision are folded where the image's boxes are; only sums leave."""
+    keys = ["image_id", "file_name", "category_id"]
+    near = (pairs(clip_boxes(dets), gts) if near is None else near).filter(F.col("value") >= min(thresholds))
+    positives = gts.groupBy(*keys).agg(F.count(F.lit(1)).alias("positives"))
+    joined = positives.join(_ranked_options(dets, near), keys, "left")
+    at = F.array(*(F.struct(F.lit(t).alias("threshold"), F.coalesce(folded_ap(_hits(t), F.col("positives")), F.lit(0.0)).alias("ap")) for t in thresholds))
+    return joined.select(*keys, F.inline(at))
+
+
+def image_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None) -> DataFrame:
+    """image_id, file_name, map50, map75 (a column for each threshold) of every image with detections: the mean over
+    its ground truth's classes, -1 where it has none."""
+    per_class = image_class_ap(dets, gts, thresholds, near)
+    names = {t: f"map{round(100 * t)}" for t in thresholds}
+    means = per_class.groupBy("image_id").agg(*(F.avg(F.when(F.col("threshold") == t, F.col("ap"))).alias(c) for t, c in names.items()))
+    images = dets.select("image_id", "file_name").distinct()
+    return images.join(means, "image_id", "left").select("image_id", "file_name", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names.values()))
 
 
 def score_levels(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:

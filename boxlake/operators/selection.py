@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.operators import matching, metrics
+from boxlake.sources.shared import written
 
 KEYS = ("image_id", "file_name")
 
@@ -24,35 +25,53 @@ def image_uncertainty(dets: DataFrame, method: str = "entropy") -> DataFrame:
     return dets.groupBy(*KEYS).agg(uncertainty(method).alias("uncertainty"))
 
 
-def image_score_profile(dets: DataFrame) -> DataFrame:
+def _profile() -> list[Column]:
     s = F.col("score")
-    return dets.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(s).alias("max_score"),
-        F.min(s).alias("min_score"),
-        F.avg(s).alias("mean_score"),
-        F.median(s).alias("median_score"),
-        F.var_pop(s).alias("var_score"),
-        F.sort_array(F.collect_list(s), asc=False).alias("all_scores"),
-    )
+    return [F.count(F.lit(1)).alias("n"), F.max(s).alias("max_score"), F.min(s).alias("min_score"), F.avg(s).alias("mean_score"), F.median(s).alias("median_score"), F.var_pop(s).alias("var_score"), F.sort_array(F.collect_list(s), asc=False).alias("all_scores")]
+
+
+def image_score_profile(dets: DataFrame) -> DataFrame:
+    return dets.groupBy(*KEYS).agg(*_profile())
+
+
+def _poor_by_errors(fp_tp: float = 0.2, fn_tp: float = 0.2) -> Column:
+    return (F.col("fp_tp_ratio") > fp_tp) | (F.col("fn_tp_ratio") > fn_tp)
+
+
+def _poor_by_quality(max_map: float = 0.3, score: float = 0.7, max_uncertainty: float = 4.0) -> Column:
+    poor = (F.col("map50") < max_map) & (F.col("map75") < max_map)
+    sure = (F.col("max_score") > score) | (F.col("max_score") < 1 - score)
+    return (poor & sure) | (F.col("uncertainty") > max_uncertainty)
 
 
 def hard_by_errors(counts: DataFrame, fp_tp: float = 0.2, fn_tp: float = 0.2) -> DataFrame:
-    return counts.filter((F.col("fp_tp_ratio") > fp_tp) | (F.col("fn_tp_ratio") > fn_tp))
+    return counts.filter(_poor_by_errors(fp_tp, fn_tp))
 
 
 def hard_by_quality(table: DataFrame, max_map: float = 0.3, score: float = 0.7, max_uncertainty: float = 4.0) -> DataFrame:
     """Poor on both thresholds while sure of itself (or sure of nothing), or of high uncertainty."""
-    poor = (F.col("map50") < max_map) & (F.col("map75") < max_map)
-    sure = (F.col("max_score") > score) | (F.col("max_score") < 1 - score)
-    return table.filter((poor & sure) | (F.col("uncertainty") > max_uncertainty))
+    return table.filter(_poor_by_quality(max_map, score, max_uncertainty))
 
 
 def image_table(dets: DataFrame, gts: DataFrame, method: str = "entropy", threshold: float = 0.4, scope: str = "predicted", fp_mode: str = "image") -> DataFrame:
-    """One row per image: errors and ratios, map50, map75, score profile, uncertainty."""
-    counts = matching.image_error_counts(matching.match_predictions(dets, gts, threshold, fp_mode), matching.missed_ground_truth(dets, gts, threshold, scope))
-    quality = metrics.image_ap(dets, gts).join(image_score_profile(dets), list(KEYS), "left").join(image_uncertainty(dets, method), list(KEYS), "left")
-    return counts.join(quality, list(KEYS), "full_outer")
+    """One row per image: errors and ratios, map50, map75, score profile, uncertainty.
+
+    Boxes are paired once, with both measures. Errors are counts by image: of detections and ground truth, less
+    those that have a pair over the threshold."""
+    if scope not in ("predicted", "all") or fp_mode not in ("image", "row"):
+        raise ValueError("scope must be predicted or all, fp_mode image or row")
+    near = written(matching.pairs(matching.clip_boxes(dets), gts, "iou", ciou="ciou").filter((F.col("ciou") >= threshold) | (F.col("value") >= min(metrics.THRESHOLDS))))
+    good = near.filter(F.col("ciou") >= threshold)
+    tp = good.groupBy("image_id", "det_id").agg(F.lit(1).alias("one")).groupBy("image_id").agg(F.count("one").alias("tp"))
+    found = good.groupBy("image_id", "annotation_id").agg(F.lit(1).alias("one")).groupBy("image_id").agg(F.count("one").alias("found"))
+    truth = gts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gt")).join(tp, "image_id", "left").join(found, "image_id", "left")
+    profile = dets.groupBy(*KEYS).agg(*_profile(), uncertainty(method).alias("uncertainty"))
+    both = profile.join(truth, list(KEYS), "left" if scope == "predicted" else "full_outer")
+    n, hits = F.coalesce("n", F.lit(0)), F.coalesce("tp", F.lit(0))
+    alone = n * n if fp_mode == "image" else n
+    counts = both.withColumns({"tp": hits, "fp": F.when(F.col("n_gt").isNull(), alone).otherwise(n - hits), "fn": F.coalesce(F.col("n_gt") - F.coalesce("found", F.lit(0)), F.lit(0))}).drop("n_gt", "found")
+    ratios = counts.withColumns({"fp_tp_ratio": F.col("fp") / (F.col("tp") + 1e-8), "fn_tp_ratio": F.col("fn") / (F.col("tp") + 1e-8)})
+    return ratios.join(metrics.image_ap(dets, gts, near=near), list(KEYS), "left")
 
 
 def match_rows(dets: DataFrame, gts: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -65,14 +84,15 @@ def match_rows(dets: DataFrame, gts: DataFrame, threshold: float = 0.4) -> DataF
 def hard_samples(table: DataFrame, parity: bool = False, **limits: float) -> DataFrame:
     """Images chosen by errors, then those by quality; the first choice of a file wins. With parity the
     uncertainty of the first and the ratios of the second are left empty."""
-    errors = hard_by_errors(table, **{k: v for k, v in limits.items() if k in ("fp_tp", "fn_tp")}).withColumn("by", F.lit("errors"))
-    quality = hard_by_quality(table, **{k: v for k, v in limits.items() if k not in ("fp_tp", "fn_tp")}).withColumn("by", F.lit("quality"))
+    errors = _poor_by_errors(**{k: v for k, v in limits.items() if k in ("fp_tp", "fn_tp")})
+    quality = _poor_by_quality(**{k: v for k, v in limits.items() if k not in ("fp_tp", "fn_tp")})
+    chosen = table.withColumn("by", F.when(errors, F.lit("errors")).when(quality, F.lit("quality"))).filter("by IS NOT NULL")
     if parity:
-        errors = errors.withColumn("uncertainty", F.lit(None).cast("double"))
-        quality = quality.withColumns({"fp_tp_ratio": F.lit(None).cast("double"), "fn_tp_ratio": F.lit(None).cast("double")})
+        by_quality = F.col("by") == "quality"
+        chosen = chosen.withColumns({"uncertainty": F.when(by_quality, F.col("uncertainty"))} | {c: F.when(~by_quality, F.col(c)) for c in ("fp_tp_ratio", "fn_tp_ratio")})
     first = F.row_number().over(Window.partitionBy("file_name").orderBy("by", "image_id"))
-    chosen = errors.unionByName(quality).withColumn("rank", first).filter("rank = 1")
-    return chosen.select("file_name", "map50", "map75", "all_scores", "uncertainty", "fn_tp_ratio", "fp_tp_ratio", "by")
+    out = chosen.withColumn("rank", first).filter("rank = 1")
+    return out.select("file_name", "map50", "map75", "all_scores", "uncertainty", "fn_tp_ratio", "fp_tp_ratio", "by")
 
 
 def failed(table: DataFrame, least: float = 0.3) -> DataFrame:

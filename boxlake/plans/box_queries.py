@@ -53,8 +53,9 @@ R.add(
 R.add("point_annotations", "fx_yolo fx_images", cv.to_point_annotations, f"{with_tables('fx_yolo', 'fx_images')}\nSELECT annotation_id, y.file_name AS images, category_id + 1 AS labels, round(x * width, 6) AS x, round(y.y * height, 6) AS y, round(w * width, 6) AS w, round(h * height, 6) AS h FROM fx_yolo y JOIN fx_images i USING (image_id)")
 R.add("blank_points", "fx_images fx_gt", lambda i, g: cv.blank_points(labels.empty(i, g)), f"{with_tables('fx_images', 'fx_gt')}\nSELECT file_name AS images, 0e0 AS x, 0e0 AS y, CAST(0 AS INT) AS labels FROM fx_images WHERE image_id NOT IN (SELECT image_id FROM fx_gt)")
 R.add("aabb", "fx_yolo", lambda y: cv.corners_to_aabb(cv.yolo_to_obb(y)).select("annotation_id", "x_min", "y_min", "x_max", "y_max"), f"{_OBB}\nSELECT annotation_id, round(least(x1, x2, x3, x4), 6) AS x_min, round(least(y1, y2, y3, y4), 6) AS y_min, round(greatest(x1, x2, x3, x4), 6) AS x_max, round(greatest(y1, y2, y3, y4), 6) AS y_max FROM o")
-_EXPAND = """x1 AS (SELECT *, greatest(x_min + (x_max - x_min) / 2e0 - (x_max - x_min) * 2e0 / 2, 0e0) AS x1, greatest(y_min + (y_max - y_min) / 2e0 - (y_max - y_min) * 2e0 / 2, 0e0) AS y1 FROM SRC)"""
-R.add("expand_boxes", "fx_gt", lambda g: cv.expand_box(g, 2.0).select("annotation_id", "x1", "y1", "x2", "y2"), f"{with_tables('fx_gt')},\n{_EXPAND.replace('SRC', 'fx_gt')}\nSELECT annotation_id, {_int('x1')} AS x1, {_int('y1')} AS y1, {_int('least(x1 + (x_max - x_min) * 2e0, width)')} AS x2, {_int('least(y1 + (y_max - y_min) * 2e0, height)')} AS y2 FROM x1")
+#: Each edge moves by half of the box's size (factor 2); the far ones by half of what lies between them and the near ones as moved.
+_EXPAND = """x1 AS (SELECT *, greatest(x_min - 0.5e0 * (x_max - x_min), 0e0) AS x1, greatest(y_min - 0.5e0 * (y_max - y_min), 0e0) AS y1 FROM SRC)"""
+R.add("expand_boxes", "fx_gt", lambda g: cv.expand_box(g, 2.0).select("annotation_id", "x1", "y1", "x2", "y2"), f"{with_tables('fx_gt')},\n{_EXPAND.replace('SRC', 'fx_gt')}\nSELECT annotation_id, {_int('x1')} AS x1, {_int('y1')} AS y1, {_int('least(x_max + 0.5e0 * (x_max - x1), width)')} AS x2, {_int('least(y_max + 0.5e0 * (y_max - y1), height)')} AS y2 FROM x1")
 _PCT = "100e0 * x_min / width AS px, 100e0 * y_min / height AS py, 100e0 * (x_max - x_min) / width AS pw, 100e0 * (y_max - y_min) / height AS ph"
 R.add("percent_results", "fx_gt", lambda g: cv.percent_columns(g).select("annotation_id", "px", "py", "pw", "ph"), f"{with_tables('fx_gt')},\np AS (SELECT annotation_id, {_PCT} FROM fx_gt)\nSELECT annotation_id, round(px, 6) AS px, round(py, 6) AS py, round(pw, 6) AS pw, round(ph, 6) AS ph FROM p")
 R.add("percent_to_boxes", "fx_gt", lambda g: cv.percent_result_to_box(cv.percent_columns(g).drop("x_min", "y_min", "x_max", "y_max")).select("annotation_id", "x_min", "y_min", "x_max", "y_max"), f"{with_tables('fx_gt')}\nSELECT annotation_id, round(CAST(x_min AS DOUBLE), 6) AS x_min, round(CAST(y_min AS DOUBLE), 6) AS y_min, round(CAST(x_max AS DOUBLE), 6) AS x_max, round(CAST(y_max AS DOUBLE), 6) AS y_max FROM fx_gt")
@@ -128,7 +129,7 @@ R.add(
 R.add("ratio_grid", "fx_images", lambda i: tiling.ratio_grid(i, 0.5, 0.5).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max("x1").alias("x1")), f"{with_tables('fx_images')}\nSELECT image_id, CAST(4 AS BIGINT) AS n, width AS x1 FROM fx_images")
 R.add("normalise_by_tile", "fx_gt", lambda g: cv.normalise_by_tile(tiling.assign_boxes_to_tiles(g).withColumnsRenamed({"w": "width", "h": "height"})).select("annotation_id", "ix", "iy", "x", "y", "w", "h", "in_range"), f"{_T}\nSELECT annotation_id, ix, iy, round((x_min + w / 2e0) / 640, 8) AS x, round((y_min + h / 2e0) / 640, 8) AS y, round(w / 640e0, 8) AS w, round(h / 640e0, 8) AS h, true AS in_range FROM tb", 8)
 R.add("tile_to_image", "fx_gt", lambda g: cv.tile_to_image_coords(tiling.assign_boxes_to_tiles(g, min_area_ratio=1.0).withColumns({"x_max": F.col("x_min") + F.col("w"), "y_max": F.col("y_min") + F.col("h")})).select("annotation_id", "x_min", "y_min", "x_max", "y_max").distinct(), f"{_T}\nSELECT DISTINCT g.annotation_id, g.x_min, g.y_min, g.x_max, g.y_max FROM fx_gt g JOIN tb ON g.annotation_id = tb.annotation_id AND tb.w = g.x_max - g.x_min AND tb.h = g.y_max - g.y_min")
-R.add("crop_manifest", "fx_det", lambda d: tiling.crop_manifest(d.filter("score >= 0.7"), "false_positive", "det_id").select("path", "x1", "y1", "x2", "y2", "crop_name"), f"{with_tables('fx_det')},\n{_EXPAND.replace('SRC', 'fx_det')}\nSELECT file_name AS path, {_int('x1')} AS x1, {_int('y1')} AS y1, {_int('least(x1 + (x_max - x_min) * 2e0, width)')} AS x2, {_int('least(y1 + (y_max - y_min) * 2e0, height)')} AS y2, concat(regexp_extract(file_name, '([^/]+)\\.jpg$', 1), '-', det_id, '.jpg') AS crop_name FROM x1 WHERE score >= 0.7e0")
+R.add("crop_manifest", "fx_det", lambda d: tiling.crop_manifest(d.filter("score >= 0.7"), "false_positive", "det_id").select("path", "x1", "y1", "x2", "y2", "crop_name"), f"{with_tables('fx_det')},\n{_EXPAND.replace('SRC', 'fx_det')}\nSELECT file_name AS path, {_int('x1')} AS x1, {_int('y1')} AS y1, {_int('least(x_max + 0.5e0 * (x_max - x1), width)')} AS x2, {_int('least(y_max + 0.5e0 * (y_max - y1), height)')} AS y2, concat(regexp_extract(file_name, '([^/]+)\\.jpg$', 1), '-', det_id, '.jpg') AS crop_name FROM x1 WHERE score >= 0.7e0")
 
 # samples
 _POS = "m AS (SELECT *, image_id IN (SELECT image_id FROM fx_gt) AS positive FROM fx_images),\nc AS (SELECT image_dir, count(*) FILTER (WHERE positive) AS n FROM m GROUP BY image_dir),\nk AS (SELECT m.*, n, row_number() OVER (PARTITION BY m.image_dir, positive ORDER BY md5('41:' || file_name), file_name) AS k FROM m JOIN c USING (image_dir))"
@@ -147,8 +148,11 @@ R.add(
 )
 R.add("decoded_names", "fx_images", lambda i: i.select("image_id", paths.decoded_name(F.replace(F.replace("file_name", F.lit("/"), F.lit("%2F")), F.lit("IMG_"), F.lit("IMG%20+"))).alias("name")), f"{with_tables('fx_images')}\nSELECT image_id, concat('IMG +', lpad(CAST(image_id AS VARCHAR), 8, '0'), '.jpg') AS name FROM fx_images")
 R.add("task_urls", "fx_images", lambda i: i.select("image_id", paths.task_image_url(F.concat(F.lit("/mnt/a b/"), "file_name"), "/mnt/").alias("url")), f"{with_tables('fx_images')}\nSELECT image_id, concat('/data/local-files/?d=a%20b/', file_name) AS url FROM fx_images")
-R.add("short_names", "fx_images", lambda i: i.select("image_id", paths.posix_tail(F.replace("file_name", F.lit("/"), F.lit("\\"))).alias("tail"), paths.flat_coco_name(F.col("file_name")).alias("flat")), f"{with_tables('fx_images')}\nSELECT image_id, regexp_extract(file_name, '[^/]+/[^/]+$') AS tail, replace(file_name, '/', '#') AS flat FROM fx_images")
-R.add("common_upload_dir", "fx_images", lambda i: paths.common_upload_dir(i, "file_name"), "SELECT 'camp' AS common_dir FROM (SELECT count(*) AS n FROM orders) WHERE n > 0")
+R.add("short_names", "fx_images", lambda i: i.select("image_id", paths.posix_tail(F.replace("file_name", F.lit("/"), F.lit("\\"))).alias("tail"), paths.flat_coco_name(F.col("file_name")).alias("flat")), f"{with_tables('fx_images')}\nSELECT image_id, regexp_extract(file_name, '[^/]+/[^/]+$') AS tail, concat(split_part(file_name, '/', 2), '#', split_part(file_name, '/', 1), '#', split_part(file_name, '/', 3)) AS flat FROM fx_images")
+R.add("common_upload_dir", "fx_images", lambda i: paths.common_upload_dir(i, "file_name"), f"""{with_tables('fx_images')},
+d AS (SELECT DISTINCT regexp_replace(file_name, '/?[^/]*$', '') AS p FROM fx_images),
+n AS (SELECT unnest(range(0, (SELECT min(length(p)) FROM d) + 1)) AS k)
+SELECT CASE WHEN (SELECT count(*) FROM d) = 1 THEN (SELECT min(p) FROM d) ELSE (SELECT substr(any_value(p), 1, max(k)) FROM (SELECT min(p) AS p, k FROM d CROSS JOIN n GROUP BY k HAVING count(DISTINCT substr(p, 1, k)) = 1)) END AS common_dir""")
 
 # positions
 _GEO = f"""{with_tables('fx_meta', 'fx_det')},

@@ -27,10 +27,10 @@ def _ios(a: str, b: str) -> str:
 
 
 GT, DET = "g.", "d."
-#: Pairs with their CIoU, after negative coordinates have been set to 0.
+#: Pairs with their CIoU, after negative coordinates of detections have been set to 0.
 CIOU = f"""{with_tables("fx_gt", "fx_det")},
 d AS (SELECT det_id, image_id, file_name, category_id, score, greatest(x_min, 0) AS x_min, greatest(y_min, 0) AS y_min, greatest(x_max, 0) AS x_max, greatest(y_max, 0) AS y_max FROM fx_det),
-g AS (SELECT annotation_id, image_id, file_name, category_id, greatest(x_min, 0) AS x_min, greatest(y_min, 0) AS y_min, greatest(x_max, 0) AS x_max, greatest(y_max, 0) AS y_max FROM fx_gt),
+g AS (SELECT annotation_id, image_id, file_name, category_id, x_min, y_min, x_max, y_max FROM fx_gt),
 v AS (
   SELECT d.image_id, d.file_name, d.det_id, g.annotation_id, {_iou(DET, GT)} AS iou,
     power((d.x_min + d.x_max - g.x_min - g.x_max) / 2e0, 2) + power((d.y_min + d.y_max - g.y_min - g.y_max) / 2e0, 2) AS apart,
@@ -59,7 +59,7 @@ def _errors(det, gt):
 
 
 R.add("match_predictions", "fx_det fx_gt", lambda d, g: matching.match_predictions(d, g).drop("image_id"), f"{CIOU}\nSELECT file_name, det_id, round(best_ciou, 6) + 0e0 AS best_ciou, annotation_id, tp, fp FROM matches")
-R.add("match_predictions_cells", "fx_det fx_gt", lambda d, g: matching.match_predictions(d, g, cell=256).select("file_name", "det_id", "tp", "annotation_id"), f"{CIOU}\nSELECT file_name, det_id, tp, annotation_id FROM matches")
+R.add("match_predictions_cells", "fx_det fx_gt", lambda d, g: matching.match_predictions(d, g, cell=256).select("file_name", "det_id", "tp", "fp", "annotation_id"), f"{CIOU}\nSELECT file_name, det_id, tp, fp, annotation_id FROM matches")
 R.add("missed_ground_truth", "fx_det fx_gt", lambda d, g: matching.missed_ground_truth(d, g).drop("image_id"), f"{CIOU}\nSELECT file_name, annotation_id, fn FROM missed")
 R.add("image_error_counts", "fx_det fx_gt", lambda d, g: _errors(d, g).drop("image_id"), f"{CIOU}\nSELECT file_name, tp, fp, fn, round(fp_tp_ratio, 6) AS fp_tp_ratio, round(fn_tp_ratio, 6) AS fn_tp_ratio FROM ratios")
 R.add(
@@ -168,7 +168,8 @@ R.add("merge_tile_detections", "fx_det", lambda d: suppression.merge_tile_detect
 # average precision: the taken ground truth is carried along the ranks of an image's class
 _AP = f"""{with_tables("fx_gt", "fx_det", recursive=True)},
 t AS (SELECT unnest([TS]) AS threshold),
-near AS MATERIALIZED (SELECT d.det_id, g.annotation_id, {_iou(DET, GT)} AS iou FROM fx_det d JOIN fx_gt g ON d.image_id = g.image_id AND d.category_id = g.category_id),
+cl AS (SELECT det_id, image_id, category_id, greatest(x_min, 0) AS x_min, greatest(y_min, 0) AS y_min, greatest(x_max, 0) AS x_max, greatest(y_max, 0) AS y_max FROM fx_det),
+near AS MATERIALIZED (SELECT d.det_id, g.annotation_id, {_iou(DET, GT)} AS iou FROM cl d JOIN fx_gt g ON d.image_id = g.image_id AND d.category_id = g.category_id),
 o AS MATERIALIZED (SELECT det_id, list({{'iou': iou, 'id': annotation_id}} ORDER BY iou DESC, annotation_id) AS opts FROM near WHERE iou >= 0.4e0 GROUP BY det_id),
 r AS MATERIALIZED (SELECT d.image_id, d.file_name, d.category_id, d.det_id, d.score, threshold, coalesce(opts, []) AS opts,
     row_number() OVER (PARTITION BY d.image_id, d.category_id, threshold ORDER BY d.score DESC, d.det_id) AS k FROM fx_det d CROSS JOIN t LEFT JOIN o USING (det_id)),

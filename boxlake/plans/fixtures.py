@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxlake.sources.shared import written
+
 BASE = ("orders", "lineitem", "events")
+_WRITTEN = ("fx_base", "fx_det", "fx_gt")
 
 TABLES = {
     "fx_label_map": """
@@ -34,13 +37,13 @@ SELECT l.l_orderkey AS image_id, i.file_name, i.width, i.height,
 FROM lineitem l JOIN fx_images i ON l.l_orderkey = i.image_id""",
     "fx_gt": """
 SELECT rn AS annotation_id, image_id, file_name, width, height, category_id,
-  bl AS x_min, bt AS y_min, bl + bw AS x_max, bt + bh AS y_max
+  CASE WHEN rn % 37 = 1 THEN -15 ELSE bl END AS x_min, bt AS y_min, bl + bw AS x_max, bt + bh AS y_max
 FROM fx_base WHERE image_id % 7 <> 0""",
     "fx_det": """
 SELECT rn * 3 AS det_id, image_id, file_name, width, height,
   CAST(CASE WHEN rn % 13 = 0 THEN (category_id + 1) % 6 ELSE category_id END AS INT) AS category_id,
-  greatest(bl + CAST((rn * 7) % 41 AS INT) - 20, 0) AS x_min,
-  greatest(bt + CAST((rn * 11) % 41 AS INT) - 20, 0) AS y_min,
+  CASE WHEN rn % 37 = 1 THEN -12 ELSE bl + CAST((rn * 7) % 41 AS INT) - 20 END AS x_min,
+  bt + CAST((rn * 11) % 41 AS INT) - 20 AS y_min,
   bl + CAST((rn * 7) % 41 AS INT) - 20 + bw + CAST(rn % 9 AS INT) AS x_max,
   bt + CAST((rn * 11) % 41 AS INT) - 20 + bh + CAST(rn % 7 AS INT) AS y_max,
   (5 + (rn * 31) % 95) / 100 AS score
@@ -98,7 +101,26 @@ def with_tables(*names: str, materialized: bool = False, recursive: bool = False
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = f"{with_tables(name)}\nSELECT * FROM {name}"
-    for table in BASE:
-        sql = sql.replace(f"FROM {table}", f"FROM parquet.`{sf_dir}/{table}.parquet`")
-    return spark.sql(sql)
+    return fixtures(spark, sf_dir, name)[0]
+
+
+def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """The tables as DataFrames. What several are made from is written once, and so are tables that operators read
+    more than once, so that plans are those of the operators."""
+    base = f"parquet.`{sf_dir}/"
+    made: dict[str, str] = {}
+
+    def build(name: str) -> DataFrame:
+        sql = f"WITH {', '.join(f'{n} AS (SELECT * FROM {p})' for n, p in made.items())} {TABLES[name]}" if made else TABLES[name]
+        for table in BASE:
+            sql = sql.replace(f"FROM {table}", f"FROM {base}{table}.parquet`")
+        return spark.sql(sql)
+
+    out: dict[str, DataFrame] = {}
+    needed = _needed(names)
+    for name in needed:
+        out[name] = build(name)
+        if name in _WRITTEN or any(name in TABLES[other] for other in needed if other != name):
+            out[name] = written(out[name])
+            made[name] = f"parquet.`{out[name].inputFiles()[0].rpartition('/')[0]}`"
+    return [out[name] for name in names]

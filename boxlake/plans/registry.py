@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.plans.fixtures import fixture
+from boxlake.plans.fixtures import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,7 @@ class Registry:
         """build gets a DataFrame for each of the (space-separated) fixture tables."""
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(*(fixture(spark, sf_dir, t) for t in tables.split())), places)
+            return rounded(build(*fixtures(spark, sf_dir, *tables.split())), places)
 
         self.queries[name] = query
         if sql:

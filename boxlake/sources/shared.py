@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again; a folder of its own only where that is unset."""
-    spark = df.sparkSession
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its
+    own; on a cluster it is an error, since executors can't read each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="boxlake-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/boxlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder.rstrip('/')}/boxlake-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written under spark.checkpoint.dir and read again; its shuffle files go when it is written."""
+    spark = df.sparkSession
+    path = new_folder(spark)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)

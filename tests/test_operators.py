@@ -128,7 +128,7 @@ def test_round_trips(spark):
 
 def test_expanding_is_chained_unless_symmetric(spark):
     box = gts(spark, (1, 1, 0, (10, 10, 110, 110)))
-    assert tuple(cv.expand_box(box, 2.0).select("x1", "x2").first()) == (0, 200)
+    assert tuple(cv.expand_box(box, 2.0).select("x1", "x2").first()) == (0, 165)
     assert tuple(cv.expand_box(box, 2.0, "symmetric").select("x1", "x2").first()) == (0, 160)
     with pytest.raises(ValueError):
         cv.expand_box(box, 0.5)

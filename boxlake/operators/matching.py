@@ -43,7 +43,9 @@ def pairs(dets: DataFrame, gts: DataFrame, measure: str | Callable = "iou", cell
     if cell:
         joined = joined.dropDuplicates(["image_id", "det_id", "annotation_id"])
     values = [boxes.measure(m)(boxes.columns("d_"), boxes.columns("g_")).alias(name) for name, m in {"value": measure, **more}.items()]
-    return joined.select(*IMAGE, "det_id", "annotation_id", "det_class", "gt_class", "score", *values)
+    keys = (*IMAGE, "det_id", "annotation_id", "det_class", "gt_class", "score")
+    # a generator of one row: filters on a measure stay above it, where below each would compute all of it again
+    return joined.select(*keys, *values).select(*keys, F.inline(F.array(F.struct("value", *more))))
 
 
 def _per_image(df: DataFrame, other: DataFrame, how: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,6 +87,14 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def slices_of(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows whose texts (a column's number) hold at most so many bytes together, or one row:
+    only such a run is ever turned into Python values."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    for start, end in slices_by_bytes(sizes, most):
+        yield batch.slice(start, end - start)
+
+
 def slices_by_bytes(sizes: list[int], most: int):
     """(start, end) of runs that hold at most so many bytes, or one item."""
     start = held = 0

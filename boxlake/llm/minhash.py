@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import as_row, drop_written, read_table, row_key, written
-from boxlake.llm.hashing import mix, shingle_sets, slices_by_bytes
+from boxlake.llm.hashing import mix, shingle_sets, slices_of
 
 BANDS, ROWS = 32, 4
 SLICE_BYTES = 1 << 18
@@ -59,12 +59,11 @@ def _signatures(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.Reco
         weights = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         which = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
-                sets = shingle_sets(texts[start:end], words)
+            for part in slices_of(batch, 1, SLICE_BYTES):
+                sets = shingle_sets([(x or "").encode() for x in part.column(1).to_pylist()], words)
                 keys = [_set_key(s) for s in sets]
                 values = [mix((minima(s, mul, add).reshape(bands, rows) * weights).sum(axis=1) + which).view(np.int64) if len(s) else None for s in sets]
-                arrays = [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))]
+                arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands"])
 
     return run
@@ -73,11 +72,10 @@ def _signatures(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.Reco
 def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = [(x or "").encode() for x in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
-                sets = shingle_sets(texts[start:end], words)
-                same = [_set_key(s) == k for s, k in zip(sets, wanted[start:end], strict=True)]  # not so where rows share an id
-                ids = batch.column(0).slice(start, end - start).filter(pa.array(same))
+            for part in slices_of(batch, 1, SLICE_BYTES):
+                sets = shingle_sets([(x or "").encode() for x in part.column(1).to_pylist()], words)
+                same = [_set_key(s) == k for s, k in zip(sets, part.column(2).to_pylist(), strict=True)]  # not so where rows share an id
+                ids = part.column(0).filter(pa.array(same, pa.bool_()))
                 held = [s.view(np.int64) for s, ok in zip(sets, same, strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.list_(pa.int64()))], names=["doc", "shingles"])
 

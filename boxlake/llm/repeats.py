@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import drop_written, read_table, row_key, written
-from boxlake.llm.hashing import prefix_hashes, slices_by_bytes, span_hashes
+from boxlake.llm.hashing import prefix_hashes, slices_of, span_hashes
 
 LENGTH, GRAM = 100, 32
 #: Different stretches from which a gram or a shard counts as hot, and offsets that share a piece of a hot stretch.
@@ -91,11 +91,10 @@ def _grams(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_bytes(x) for x in batch.column(1).to_pylist()]
-            for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
-                found = [designated(np.frombuffer(t, np.uint8), length, gram)[1] for t in texts[start:end]]
-                of = np.repeat(np.arange(start, end), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], names=["h1", "gram"])
+            for part in slices_of(batch, 1, SLICE_BYTES):
+                found = [designated(np.frombuffer(_bytes(t), np.uint8), length, gram)[1] for t in part.column(1).to_pylist()]
+                of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], names=["h1", "gram"])
 
     return run
 
@@ -105,12 +104,11 @@ def _stretches(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, wanted = _flat(batch.column(4))
-            texts = [_bytes(x) for x in batch.column(3).to_pylist()]
-            for start, end in slices_by_bytes([len(t) for t in texts], SLICE_BYTES):
+            for part in slices_of(batch, 3, SLICE_BYTES):
+                offsets, wanted = _flat(part.column(4))
                 lists: tuple[list, list, list] = ([], [], [])
-                for i in range(start, end):
-                    text = np.frombuffer(texts[i], np.uint8)
+                for i, t in enumerate(part.column(3).to_pylist()):
+                    text = np.frombuffer(_bytes(t), np.uint8)
                     h = prefix_hashes(text)
                     at, grams, first, last = designated(text, length, gram, h)
                     here = np.isin(grams.view(np.int64), wanted[offsets[i] : offsets[i + 1]])
@@ -119,7 +117,7 @@ def _stretches(length: int, gram: int):
                     lists[1].append(grams.view(np.int64))
                     lists[2].append(span_hashes(h, first, last + length).view(np.int64))
                 names = ["doc_id", "h1", "h2", "places", "grams", "bodies"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in range(3)), *(pa.array(x, _LONGS) for x in lists)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, _LONGS) for x in lists)], names=names)
 
     return run
 

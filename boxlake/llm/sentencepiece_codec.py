@@ -11,7 +11,7 @@ the prefix a word shares with the one before it are kept, and only the rest is c
   piece, so the forward pass gives the merges' result exactly, and prefixes share it as before.
 
 Defined results: null and empty texts have no pieces; characters the model lacks become byte pieces, or
-the unknown piece in models without them; U+2581 in a text reads back as a space, as in the library;
+the unknown piece in models without them; very long texts are encoded whole; U+2581 in a text reads back as a space, as in the library;
 rows that repeat are all encoded; an empty table gives an empty table; other columns are ignored.
 Decoding ids outside the model fails; control pieces decode to nothing.
 """
@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from boxlake.llm.common import default_tokenizer, read_table
+from boxlake.llm.hashing import slices_of
 
 MARK = "▁"
 #: Bytes of text in an output batch, and words or pairs of pieces that a worker remembers before it starts anew.
-BATCH_BYTES, REMEMBERED = 4 << 20, 600_000
+BATCH_BYTES, REMEMBERED = 2 << 20, 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: How much less than the least score an unknown character costs in unigram models.
@@ -234,17 +235,6 @@ def load(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > BATCH_BYTES:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function: (doc_id, text) to (doc_id, n_pieces, piece_ids, round_trip)."""
 
@@ -254,14 +244,14 @@ def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         gc.disable()  # nothing here makes cycles, and collections would walk all remembered words
         pieces = load(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for start, end in _slices(texts):
-                ids = pieces.encode(texts[start:end])
-                same = [pieces.decode(x) == t for x, t in zip(ids, texts[start:end], strict=True)]
+            for part in slices_of(batch, 1, BATCH_BYTES):
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                ids = pieces.encode(texts)
+                same = [pieces.decode(x) == t for x, t in zip(ids, texts, strict=True)]
                 counts = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                arrays = [batch.column(0).slice(start, end - start), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)]
+                arrays = [part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_pieces", "piece_ids", "round_trip"])
 
     return run

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from boxlake.llm.common import default_tokenizer, read_table
-from boxlake.llm.hashing import slices_by_bytes
+from boxlake.llm.hashing import slices_of
 
 BATCH_BYTES = 1 << 20
 #: Pieces whose length a task remembers before it starts anew.
@@ -62,11 +62,10 @@ def token_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             return [sum(map(known.__getitem__, pieces)) for pieces in cut]
 
         for batch in batches:
-            sizes = pc.coalesce(pc.binary_length(batch.column(1)), pa.scalar(0, pa.int32())).to_pylist()
-            for start, end in slices_by_bytes(sizes, BATCH_BYTES):
-                part = batch.slice(start, end - start)
+            for part in slices_of(batch, 1, BATCH_BYTES):
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 tokens = lengths([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[start:end], pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return count
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.plans import box_queries, evaluation_queries, job_queries
+from boxlake.plans import box_queries, evaluation_queries, job_queries, source_queries
 
-_PARTS = (evaluation_queries, box_queries, job_queries)
+_PARTS = (evaluation_queries, box_queries, job_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -58,8 +58,9 @@ def read_dota_labels(spark: SparkSession, path: str, classes: dict[str, int], ma
     return rows.filter(F.col("difficulty") <= max_difficulty).join(names, "label_name")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files of one JSON document (an object, or an array of rows) each, or of a row on every line."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -68,10 +69,10 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return tuple(doc.select(F.explode(c).alias("r")).select("r.*") for c in ("images", "annotations", "categories"))
 
 
-def read_label_tasks(spark: SparkSession, path: str, annotator_index: int = 0) -> DataFrame:
+def read_label_tasks(spark: SparkSession, path: str, annotator_index: int = 0, lines: bool = False) -> DataFrame:
     """One row per result box (one with nulls for a task without): task_id, project, image, annotator_index,
     original size, px, py, pw, ph in percent, label."""
-    tasks = _json(spark, path, TASKS)
+    tasks = _json(spark, path, TASKS, lines)
     rows = tasks.select(F.col("id").alias("task_id"), "project", F.col("data.image").alias("image"), F.lit(annotator_index).alias("annotator_index"), F.col("_metadata.file_path").alias("file_path"), F.explode_outer(F.get("annotations", F.lit(annotator_index))["result"]).alias("r"))
     v = F.col("r.value")
     return rows.select("task_id", "project", "image", "annotator_index", "file_path", F.col("r.original_width").alias("width"), F.col("r.original_height").alias("height"), v["x"].alias("px"), v["y"].alias("py"), v["width"].alias("pw"), v["height"].alias("ph"), F.get(v["rectanglelabels"], F.lit(0)).alias("label"))
@@ -82,12 +83,13 @@ def read_label_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "Label").schema("_value string").load(path).select(F.col("_value").alias("label"))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, PREDICTIONS)
+def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of prediction files; those of ``write_predictions`` have a row on every line."""
+    return _json(spark, path, PREDICTIONS, lines)
 
 
-def read_coco_results(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, COCO_RESULTS)
+def read_coco_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, COCO_RESULTS, lines)
 
 
 def read_points_csv(spark: SparkSession, path: str, schema: str = "images string, x double, y double, labels int") -> DataFrame:
@@ -100,9 +102,9 @@ def read_boxes_csv(spark: SparkSession, path: str, renamed: dict[str, str] | Non
     return rows.withColumnsRenamed(renamed or {})
 
 
-def read_geo_polygons(spark: SparkSession, path: str) -> DataFrame:
+def read_geo_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """image_uuid and points of the outer ring of each polygon feature."""
-    features = _json(spark, path, GEO).select(F.explode("features").alias("f"))
+    features = _json(spark, path, GEO, lines).select(F.explode("features").alias("f"))
     ring = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")[0]
     points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return features.filter("f.geometry.type = 'Polygon'").select(F.col("f.properties.IMAGEUUID").alias("image_uuid"), points.alias("points"))
@@ -119,8 +121,8 @@ def read_path_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> ''")
 
 
-def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, LABEL_MAP).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+def read_label_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, LABEL_MAP, lines).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
 
 
 def parse_manifest(text: str) -> dict:

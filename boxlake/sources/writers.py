@@ -1,8 +1,12 @@
 """Writers of labels, COCO documents, tasks, path lists and manifests. Parquet is the form to work with;
-text for other tools is partitioned by image, COCO comes in shards unless one document is asked for."""
+text for other tools is a file per image, COCO comes in shards unless one document is asked for."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +15,41 @@ from boxlake.operators.conversions import CORNERS
 
 
 def _label_lines(df: DataFrame, path: str, fields: list[Column], file: str, mode: str) -> None:
-    rows = df.select(image_key(F.col(file)).alias("image_key"), F.concat_ws(" ", *(f.cast("string") for f in fields)).alias("value")).dropDuplicates()
-    rows.repartition("image_key").sortWithinPartitions("image_key", "value").write.mode(mode).partitionBy("image_key").text(path)
+    """Lines without repeats in one file `<image_key>.txt` per image. An image's lines are put together by Spark and
+    written by the task that has them, under another name first, so a task that runs again replaces its files."""
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"mode must be errorifexists or overwrite, not {mode!r}")
+    rows = df.select(image_key(F.col(file)).alias("image_key"), F.concat_ws(" ", *(f.cast("string") for f in fields)).alias("value"))
+    files = rows.groupBy("image_key").agg(F.array_join(F.sort_array(F.collect_set("value")), "\n").alias("lines"))
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(folder):
+        if mode == "errorifexists":
+            raise FileExistsError(path)
+        store.delete(folder, True)
+    store.mkdirs(folder)
+    files.mapInArrow(_put_files(path), "n_files bigint").agg(F.sum("n_files")).collect()
+
+
+def _put_files(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as stores
+
+        store, base = stores.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        for batch in batches:
+            for key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{base}/_{key}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(f"{lines}\n".encode())
+                store.move(part, f"{base}/{key}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n_files"])
+
+    return run
 
 
 def write_yolo_labels(df: DataFrame, path: str, file: str = "file_name", mode: str = "errorifexists") -> None:
-    """`class x y w h` lines, without repeats, a folder per image (its name up to the first dot)."""
+    """`class x y w h` lines, without repeats, a file per image (its name up to the first dot)."""
     _label_lines(df, path, [F.col("category_id").cast("int"), *(F.col(c) for c in "xywh")], file, mode)
 
 

@@ -30,9 +30,11 @@ def test_box_labels_of_both_formats(spark, tmp_path):
 def test_yolo_round_trip_without_repeats(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "d/a.b.jpg", 0, 0.5, 0.25, 0.1, 0.2)] * 2, schemas.YOLO)
     writers.write_yolo_labels(df, str(tmp_path / "out"))
-    assert [p.name for p in (tmp_path / "out").glob("image_key=*")] == ["image_key=a"]
-    row = readers.read_box_labels(spark, str(tmp_path / "out"), "part-*").collect()
-    assert len(row) == 1 and (row[0].x, row[0].y, row[0].w, row[0].h) == (0.5, 0.25, 0.1, 0.2)
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.suffix != ".crc"] == ["a.txt"]
+    with pytest.raises(FileExistsError):
+        writers.write_yolo_labels(df, str(tmp_path / "out"))
+    row = readers.read_box_labels(spark, str(tmp_path / "out")).collect()
+    assert len(row) == 1 and (row[0].image_key, row[0].x, row[0].y, row[0].w, row[0].h) == ("a", 0.5, 0.25, 0.1, 0.2)
 
 
 def test_dota(spark, tmp_path):

@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.operators import conversions, stats, steps
+from boxlake.operators import conversions, selection, stats, steps
+from boxlake.plans import evaluation_queries
 from boxlake.plans.fixtures import fixture, with_tables
 from boxlake.plans.registry import Registry, rounded
 from boxlake.sources import writers
@@ -24,8 +25,26 @@ def _coco_rows(y: DataFrame, i: DataFrame) -> tuple[DataFrame, DataFrame]:
     return i.select(F.col("image_id").alias("id"), "width", "height", "file_name"), annotations
 
 
-R.add("coco_document", "fx_yolo fx_images", lambda y, i: writers.coco_shards(*_coco_rows(y, i)))
-R.add("metadata_jsonl", "fx_images fx_gt", lambda i, g: stats.image_objects(i, g).select("file_name", F.to_json(F.struct("width", "height", "objects")).alias("value")))
+def _field(path: str, kind: str = "string") -> Column:
+    return F.get_json_object("value", path).cast(kind)
+
+
+def _items(path: str) -> Column:
+    return F.json_array_length(F.get_json_object("value", path)).cast("long")
+
+
+R.add(
+    "coco_document",
+    "fx_yolo fx_images",
+    lambda y, i: writers.coco_shards(*_coco_rows(y, i)).select(_field("$.image.id", "bigint").alias("image_id"), _field("$.image.file_name").alias("file_name"), _items("$.annotations").alias("n"), _field("$.annotations[0].id", "bigint").alias("first_id")),
+    f"{with_tables('fx_yolo', 'fx_images')}\nSELECT i.image_id, i.file_name, count(annotation_id) AS n, min(annotation_id) AS first_id FROM fx_images i LEFT JOIN fx_yolo y ON y.image_id = i.image_id GROUP BY ALL",
+)
+R.add(
+    "metadata_jsonl",
+    "fx_images fx_gt",
+    lambda i, g: stats.image_objects(i, g).select("file_name", F.to_json(F.struct("width", "height", "objects")).alias("value")).select("file_name", _field("$.width", "int").alias("width"), _items("$.objects.bbox").alias("n"), _field("$.objects.area[0]", "bigint").alias("first_area")),
+    f"{with_tables('fx_images', 'fx_gt')}\nSELECT i.file_name, CAST(CASE WHEN count(annotation_id) = 0 THEN 2000 ELSE i.width END AS INT) AS width, count(annotation_id) AS n, CAST(arg_min((x_max - x_min) * (y_max - y_min), annotation_id) AS BIGINT) AS first_area FROM fx_images i LEFT JOIN fx_gt g USING (image_id) GROUP BY i.file_name, i.width",
+)
 
 
 def _tasks(d: DataFrame, i: DataFrame, m: DataFrame) -> DataFrame:
@@ -33,7 +52,32 @@ def _tasks(d: DataFrame, i: DataFrame, m: DataFrame) -> DataFrame:
     return writers.label_tasks(results, i.select(F.col("file_name").alias("image_url")), "detector-1")
 
 
-R.add("label_task_json", "fx_det fx_images fx_label_map", _tasks)
+R.add(
+    "label_task_json",
+    "fx_det fx_images fx_label_map",
+    lambda d, i, m: _tasks(d, i, m).select(_field("$.data.image").alias("image"), _items("$.predictions[0].result").alias("n"), _field("$.predictions[0].score", "double").alias("score"), _field("$.predictions[0].model_version").alias("model")),
+    f"{with_tables('fx_det', 'fx_images')}\nSELECT i.file_name AS image, count(det_id) AS n, round(CAST(coalesce(max(score), 0) AS DOUBLE), 6) AS score, 'detector-1' AS model FROM fx_images i LEFT JOIN fx_det d USING (image_id) GROUP BY i.file_name",
+)
+
+
+_MATRIX = evaluation_queries.ORACLE["confusion_one_to_one"].replace("> 0.6e0", "> 0.5e0")
+R.add(
+    "classification_report",
+    "fx_det fx_gt",
+    lambda d, g: steps.classification_report(d, g, 6, top=4),
+    f"""WITH m AS ({_MATRIX}),
+a AS (SELECT gt_class AS class, sum(n) AS support, coalesce(sum(n) FILTER (WHERE gt_class = pred_class), 0) AS tp FROM m WHERE gt_class < 6 GROUP BY 1),
+q AS (SELECT pred_class AS class, sum(n) AS pred FROM m GROUP BY 1),
+s AS (SELECT class, CAST(support AS BIGINT) AS support, tp / (coalesce(pred, 0) + 1e-8) AS p, tp / (support + 1e-8) AS r FROM a LEFT JOIN q USING (class))
+SELECT class, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r + 1e-8), 4) AS f1, support FROM s ORDER BY support DESC, class LIMIT 4""",
+)
+R.add("performance_report", "fx_det fx_gt", lambda d, g: steps.performance_report(d, g).select("file_name", "tp", "fp", "fn", "map50", "map75"), evaluation_queries.ORACLE["image_metrics"].replace(", map75 < 0.3e0 AS failed", ""))
+R.add(
+    "training_subset",
+    "fx_det fx_gt fx_images",
+    lambda d, g, i: selection.training_subset(selection.hard_samples(selection.image_table(d, g)), i.select("split", F.col("image_dir").alias("dir")).distinct())[1],
+    f"WITH h AS ({evaluation_queries.ORACLE['hard_samples']}), i AS ({with_tables('fx_images')} SELECT * FROM fx_images)\nSELECT DISTINCT split, image_dir AS dir FROM i WHERE split <> 'train' UNION ALL SELECT 'train', file_name FROM (SELECT DISTINCT file_name FROM h)",
+)
 
 
 def _predictor() -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -91,6 +135,10 @@ def hard_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = R.queries | {"label_counts_stream": label_counts_stream, "retrain_trigger": retrain_trigger, "hard_samples_stream": hard_samples_stream}
 ORACLE = R.oracle | {
+    "retrain_trigger": f"""{with_tables('fx_task_results')},
+n AS (SELECT project_id, count(DISTINCT task_id) // 50 AS n FROM fx_task_results GROUP BY project_id)
+SELECT project_id, CAST(t AS INT) AS trigger, CAST(50 * t AS BIGINT) AS n_tasks FROM (SELECT project_id, unnest(range(1, n + 1)) AS t FROM n)""",
+    "hard_samples_stream": evaluation_queries.ORACLE["hard_samples"],
     "label_counts_stream": f"""{with_tables('fx_task_results')}
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, project_id, label, count(*) AS instances FROM fx_task_results
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_task_results) GROUP BY ALL""",

@@ -67,11 +67,11 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, ke
 def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """row (docs' columns), n_lines and kept, the array of lines that stay, of each row of docs."""
     b = written(bitmaps, "line-bitmaps")
-    packed = docs.select(as_row(docs).alias("row"), "doc_id", row_key("doc_id", "text").alias("row_key"), "text")
-    joined = packed.join(b, packed["doc_id"].eqNullSafe(b["doc_id"]) & (packed["row_key"] == b["row_key"]), "left").select("row", "text", "dropped")
-    all_lines = lines_of(F.col("text"))
+    packed = docs.select(as_row(docs).alias("row"), "doc_id", row_key("doc_id", "text").alias("row_key"))
+    joined = packed.join(b, packed["doc_id"].eqNullSafe(b["doc_id"]) & (packed["row_key"] == b["row_key"]), "left").select("row", "dropped")
+    all_lines = lines_of(F.col("row.text"))
     bit = "shiftright(coalesce(try_element_at(dropped, cast(i div {w} as int)), 0L), i % {w}) & 1L = 0L".format(w=WORD)
-    kept = F.when(F.col("dropped").isNull(), all_lines).otherwise(F.expr(rf"filter(split(coalesce(text, ''), '\n'), (x, i) -> {bit})"))
+    kept = F.when(F.col("dropped").isNull(), all_lines).otherwise(F.expr(rf"filter(split(coalesce(row.text, ''), '\n'), (x, i) -> {bit})"))
     return joined.select("row", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
 
 

@@ -3,9 +3,11 @@ with image sizes and label maps."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.operators.ordered import with_place
+
 CORNERS = tuple(f"{a}{i}" for i in (1, 2, 3, 4) for a in "xy")
 
 
@@ -44,12 +46,8 @@ def yolo_to_coco(df: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def sequential_ids(df: DataFrame, group: str, order: list[str], name: str = "id") -> DataFrame:
-    """0, 1, 2 ... by group, then order: a rank inside each group plus the sizes of the groups before it.
-    Only the groups' sizes pass through one task, never the rows."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select(group, (F.sum("__n").over(Window.orderBy(group)) - F.col("__n")).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("__rank", rank).join(starts, group).withColumn(name, F.col("__start") + F.col("__rank")).drop("__start", "__rank")
+    """0, 1, 2 ... by group, then order; a null group comes first."""
+    return with_place(df, [group, *order], name)
 
 
 def denormalise_boxes(df: DataFrame, images: DataFrame) -> DataFrame:

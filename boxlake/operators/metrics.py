@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.operators.matching import clip_boxes, one_to_one, pairs
+from boxlake.operators.ordered import in_ranges, running
 
 #: Thresholds that per-image metrics are computed at.
 THRESHOLDS = (0.5, 0.75)
@@ -51,15 +52,6 @@ def greedy_hits(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] =
     return rows.select("image_id", "file_name", "category_id", "threshold", F.col("z.d.det_id").alias("det_id"), (-F.col("z.d.neg")).alias("score"), F.col("z.h").alias("hit"))
 
 
-def _ap(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ap from rows with keys, rank, tp (so far), n (detections so far), positives: interpolated precision at POINTS recalls."""
-    back = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(*keys).orderBy("rank")
-    steps = F.floor((POINTS - 1) * F.col("tp") / F.col("positives"))
-    curve = ranked.withColumn("best", F.max(F.col("tp") / F.col("n")).over(back)).withColumn("points", steps - F.coalesce(F.lag(steps).over(order), F.lit(-1)))
-    return curve.groupBy(*keys).agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
-
-
 def folded_ap(hits: Column, positives: Column) -> Column:
     """Interpolated precision at POINTS recalls of one ranking: the hits are walked from the last, so that the best
     precision from each one on is known."""
@@ -98,19 +90,26 @@ def image_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = TH
 
 
 def score_levels(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """category_id, threshold, score, tp, n, positives: totals of all detections down to a score. Rows are
-    summed by score before the window, so a window holds distinct scores, not detections."""
-    hits = greedy_hits(dets, gts, thresholds).groupBy("category_id", "threshold", "score").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("dets"))
-    down = Window.partitionBy("category_id", "threshold").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    """category_id, threshold, score, tp, n, positives: totals of all detections down to a score, beside hits and dets
+    of the score itself. Scores are dealt out by ranges, so no task holds a class."""
+    keys = ["category_id", "threshold"]
+    levels = greedy_hits(dets, gts, thresholds).groupBy(*keys, "score").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("dets"))
     positives = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("positives"))
-    return hits.join(positives, "category_id").select("category_id", "threshold", "score", F.sum("hits").over(down).alias("tp"), F.sum("dets").over(down).alias("n"), "positives")
+    totals = running(in_ranges(levels, *keys, F.col("score").desc()), keys, {"tp": ("sum", "hits"), "n": ("sum", "dets")})
+    return totals.join(positives, "category_id").select(*keys, "score", "tp", "n", "positives", "hits", "dets")
 
 
 def dataset_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6)) -> DataFrame:
-    """category_id, threshold, ap over the whole set; detections of equal score count together."""
-    ranked = score_levels(dets, gts, thresholds).withColumn("rank", -F.col("score"))
+    """category_id, threshold, ap over the whole set: interpolated precision at POINTS recalls; detections of equal
+    score count together. A level's points are the recalls that it reaches and the level before doesn't."""
+    keys = ["category_id", "threshold"]
+    reached = lambda tp: F.floor((POINTS - 1) * tp / F.col("positives"))
+    before = F.when(F.col("n") == F.col("dets"), F.lit(-1)).otherwise(reached(F.col("tp") - F.col("hits")))
+    levels = score_levels(dets, gts, thresholds).select(*keys, "score", (F.col("tp") / F.col("n")).alias("precision"), (reached(F.col("tp")) - before).alias("points"))
+    best = running(in_ranges(levels, *keys, "score"), keys, {"best": ("max", "precision")})
+    sums = best.groupBy(*keys).agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
     every = gts.select("category_id").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    return every.join(_ap(ranked, ["category_id", "threshold"]), ["category_id", "threshold"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    return every.join(sums, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
 def pr_curve(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlake.functions import boxes
+from boxlake.operators.components import components
 from boxlake.operators.conversions import tile_to_image_coords
-from boxlake.sources.shared import written
 
 BOX = ("x_min", "y_min", "x_max", "y_max")
 
@@ -116,23 +116,17 @@ def merge_tile_detections(dets: DataFrame, method: str = "nms", threshold: float
     raise ValueError(f"method must be nms, nmm or concat, not {method!r}")
 
 
-def lsnms(dets: DataFrame, threshold: float = 0.5, cell: int = 256, rounds: int = 32) -> DataFrame:
+def lsnms(dets: DataFrame, threshold: float = 0.5, cell: int = 256) -> DataFrame:
     """nms for images with very many boxes. Boxes of one connected patch of cells are folded together; patches
     share no cell, so no overlap crosses them and the result is that of nms."""
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    cells = dets.select("image_id", "det_id", F.explode(span("x_min", "x_max")).alias("cx"), "y_min", "y_max").select("image_id", "det_id", "cx", F.explode(span("y_min", "y_max")).alias("cy"))
-    label = dets.select("image_id", "det_id", F.col("det_id").alias("patch"))
-    for _ in range(rounds):  # smallest id of a cell, then of a box, until nothing changes
-        low = cells.join(label, ["image_id", "det_id"]).groupBy("image_id", "cx", "cy").agg(F.min("patch").alias("low"))
-        new = cells.join(low, ["image_id", "cx", "cy"]).groupBy("image_id", "det_id").agg(F.min("low").alias("patch"))
-        new = written(new)
-        done = new.join(label.withColumnRenamed("patch", "old"), ["image_id", "det_id"]).filter("patch <> old").isEmpty()
-        label = new
-        if done:
-            break
-    else:
-        return nms(dets, threshold)  # a patch longer than rounds: the whole image is one
-    kept = _kept_ids(["image_id", "patch"], dets.join(label, ["image_id", "det_id"]), -F.col("score"), threshold, boxes.iou)
+    node = F.struct("image_id", "det_id")
+    cells = dets.select("image_id", node.alias("b"), F.explode(span("x_min", "x_max")).alias("cx"), "y_min", "y_max").select("image_id", "b", "cx", F.explode(span("y_min", "y_max")).alias("cy"))
+    first = cells.groupBy("image_id", "cx", "cy").agg(F.min("b").alias("a"))
+    patches = components(cells.join(first, ["image_id", "cx", "cy"]).select("a", "b"))
+    label = patches.select("node.*", F.col("root.det_id").alias("patch"))
+    labelled = dets.join(label, ["image_id", "det_id"], "left").withColumn("patch", F.coalesce("patch", "det_id"))
+    kept = _kept_ids(["image_id", "patch"], labelled, -F.col("score"), threshold, boxes.iou)
     return dets.join(kept, ["image_id", "det_id"], "left_semi")
 
 

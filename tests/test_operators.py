@@ -240,3 +240,34 @@ def test_a_task_counts_once_for_the_retrain_trigger(spark, tmp_path):
     run.trigger(availableNow=True).start().awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == [(1, 1, 2), (1, 2, 4), (2, 1, 2)]
+
+
+def test_order_over_ranges(spark):
+    from boxlake.operators import ordered
+
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, v int, w int").repartition(5)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    got = sorted(ordered.with_place(df, ["g", "v"], "id").collect(), key=lambda r: r.id)
+    assert [r.id for r in got] == list(range(400)) and [key(r) for r in got] == sorted(map(key, rows))
+    known = df.filter("g IS NOT NULL").dropDuplicates(["g", "v"])
+    sums = ordered.running(ordered.in_ranges(known, "g", "v"), ["g"], {"s": ("sum", "w"), "m": ("max", "w")}).collect()
+    for r in sums:
+        upto = [x.w for x in sums if x.g == r.g and x.v <= r.v]
+        assert (r.s, r.m) == (sum(upto), max(upto))
+    assert ordered.with_place(df.limit(0), ["g"], "id").count() == 0
+
+
+def test_components_of_a_chain(spark):
+    from boxlake.operators.components import components
+
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (103, 103), (200, 200)]
+    got = sorted(map(tuple, components(spark.createDataFrame(links, "a int, b int")).collect()))
+    assert got == [(i, 1) for i in range(2, 61)] + [(101, 100), (103, 100)]
+
+
+def test_staged_subsets_nest_in_each_folder(spark):
+    images = spark.createDataFrame([(i, f"{i}.jpg", f"d{i % 2}", 10, 10, "train") for i in range(400)], schemas.IMAGES)
+    stages = sampling.staged_subsets(images, images.filter("image_id < 40"), (0.0, 0.5, 99.0)).collect()
+    at = {r: {x.file_name for x in stages if x.ratio == r} for r in (0.0, 0.5, 99.0)}
+    assert [len(at[r]) for r in at] == [40, 60, 400] and at[0.0] < at[0.5] < at[99.0]

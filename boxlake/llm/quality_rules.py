@@ -178,7 +178,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
     """Rules from the statistics of at most fit_rows labelled documents that pass the base rules."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "quality-sample")
-    stats = text_statistics(docs.join(sample, "doc_id").select("doc_id", "text", "quality"), ["doc_id", "quality"])
+    stats = text_statistics(docs.select("doc_id", "text").join(sample, "doc_id"), ["doc_id", "quality"])
     ratios = F.struct(*(F.expr(x).cast("double").alias(k) for k, x in RATIOS.items()))
     by_id = stats.filter(~base_failed()).groupBy("doc_id", "quality").agg(F.min(ratios).alias("ratios"))  # a row per label
     rows = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").collect()

@@ -248,6 +248,8 @@ def test_a_repeated_id_is_fitted_on_once(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "learn_rules", lambda rows: seen.append(rows) or [])
     for n in (1, 5):
         quality_rules.fit_rules(docs.repartition(n), labels, fit_rows=8)
+    quality_rules.fit_rules(docs.withColumn("quality", F.lit(7)), labels.withColumn("text", F.lit("label")), fit_rows=8)  # names of the other table
+    assert seen[2] == seen[0]
     assert len(seen[0]) == 4 and seen[0] == seen[1] and sum(bad for _, bad in seen[0]) == 2
 
 

@@ -38,7 +38,6 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def clashing(spark, odd):
     """Extra columns under names that the operators use inside."""
-    from pyspark.sql import functions as F
 
     return odd.withColumns({c: F.lit(1) for c in ("count", "n", "key", "bucket", "doc", "size", "hash", "uid", "first", "word", "value", "line", "pos", "row_key", "kept", "row", "group", "order", "times", "of", "gone", "dropped", "n_points", "text_hash", "node", "h1", "__t", "__row", "__times", "__copy", "__dropped", "__key", "__gone", "__id", "a b.c")})
 

@@ -26,14 +26,14 @@ def with_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def running(rows: DataFrame, by: list[str], down: dict[str, tuple[str, str]]) -> DataFrame:
-    """rows (of ``in_ranges``) with columns {name: (function, column)}: sum or max of a column over the rows of the same
+    """rows (of ``in_ranges``) with columns {name: (function, column)}: sum, max or xor of a column over the rows of the same
     ``by`` up to this one. The order must put rows of one ``by`` together. Ranges are folded side by side, and what
     went before a range is folded over one row for each range of a ``by``."""
-    fold = {"sum": F.sum, "max": F.max}
+    fold = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}
     ends = rows.groupBy(*by, "__range").agg(*(fold[how](c).alias(f"__{name}") for name, (how, c) in down.items()))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(*by, "__range", *(fold[how](f"__{name}").over(earlier).alias(f"__{name}") for name, (how, _) in down.items()))
     inside = Window.partitionBy("__range", *by).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(before, [*by, "__range"])
-    plus = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest}  # greatest skips nulls
+    plus = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "xor": lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0)))}  # greatest skips nulls
     return joined.withColumns({name: plus[how](fold[how](c).over(inside), F.col(f"__{name}")) for name, (how, c) in down.items()}).drop(*(f"__{n}" for n in down))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "line_dedup", "mixing", "token_counts", "quality_rules", "warc", "html_text", "sentencepiece_codec", "minhash", "repeats", "collocations", "chat_format")
+MODULES = ("exact_dedup", "line_dedup", "mixing", "token_counts", "quality_rules", "warc", "html_text", "sentencepiece_codec", "minhash", "repeats", "collocations", "chat_format", "prefix_trie")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

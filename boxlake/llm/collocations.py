@@ -41,7 +41,9 @@ from boxlake.llm.common import drop_written, read_table, written
 from boxlake.llm.hashing import LOWERED, mix, prefix_hashes, slices_of, span_hashes
 
 MIN_COUNT, LONGEST, TOP, UNKNOWN = 100, 5, 2000, "und"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Words, pairs and triples that a task gathers before it counts their buckets.
+GATHERED = 2 << 20
 #: Buckets of the sieve, and how many of them are counted together.
 SIEVE_BITS, SHARD_BITS = 26, 16
 #: 0: of a word; 1: between words; 2: between pieces.
@@ -127,17 +129,25 @@ def _slices(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Words]:
 def _bucketed(longest: int, min_count: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts to a row for each shard of the sieve's buckets: which are met, and how often (min_count is enough)."""
 
+    def counted(ids: np.ndarray) -> pa.RecordBatch:
+        ids, n = np.unique(ids, return_counts=True)
+        n = np.minimum(n, min(min_count, 65535)).astype(np.uint16)
+        shard, first = np.unique(ids >> SHARD_BITS, return_index=True)
+        low = (ids & np.uint32((1 << SHARD_BITS) - 1)).astype(np.uint16)
+        cuts = [*first.tolist(), len(ids)]
+        # bytes in planes: steps between buckets are mostly under 256 and counts under 2, so a plane of zeros packs well
+        packed = [b"".join(np.ascontiguousarray(x.view(np.uint8)[k::2]).tobytes() for x in (np.diff(low[a:b], prepend=np.uint16(0)), n[a:b]) for k in (0, 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "met"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for words in _slices(batches, longest):
-            met = [(words.keys(at[words.owned[at]], k) >> np.uint64(64 - bits)).astype(np.uint32) for k, at in zip(range(1, min(longest, 3) + 1), words.runs())]
-            ids, n = np.unique(np.concatenate(met), return_counts=True)
-            n = np.minimum(n, min(min_count, 65535)).astype(np.uint16)
-            shard, first = np.unique(ids >> SHARD_BITS, return_index=True)
-            low = (ids & np.uint32((1 << SHARD_BITS) - 1)).astype(np.uint16)
-            cuts = [*first.tolist(), len(ids)]
-            # bytes in planes: steps between buckets are mostly under 256 and counts under 2, so a plane of zeros packs well
-            packed = [b"".join(np.ascontiguousarray(x.view(np.uint8)[k::2]).tobytes() for x in (np.diff(low[a:b], prepend=np.uint16(0)), n[a:b]) for k in (0, 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "met"])
+            held += [(words.keys(at[words.owned[at]], k) >> np.uint64(64 - bits)).astype(np.uint32) for k, at in zip(range(1, min(longest, 3) + 1), words.runs())]
+            if sum(map(len, held)) >= GATHERED:
+                yield counted(np.concatenate(held))
+                held = []
+        if held:
+            yield counted(np.concatenate(held))
 
     return run
 

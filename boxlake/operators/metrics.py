@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.operators.matching import clip_boxes, one_to_one, pairs
+from boxlake.operators.assignment import greedy_by_score, least_distance
+from boxlake.operators.matching import clip_boxes, pairs
 from boxlake.operators.ordered import in_ranges, running
+from boxlake.sources.shared import written
 
 #: Thresholds that per-image metrics are computed at.
 THRESHOLDS = (0.5, 0.75)
@@ -14,8 +16,20 @@ THRESHOLDS = (0.5, 0.75)
 POINTS = 101
 
 
-#: Detections of an image's class that average precision looks at, those of highest score first.
+#: Detections of an image's class that average precision looks at where the caller sets nothing else.
 MOST = 100
+#: Cells over which the boxes of crowded images are paired.
+CELL = 256
+
+
+def best_scored(dets: DataFrame, most: int | None) -> DataFrame:
+    """An image's detections of a class with the highest scores (then smallest det_id); all of them where most is None."""
+    if most is None:
+        return dets
+    if most < 1:
+        raise ValueError("max_detections must be 1 or more, or None")
+    rank = F.row_number().over(Window.partitionBy("image_id", "category_id").orderBy(F.col("score").desc(), "det_id"))
+    return dets.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 
 def _ranked_options(dets: DataFrame, near: DataFrame) -> DataFrame:
@@ -26,7 +40,25 @@ def _ranked_options(dets: DataFrame, near: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<neg:double,annotation_id:bigint>>")
     ready = dets.select("image_id", "file_name", "category_id", "det_id", "score").join(options, ["image_id", "det_id"], "left").withColumn("options", F.coalesce("options", none))
     found = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "det_id", "options")))
-    return ready.groupBy("image_id", "file_name", "category_id").agg(F.slice(found, 1, MOST).alias("dets"))
+    return ready.groupBy("image_id", "file_name", "category_id").agg(found.alias("dets"))
+
+
+def _split(dets: DataFrame, crowded: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Detections of images and classes with at most so many of them, and the others."""
+    if crowded is None:
+        return dets, None
+    keys = ["image_id", "category_id"]
+    large = written(dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > crowded).select(*keys))
+    return dets.join(large, keys, "left_anti"), dets.join(large, keys, "left_semi")
+
+
+def _crowded_hits(dets: DataFrame, near: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """image_id, file_name, category_id, threshold, det_id, score, hit of detections in crowded images, by the grouped matcher."""
+    keys = ["image_id", "category_id", "det_id"]
+    same = near.filter(F.col("det_class") == F.col("gt_class")).withColumnRenamed("det_class", "category_id").join(dets.select(*keys), keys, "left_semi")
+    taken = greedy_by_score(same, thresholds).withColumn("hit", F.lit(1))
+    every = dets.select("image_id", "file_name", "category_id", "det_id", "score").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    return every.join(taken, [*keys, "threshold"], "left").select("image_id", "file_name", "category_id", "threshold", "det_id", "score", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def _hits(threshold: float | Column) -> Column:
@@ -42,14 +74,23 @@ def _hits(threshold: float | Column) -> Column:
     return F.aggregate("dets", start, step, lambda a: a["hits"])
 
 
-def greedy_hits(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """image_id, file_name, category_id, threshold, det_id, score, hit for every detection, as ``_hits`` finds them.
-    The fold runs over one image's boxes of a class."""
-    near = pairs(clip_boxes(dets), gts).filter(F.col("value") >= min(thresholds))
-    at = _ranked_options(dets, near).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+def _paired(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...], crowded: int | None, cell: int | None) -> DataFrame:
+    return pairs(clip_boxes(dets), gts, cell=cell or (CELL if crowded is not None else None)).filter(F.col("value") >= min(thresholds))
+
+
+def greedy_hits(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, max_detections: int | None = None, crowded: int | None = None, cell: int | None = None) -> DataFrame:
+    """image_id, file_name, category_id, threshold, det_id, score, hit for every detection, as ``_hits`` finds them, or for the
+    max_detections of highest score. The fold runs over one image's boxes of a class; where there are more than ``crowded``,
+    the grouped matcher takes them, of the same result, and boxes are paired by cells."""
+    dets = best_scored(dets, max_detections)
+    small, large = _split(dets, crowded)
+    near = _paired(dets, gts, thresholds, crowded, cell)
+    near = near if large is None else written(near)
+    at = _ranked_options(small, near).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     folded = at.withColumn("hits", _hits(F.col("threshold")))
     rows = folded.select("image_id", "file_name", "category_id", "threshold", F.explode(F.arrays_zip(F.col("dets").alias("d"), F.col("hits").alias("h"))).alias("z"))
-    return rows.select("image_id", "file_name", "category_id", "threshold", F.col("z.d.det_id").alias("det_id"), (-F.col("z.d.neg")).alias("score"), F.col("z.h").alias("hit"))
+    rows = rows.select("image_id", "file_name", "category_id", "threshold", F.col("z.d.det_id").alias("det_id"), (-F.col("z.d.neg")).alias("score"), F.col("z.h").alias("hit"))
+    return rows if large is None else rows.unionByName(_crowded_hits(large, near, thresholds))
 
 
 def folded_ap(hits: Column, positives: Column) -> Column:
@@ -68,53 +109,62 @@ def folded_ap(hits: Column, positives: Column) -> Column:
     return F.aggregate(F.reverse(hits), start, step, lambda a: a["sum"] / POINTS)
 
 
-def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None) -> DataFrame:
+def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None, max_detections: int | None = MOST, crowded: int | None = None) -> DataFrame:
     """image_id, file_name, category_id, threshold, ap of classes that have ground truth in the image. near: pairs
     that the caller has already. Hits and precision are folded where the image's boxes are; only sums leave."""
     keys = ["image_id", "file_name", "category_id"]
-    near = (pairs(clip_boxes(dets), gts) if near is None else near).filter(F.col("value") >= min(thresholds))
+    dets = best_scored(dets, max_detections)
+    small, large = _split(dets, crowded)
+    near = _paired(dets, gts, thresholds, crowded, None) if near is None else near.filter(F.col("value") >= min(thresholds))
+    near = near if large is None else written(near)
     positives = gts.groupBy(*keys).agg(F.count(F.lit(1)).alias("positives"))
-    joined = positives.join(_ranked_options(dets, near), keys, "left")
-    at = F.array(*(F.struct(F.lit(t).alias("threshold"), F.coalesce(folded_ap(_hits(t), F.col("positives")), F.lit(0.0)).alias("ap")) for t in thresholds))
-    return joined.select(*keys, F.inline(at))
-
-
-def image_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None) -> DataFrame:
+    ap = lambda hits: F.coalesce(folded_ap(hits, F.col("positives")), F.lit(0.0)).alias("ap")
+    at = F.array(*(F.struct(F.lit(t).alias("threshold"), ap(_hits(t))) for t in thresholds))
+    if large is None:
+        return positives.join(_ranked_options(small, near), keys, "left").select(*keys, F.inline(at))
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "det_id", "hit"))), lambda x: x["hit"])
+    folded = _crowded_hits(large, near, thresholds).groupBy(*keys, "threshold").agg(ranked.alias("hits"))
+    in_crowds = positives.join(folded, keys).select(*keys, "threshold", ap(F.col("hits")))
+    others = positives.join(large.select("image_id", "category_id").distinct(), ["image_id", "category_id"], "left_anti")
+    return others.join(_ranked_options(small, near), keys, "left").select(*keys, F.inline(at)).unionByName(in_crowds)
+
+
+def image_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None, max_detections: int | None = MOST, crowded: int | None = None) -> DataFrame:
     """image_id, file_name, map50, map75 (a column for each threshold) of every image with detections: the mean over
     its ground truth's classes, -1 where it has none."""
-    per_class = image_class_ap(dets, gts, thresholds, near)
+    per_class = image_class_ap(dets, gts, thresholds, near, max_detections, crowded)
     names = {t: f"map{round(100 * t)}" for t in thresholds}
     means = per_class.groupBy("image_id").agg(*(F.avg(F.when(F.col("threshold") == t, F.col("ap"))).alias(c) for t, c in names.items()))
     images = dets.select("image_id", "file_name").distinct()
     return images.join(means, "image_id", "left").select("image_id", "file_name", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names.values()))
 
 
-def score_levels(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+def score_levels(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...], max_detections: int | None = None, crowded: int | None = None) -> DataFrame:
     """category_id, threshold, score, tp, n, positives: totals of all detections down to a score, beside hits and dets
     of the score itself. Scores are dealt out by ranges, so no task holds a class."""
     keys = ["category_id", "threshold"]
-    levels = greedy_hits(dets, gts, thresholds).groupBy(*keys, "score").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("dets"))
+    levels = greedy_hits(dets, gts, thresholds, max_detections, crowded).groupBy(*keys, "score").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("dets"))
     positives = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("positives"))
     totals = running(in_ranges(levels, *keys, F.col("score").desc()), keys, {"tp": ("sum", "hits"), "n": ("sum", "dets")})
     return totals.join(positives, "category_id").select(*keys, "score", "tp", "n", "positives", "hits", "dets")
 
 
-def dataset_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6)) -> DataFrame:
+def dataset_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.6), max_detections: int | None = MOST, crowded: int | None = None) -> DataFrame:
     """category_id, threshold, ap over the whole set: interpolated precision at POINTS recalls; detections of equal
-    score count together. A level's points are the recalls that it reaches and the level before doesn't."""
+    score count together. Of an image's class the max_detections of highest score count (None: all). A level's points are the recalls that it reaches and the level before doesn't."""
     keys = ["category_id", "threshold"]
     reached = lambda tp: F.floor((POINTS - 1) * tp / F.col("positives"))
     before = F.when(F.col("n") == F.col("dets"), F.lit(-1)).otherwise(reached(F.col("tp") - F.col("hits")))
-    levels = score_levels(dets, gts, thresholds).select(*keys, "score", (F.col("tp") / F.col("n")).alias("precision"), (reached(F.col("tp")) - before).alias("points"))
+    levels = score_levels(dets, gts, thresholds, max_detections, crowded).select(*keys, "score", (F.col("tp") / F.col("n")).alias("precision"), (reached(F.col("tp")) - before).alias("points"))
     best = running(in_ranges(levels, *keys, "score"), keys, {"best": ("max", "precision")})
     sums = best.groupBy(*keys).agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
     every = gts.select("category_id").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return every.join(sums, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-def pr_curve(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """category_id, score, precision, recall at every distinct score."""
-    return score_levels(dets, gts, (threshold,)).select("category_id", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
+def pr_curve(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, max_detections: int | None = None, crowded: int | None = None) -> DataFrame:
+    """category_id, score, precision, recall at every distinct score, of all detections unless max_detections is set."""
+    return score_levels(dets, gts, (threshold,), max_detections, crowded).select("category_id", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
 
 
 def to_points(df: DataFrame) -> DataFrame:
@@ -133,9 +183,15 @@ def point_pairs(dets: DataFrame, gts: DataFrame, radius: float = 20.0) -> DataFr
     return d.join(g, ["image_id", "category_id", "cx", "cy"]).select("image_id", "category_id", "det_id", "annotation_id", apart.alias("value")).filter(F.col("value") <= radius * radius)
 
 
+def point_matches(dets: DataFrame, gts: DataFrame, radius: float = 20.0) -> DataFrame:
+    """image_id, category_id, det_id, annotation_id, value (squared distance) of the one-to-one assignment of points within
+    radius: as many pairs as there can be and, of those assignments, the one of least total distance."""
+    return least_distance(point_pairs(dets, gts, radius))
+
+
 def point_metrics(dets: DataFrame, gts: DataFrame, radius: float = 20.0) -> DataFrame:
     """category_id, tp, fp, fn, precision, recall, f1, mae, mse, rmse (of counts per image with either kind)."""
-    tp = one_to_one(point_pairs(dets, gts, radius), F.col("value")).groupBy("category_id").agg(F.count(F.lit(1)).alias("tp"))
+    tp = point_matches(dets, gts, radius).groupBy("category_id").agg(F.count(F.lit(1)).alias("tp"))
     both = dets.select("image_id", "category_id", F.lit(1).alias("d"), F.lit(0).alias("g")).unionByName(gts.select("image_id", "category_id", F.lit(0).alias("d"), F.lit(1).alias("g")))
     counts = both.groupBy("image_id", "category_id").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))
     gap = F.col("d") - F.col("g")

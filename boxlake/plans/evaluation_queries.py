@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -207,16 +208,41 @@ x AS (SELECT *, max(tp / n) OVER (PARTITION BY category_id, threshold ORDER BY s
 SELECT category_id, threshold, round(sum(best * points) / 101, 6) AS ap FROM x GROUP BY ALL""",
 )
 R.add("pr_curve", "fx_det fx_gt", metrics.pr_curve, _AP.replace("TS", "0.5e0") + _LEVELS + "\nSELECT category_id, round(score, 6) AS score, round(tp / n, 6) AS precision, round(tp / positives, 6) AS recall FROM cu")
+# images that hold hundreds of boxes of a class: all of them, and the 100 of highest score
+_CROWD = re.sub(r"\bfx_(gt|det)\b", r"fx_crowd_\1", _AP.split(",\nt AS (", 1)[1])
+_CROWD = f"""{with_tables("fx_crowd_gt", "fx_crowd_det", recursive=True)},
+t AS ({_CROWD}"""
+_CROWD_LEVELS = _LEVELS.replace("fx_gt", "fx_crowd_gt")
+R.add("pr_curve_crowded", "fx_crowd_det fx_crowd_gt", lambda d, g: metrics.pr_curve(d, g, crowded=64), _CROWD.replace("TS", "0.5e0") + _CROWD_LEVELS + "\nSELECT category_id, round(score, 6) AS score, round(tp / n, 6) AS precision, round(tp / positives, 6) AS recall FROM cu")
+R.add("greedy_hits_crowded", "fx_crowd_det fx_crowd_gt", lambda d, g: metrics.greedy_hits(d, g, (0.4, 0.7), crowded=0).groupBy("image_id", "category_id", "threshold").agg(F.sum("hit").cast("bigint").alias("hits"), F.count(F.lit(1)).alias("n")), _CROWD.replace("TS", "0.4e0, 0.7e0") + "\nSELECT image_id, category_id, threshold, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n FROM hits GROUP BY ALL")
+_MOST = "QUALIFY row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) <= 100"
+R.add(
+    "dataset_ap_crowded",
+    "fx_crowd_det fx_crowd_gt",
+    lambda d, g: metrics.dataset_ap(d, g, max_detections=100, crowded=64),
+    _CROWD.replace("TS", "0.5e0, 0.6e0").replace("FROM fx_crowd_det d CROSS JOIN", f"FROM (SELECT * FROM fx_crowd_det {_MOST}) d CROSS JOIN") + _CROWD_LEVELS + R.oracle["dataset_ap"].split(_LEVELS, 1)[1],
+)
+_POINTS = f"""{with_tables("fx_gt", "fx_det", recursive=True)},
+p AS MATERIALIZED (SELECT * FROM (SELECT d.image_id, d.category_id, d.det_id, g.annotation_id, sqrt(power((d.x_min + d.x_max - g.x_min - g.x_max) / 2e0, 2) + power((d.y_min + d.y_max - g.y_min - g.y_max) / 2e0, 2)) AS v
+  FROM fx_det d JOIN fx_gt g ON d.image_id = g.image_id AND d.category_id = g.category_id) WHERE v <= 20),
+near AS MATERIALIZED (SELECT DISTINCT a.det_id AS a, b.det_id AS b FROM p a JOIN p b USING (annotation_id)),
+walk AS (SELECT a, b FROM near UNION SELECT walk.a, near.b FROM walk JOIN near ON near.a = walk.b),
+part AS MATERIALIZED (SELECT a AS det_id, min(b) AS part FROM walk GROUP BY a),
+o AS MATERIALIZED (SELECT part, det_id, list({{'id': annotation_id, 'v': v}}) AS opts, any_value(category_id) AS category_id, row_number() OVER (PARTITION BY part ORDER BY det_id) AS k FROM p JOIN part USING (det_id) GROUP BY part, det_id),
+w AS (
+  SELECT part, category_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(0 AS DOUBLE) AS total FROM o WHERE k = 1
+  UNION ALL
+  SELECT w.part, w.category_id, o.k, CASE WHEN z.x.id IS NULL THEN w.taken ELSE list_append(w.taken, z.x.id) END, w.total + coalesce(z.x.v, 0)
+  FROM w JOIN o ON o.part = w.part AND o.k = w.k + 1, LATERAL (SELECT unnest(list_append(list_filter(o.opts, lambda y: NOT list_contains(w.taken, y.id)), NULL)) AS x) z),
+last AS (SELECT part, max(k) AS k FROM o GROUP BY part),
+best AS (SELECT part, w.category_id, len(taken) AS n, total FROM w JOIN last USING (part, k) QUALIFY row_number() OVER (PARTITION BY part ORDER BY len(taken) DESC, total) = 1)"""
+R.add("point_matches", "fx_det fx_gt", lambda d, g: metrics.point_matches(d, g).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.sqrt("value")).alias("total")), f"{_POINTS}\nSELECT category_id, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 4) AS total FROM best GROUP BY ALL", places=4)
 R.add(
     "point_metrics",
     "fx_det fx_gt",
     metrics.point_metrics,
-    f"""{with_tables("fx_gt", "fx_det")},
-p AS (SELECT d.image_id, d.category_id, d.det_id, g.annotation_id, power((d.x_min + d.x_max - g.x_min - g.x_max) / 2e0, 2) + power((d.y_min + d.y_max - g.y_min - g.y_max) / 2e0, 2) AS v
-  FROM fx_det d JOIN fx_gt g ON d.image_id = g.image_id AND d.category_id = g.category_id),
-f AS (SELECT * FROM p WHERE v <= 400 QUALIFY row_number() OVER (PARTITION BY image_id, det_id ORDER BY v, annotation_id) = 1),
-h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY image_id, annotation_id ORDER BY v, det_id) = 1),
-tp AS (SELECT category_id, count(*) AS tp FROM h GROUP BY ALL),
+    f"""{_POINTS},
+tp AS (SELECT category_id, CAST(sum(n) AS BIGINT) AS tp FROM best GROUP BY ALL),
 n AS (SELECT image_id, category_id, sum(d) AS d, sum(g) AS g FROM (SELECT image_id, category_id, 1 AS d, 0 AS g FROM fx_det UNION ALL SELECT image_id, category_id, 0, 1 FROM fx_gt) GROUP BY ALL),
 a AS (SELECT category_id, CAST(sum(d) AS BIGINT) AS dets, CAST(sum(g) AS BIGINT) AS gts, avg(abs(d - g)) AS mae, avg((d - g) * (d - g)) AS mse FROM n GROUP BY ALL),
 q AS (SELECT a.*, coalesce(tp, 0) AS tp, coalesce(tp, 0) / (dets + 1e-8) AS p, coalesce(tp, 0) / (gts + 1e-8) AS r FROM a LEFT JOIN tp USING (category_id))

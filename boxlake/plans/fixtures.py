@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from boxlake.sources.shared import written
 
 BASE = ("orders", "lineitem", "events")
-_WRITTEN = ("fx_base", "fx_det", "fx_gt")
+_WRITTEN = ("fx_base", "fx_det", "fx_gt", "fx_crowd_det", "fx_crowd_gt")
 
 TABLES = {
     "fx_label_map": """
@@ -58,6 +58,12 @@ UNION ALL
 SELECT rn * 3 + 2, image_id, file_name, width, height, category_id,
   bl + 4, bt + 3, bl + 4 + bw, bt + 3 + bh, (5 + (rn * 13) % 90) / 100
 FROM fx_base WHERE rn % 6 = 1 AND image_id % 11 <> 3""",
+    "fx_crowd_gt": """
+SELECT annotation_id, image_id % 40 AS image_id, concat('crowd_', CAST(image_id % 40 AS STRING)) AS file_name, category_id, x_min, y_min, x_max, y_max
+FROM fx_gt""",
+    "fx_crowd_det": """
+SELECT det_id, image_id % 40 AS image_id, concat('crowd_', CAST(image_id % 40 AS STRING)) AS file_name, category_id, x_min, y_min, x_max, y_max, score
+FROM fx_det""",
     "fx_yolo": """
 SELECT annotation_id, image_id, file_name, category_id,
   CAST(x_min + x_max AS DOUBLE) / 2 / width AS x, CAST(y_min + y_max AS DOUBLE) / 2 / height AS y,

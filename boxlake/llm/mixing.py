@@ -8,8 +8,9 @@ threshold is found from sums by source and hash bucket: nested buckets, of which
 holds the budget's edge is opened again. Nothing is sorted, and no source meets in one task.
 
 Defined results: null texts have size 0; very long texts are counted whole; the document at the edge is taken if at least half of it fits;
-rows with the same doc_id share a hash and are taken together; an empty table gives an empty table;
-other columns pass ``mix`` unchanged, whatever their names. The hash depends on doc_id alone, so reruns agree.
+rows that repeat both doc_id and text share a hash and are taken together, others under one doc_id (or none) have hashes of their
+own; an empty table gives an empty table; other columns pass ``mix`` unchanged, whatever their names. The hash depends on
+doc_id and text alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ MAX_REPEATS = 3
 HASH_BITS, LEVEL_BITS = 60, 10
 
 
-def doc_hash(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    row = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(row), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -76,19 +78,19 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken."""
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sized")
+    """A row per document: doc_id, source, hash, size, source_size, target, taken, times."""
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sized")
     cuts = written(thresholds(sized, targets(sized)), "mix-thresholds").withColumnRenamed("source", "of")
     times = F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long")
     joined = sized.join(cuts, sized["source"].eqNullSafe(cuts["of"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return joined.select("doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with all its columns."""
-    plan = written(mix_plan(docs).filter("times > 0").select("doc_id", "source", F.col("times").cast("int").alias("times")).distinct(), "mix-plan")
-    packed = docs.select(as_row(docs).alias("row"), "doc_id", "source")
-    joined = packed.join(plan, packed["doc_id"].eqNullSafe(plan["doc_id"]) & packed["source"].eqNullSafe(plan["source"]))
+    plan = written(mix_plan(docs).filter("times > 0").select("doc_id", "source", "hash", F.col("times").cast("int").alias("times")).distinct(), "mix-plan")
+    packed = docs.select(as_row(docs).alias("row"), "doc_id", "source", doc_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    joined = packed.join(plan, packed["doc_id"].eqNullSafe(plan["doc_id"]) & packed["source"].eqNullSafe(plan["source"]) & (packed["hash"] == plan["hash"]))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
@@ -101,7 +103,7 @@ ORACLE = {
     "op5_mix_sources": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap,
     [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 t AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM s),

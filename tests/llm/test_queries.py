@@ -53,7 +53,7 @@ def brute_times(docs):
     for s in sources:
         copies = int(target[s] // of[s]) if of[s] else 0
         budget, used = target[s] - copies * of[s], 0
-        for d in sorted((d for d in docs if docs[d].source == s), key=lambda d: hashlib.md5(str(d).encode()).hexdigest()):
+        for d in sorted((d for d in docs if docs[d].source == s), key=lambda d: hashlib.md5(f"{d}:{docs[d].text or ''}".encode()).hexdigest()):
             fits = used + size[d] <= budget or 2 * (budget - used) >= size[d] > 0
             times[d] = copies + (budget > 0 and fits)
             used = used + size[d] if fits else float("inf")

@@ -35,6 +35,11 @@ def _key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, keep: str = "none") -> DataFrame:
     """doc_id, row_key, dropped map<int,long>: the words of the document's bitmap that have a bit set.
 
@@ -70,8 +75,12 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     packed = docs.select(as_row(docs).alias("row"), "doc_id", row_key("doc_id", "text").alias("row_key"))
     joined = packed.join(b, packed["doc_id"].eqNullSafe(b["doc_id"]) & (packed["row_key"] == b["row_key"]), "left").select("row", "dropped")
     all_lines = lines_of(F.col("row.text"))
-    bit = "shiftright(coalesce(try_element_at(dropped, cast(i div {w} as int)), 0L), i % {w}) & 1L = 0L".format(w=WORD)
-    kept = F.when(F.col("dropped").isNull(), all_lines).otherwise(F.expr(rf"filter(split(coalesce(row.text, ''), '\n'), (x, i) -> {bit})"))
+    # a word of the bitmap is looked up once for all of its lines; both functions name what is computed once
+    stays = lambda bits: lambda x, i: bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0
+    part = lambda lines, k, bits: F.when(bits.isNull(), F.slice(lines, k * WORD + 1, F.lit(WORD))).otherwise(F.filter(F.slice(lines, k * WORD + 1, F.lit(WORD)), stays(bits)))
+    word = lambda lines: lambda k: _bound(F.try_element_at("dropped", k), lambda bits: part(lines, k, bits))
+    left = _bound(all_lines, lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / WORD).cast("int")), word(lines))))
+    kept = F.when(F.col("dropped").isNull(), all_lines).otherwise(left)
     return joined.select("row", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
 
 

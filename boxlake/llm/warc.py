@@ -114,8 +114,9 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 def _writer(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def put(fs, base: str, records: list[bytes], place: int) -> tuple[str, int, int]:
-        content = archive(records)
-        path = f"{base}/part-{TaskContext.get().partitionId():06d}-{place:06d}.warc.zst"
+        content, task = archive(records), TaskContext.get()
+        # a name that no other attempt of the task has: its rows may come in another order, and only the manifest's files are read
+        path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId():09d}-{place:06d}.warc.zst"
         part = f"{path}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(part) as f:
             f.write(content)

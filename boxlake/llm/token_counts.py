@@ -23,8 +23,8 @@ from boxlake.llm.common import default_tokenizer, read_table
 from boxlake.llm.hashing import slices_of
 
 BATCH_BYTES = 1 << 20
-#: Pieces whose length a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces whose number of tokens a task remembers before it starts anew, and the longest (in characters) that it does remember.
+REMEMBERED, SHORT = 400_000, 64
 LIMIT = 512
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85​﻿]) (?=[^\s\x1c-\x1f\x85​﻿])")
 _UNSAFE = re.compile(r"^ | $|[\s\x1c-\x1f\x85​﻿] | [\s\x1c-\x1f\x85​﻿]")
@@ -56,10 +56,12 @@ def token_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list({p for pieces in cut for p in pieces})
+            long: dict[str, int] = {}  # of this batch alone
             for at in range(0, len(new), 10_000):
                 part = new[at : at + 10_000]
-                known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            return [sum(map(known.__getitem__, pieces)) for pieces in cut]
+                for piece, tokens in zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True):
+                    (known if len(piece) <= SHORT else long)[piece] = tokens
+            return [sum(known[p] if p in known else long[p] for p in pieces) for pieces in cut]
 
         for batch in batches:
             for part in slices_of(batch, 1, BATCH_BYTES):

@@ -30,8 +30,9 @@ from boxlake.llm.common import default_tokenizer, read_table
 from boxlake.llm.hashing import slices_of
 
 MARK = "▁"
-#: Bytes of text in an output batch, and words or pairs of pieces that a worker remembers before it starts anew.
-BATCH_BYTES, REMEMBERED = 2 << 20, 250_000
+#: Bytes of text in an output batch, words or pairs of pieces that a worker remembers before it starts anew, and the longest word
+#: (in characters) that it does remember.
+BATCH_BYTES, REMEMBERED, SHORT = 2 << 20, 250_000, 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: How much less than the least score an unknown character costs in unigram models.
@@ -192,7 +193,11 @@ class Pieces:
         known = self.known
         known.update((w, ids_of[m]) for w, m in marked.items())
         get = known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in cut]
+        out = [list(chain.from_iterable(map(get, words))) for words in cut]
+        for w in new:
+            if len(w) > SHORT:  # long words are of this batch alone, so what is remembered is bounded in bytes too
+                del known[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         if not len(ids):

@@ -35,23 +35,25 @@ def duplicate_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
     return _groups(docs, digest).select("doc_id", "n_points", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def _groups(docs: DataFrame, digest: bool = False, *more: Column) -> DataFrame:
-    """The columns of duplicate_groups, and more of docs."""
+def _groups(docs: DataFrame, digest: bool = False, survivors_hash: bool = False) -> DataFrame:
+    """The columns of duplicate_groups; with survivors_hash also text_hash, the hash of the text as it is, of rows whose length
+    and prefix another row shares."""
     norm = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, "")
     keyed = docs.select(
         F.col("doc_id"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_points"),
         norm.alias("norm"),
-        F.struct(F.lit(0).alias("none"), *more).alias("more"),
+        "text",
     ).select(
         "doc_id",
         "n_points",
         F.octet_length("norm").alias("n_norm"),
         F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix_hash"),
         "norm",
-        "more.*",
-    ).drop("none")
-    names = keyed.columns[5:]
+        "text",
+    )
+    more = [F.when(F.col("shared"), F.xxhash64("text")).alias("text_hash")] if survivors_hash else []
+    names = ["text_hash"] if survivors_hash else []
     light = written(keyed.select("n_norm", "prefix_hash"), "exact-keys")
     lengths = written(light.groupBy("n_norm").count().filter("count > 1").select("n_norm"), "exact-lengths")
     same_length = written(light.join(lengths, "n_norm", "left_semi"), "exact-same-length")
@@ -65,7 +67,7 @@ def _groups(docs: DataFrame, digest: bool = False, *more: Column) -> DataFrame:
             "n_points",
             F.coalesce("shared", F.lit(False)).alias("shared"),
             (whole if digest else F.when(F.col("shared"), whole)).alias("text_sha256"),
-            *names,
+            *more,
         ),
         "exact-tagged",
     )
@@ -95,7 +97,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     that share the verdict to stay one is taken by the least hash of its columns.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    found = written(_groups(docs, False, F.xxhash64("text").alias("text_hash")).filter("group_size > 1"), "exact-found")
+    found = written(_groups(docs, False, survivors_hash=True).filter("group_size > 1"), "exact-found")
     rows = found.groupBy("doc_id", "n_points", "text_hash", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     rows = written(rows, "exact-rows")
     several = rows.filter("kept").groupBy("text_sha256").agg(F.sum("n").alias("n")).filter("n > 1").select("text_sha256", F.lit(True).alias("several"))

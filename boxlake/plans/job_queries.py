@@ -109,7 +109,13 @@ def _streamed(spark: SparkSession, table: DataFrame, job: Callable[[DataFrame],
 def label_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the windows that the watermark has closed."""
     results = fixture(spark, sf_dir, "fx_task_results").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rounded(_streamed(spark, results, lambda s: jobs.label_counts_stream(s, "1 day").drop("images")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "project_id", "label", "instances"))
+    return rounded(_streamed(spark, results, lambda s: jobs.label_counts_stream(s, "1 day")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "project_id", "label", "instances", "images"))
+
+
+def label_counts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days that begin every day."""
+    results = fixture(spark, sf_dir, "fx_task_results").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rounded(_streamed(spark, results, lambda s: jobs.label_counts_stream(s, "2 days", "1 day")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "project_id", "label", "instances", "images"))
 
 
 def retrain_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,29 +123,45 @@ def retrain_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, results, lambda s: jobs.retrain_trigger(s, 50))
 
 
+def retrain_trigger_one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = fixture(spark, sf_dir, "fx_task_results").select(F.lit(1).alias("project_id"), "task_id")
+    return _streamed(spark, results, lambda s: jobs.retrain_trigger(s, 50))
+
+
 def hard_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard samples by micro-batches of whole images, each file once."""
+    """Hard samples of images whose detections are split over files and micro-batches."""
     from boxlake.sources.shared import written
 
-    dets, gts = fixture(spark, sf_dir, "fx_det"), written(fixture(spark, sf_dir, "fx_gt"))
+    taken = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id") % 86_400)
+    dets, gts = fixture(spark, sf_dir, "fx_det").withColumn("ts", taken), written(fixture(spark, sf_dir, "fx_gt"))
     base = written(spark.range(1)).inputFiles()[0].rpartition("/")[0]
     source, out, state = (f"{base}/{kind}-{uuid.uuid4().hex}" for kind in ("source", "out", "state"))
-    dets.write.parquet(source)
+    dets.repartition(6, "det_id").write.parquet(source)
+    # a row of a later day, in a file of its own, ends the wait for all others
+    last = dets.limit(1).withColumns({"image_id": F.lit(-1).cast("bigint"), "ts": F.timestamp_seconds(F.lit(1_900_000_000))})
+    last.select(*dets.columns).coalesce(1).write.mode("append").parquet(source)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.drop("all_scores").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    jobs.hard_samples_stream(spark.readStream.schema(dets.schema).parquet(source), gts, sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(out).drop("batch").dropDuplicates(["file_name"]))
+    stream = spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    jobs.hard_samples_stream(stream, gts, sink, "ts", "2 days").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(out).drop("batch"))
 
 
-QUERIES = R.queries | {"label_counts_stream": label_counts_stream, "retrain_trigger": retrain_trigger, "hard_samples_stream": hard_samples_stream}
+QUERIES = R.queries | {q.__name__: q for q in (label_counts_stream, label_counts_sliding, retrain_trigger, retrain_trigger_one_project, hard_samples_stream)}
 ORACLE = R.oracle | {
     "retrain_trigger": f"""{with_tables('fx_task_results')},
 n AS (SELECT project_id, count(DISTINCT task_id) // 50 AS n FROM fx_task_results GROUP BY project_id)
 SELECT project_id, CAST(t AS INT) AS trigger, CAST(50 * t AS BIGINT) AS n_tasks FROM (SELECT project_id, unnest(range(1, n + 1)) AS t FROM n)""",
+    "retrain_trigger_one_project": f"""{with_tables('fx_task_results')}
+SELECT CAST(1 AS INT) AS project_id, CAST(t AS INT) AS trigger, CAST(50 * t AS BIGINT) AS n_tasks FROM (SELECT unnest(range(1, count(DISTINCT task_id) // 50 + 1)) AS t FROM fx_task_results)""",
     "hard_samples_stream": evaluation_queries.ORACLE["hard_samples"],
     "label_counts_stream": f"""{with_tables('fx_task_results')}
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, project_id, label, count(*) AS instances FROM fx_task_results
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, project_id, label, count(*) AS instances, count(DISTINCT task_id) AS images FROM fx_task_results
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_task_results) GROUP BY ALL""",
+    "label_counts_sliding": f"""{with_tables('fx_task_results')},
+w AS (SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS day, f.* FROM fx_task_results f CROSS JOIN (SELECT unnest([0, 1]) AS k))
+SELECT strftime(day, '%Y-%m-%d') AS day, project_id, label, count(*) AS instances, count(DISTINCT task_id) AS images FROM w
+WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx_task_results) GROUP BY ALL""",
 }

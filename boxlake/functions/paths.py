@@ -70,5 +70,10 @@ def common_upload_dir(df: DataFrame, column: str = "path") -> DataFrame:
     return ends.select(F.when(F.col("a").isNull(), F.raise_error(F.lit("no images"))).otherwise(out).alias("common_dir"))
 
 
+def tagged_run(name: str, *columns: str) -> Column:
+    """The run's name of each row of parameters, as ``tagged_run_name`` has it."""
+    return F.concat_ws("#", F.lit(name), *(F.concat(F.lit(c), F.col(c).cast("string")) for c in columns))
+
+
 def tagged_run_name(name: str, **parameters: object) -> str:
     return "#".join([name, *(f"{k}{v}" for k, v in parameters.items())])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,30 @@ def require_uniform(lines: DataFrame) -> DataFrame:
     return lines.crossJoin(F.broadcast(n)).filter(ok).drop("__formats")
 
 
+def conversion_report(lines: DataFrame, ok: Column) -> DataFrame:
+    """label_format, lines, converted, skipped, uniform: of each format how many lines hold what a conversion asks for (ok), and
+    whether the set has one format only."""
+    good = F.coalesce(ok, F.lit(False))
+    counts = lines.groupBy("label_format").agg(F.count(F.lit(1)).alias("lines"), F.count_if(good).alias("converted"), F.count_if(~good).alias("skipped"))
+    formats = counts.agg(F.count(F.lit(1)).alias("formats"))
+    return counts.crossJoin(F.broadcast(formats)).select("label_format", "lines", "converted", "skipped", (F.col("formats") == 1).alias("uniform"))  # one row
+
+
+def converted(df: DataFrame, ok: Column, name: str = "conversion") -> tuple[DataFrame, Observation]:
+    """The rows that hold what a conversion asks for, and an observation of converted and skipped rows, which are counted in
+    the pass that computes them; ``get`` waits for that pass."""
+    seen, good = Observation(name), F.coalesce(ok, F.lit(False))
+    return df.observe(seen, F.count_if(good).alias("converted"), F.count_if(~good).alias("skipped")).filter(good), seen
+
+
+def label_line_ok(line: Column) -> Column:
+    """Whether a label line has 5 or 9 fields, all numbers, and all but the class from 0 to 1."""
+    fields = F.split(F.trim(line), r"\s+")
+    numbers = F.transform(fields, lambda x: x.try_cast("double"))
+    inside = F.forall(F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda x: x.isNotNull() & x.between(0, 1))
+    return F.size(fields).isin(5, 9) & numbers[0].isNotNull() & inside
+
+
 def projects_per_file(results: DataFrame, file: str = "file_path") -> DataFrame:
     """Files with results of more than one project."""
     return results.groupBy(file).agg(F.count_distinct("project_id").alias("n_projects")).filter("n_projects > 1")
@@ -58,8 +82,12 @@ def check_parameters(**p: float | bool) -> None:
     """Raises ValueError on parameters that contradict each other or are out of range."""
     if p.get("tile", 1) <= 0:
         raise ValueError("tile must be positive")
+    if not 0 <= p.get("overlap", 0) < 1:
+        raise ValueError("overlap must be from 0 to under 1")
     if p.get("ratio", 0) < 0:
         raise ValueError("ratio must not be negative")
+    if not 0 <= p.get("frac", 0) <= 1:
+        raise ValueError("frac must be from 0 to 1")
     if p.get("factor", 1) < 1:
         raise ValueError("factor must be 1 or more")
     if p.get("overwrite") and p.get("load_cached"):

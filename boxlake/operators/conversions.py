@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.operators.checks import check_parameters
 from boxlake.operators.ordered import with_place
 
 CORNERS = tuple(f"{a}{i}" for i in (1, 2, 3, 4) for a in "xy")
@@ -171,8 +172,7 @@ def expand_box(df: DataFrame, factor: float = 2.0, mode: str = "chained") -> Dat
     A box grows by (factor - 1) / 2 of its size at every edge; mode 'chained' moves the far edges after the near
     ones and takes the size from these, moved and clipped, to the old far edge.
     """
-    if factor < 1:
-        raise ValueError("factor must be 1 or more")
+    check_parameters(factor=factor)
     if mode not in ("chained", "symmetric"):
         raise ValueError(f"mode must be chained or symmetric, not {mode!r}")
     w, h = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")

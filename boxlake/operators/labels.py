@@ -13,6 +13,11 @@ def check_lists(keep: Sequence[str], discard: Sequence[str]) -> None:
         raise ValueError(f"labels both kept and discarded: {both}")
 
 
+def both_lists(keep: DataFrame, discard: DataFrame, column: str = "category_name") -> DataFrame:
+    """Labels that two lists, given as tables, both hold: what ``check_lists`` fails on, for lists that the driver needn't hold."""
+    return keep.select(column).intersect(discard.select(column))
+
+
 def filter_labels(df: DataFrame, keep: Sequence[str] = (), discard: Sequence[str] = (), column: str = "category_name") -> DataFrame:
     """Rows whose label isn't discarded and, if any are to be kept, is one of them; null labels go."""
     check_lists(keep, discard)

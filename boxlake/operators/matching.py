@@ -52,17 +52,17 @@ def _per_image(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return df.join(other.select("image_id").distinct(), "image_id", how)
 
 
-def match_predictions(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, fp_mode: str = "image", measure: str | Callable = "ciou", cell: int | None = None) -> DataFrame:
+def match_predictions(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, fp_mode: str = "image", measure: str | Callable = "ciou", cell: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """image_id, file_name, det_id, best_ciou, annotation_id, tp, fp for every detection.
 
     A detection is true if its best ground truth reaches the threshold; several may claim one, whatever
     their class. On images without ground truth each row counts all of the image's detections as false
-    (fp_mode='image') or itself alone ('row').
+    (fp_mode='image') or itself alone ('row'). near: pairs that the caller has already.
     """
     if fp_mode not in ("image", "row"):
         raise ValueError(f"fp_mode must be image or row, not {fp_mode!r}")
     dets = clip_boxes(dets)
-    best = pairs(dets, gts, measure, cell).groupBy(*IMAGE, "det_id").agg(F.max(F.struct("value", (-F.col("annotation_id")).alias("neg"))).alias("b"))
+    best = (pairs(dets, gts, measure, cell) if near is None else near).groupBy(*IMAGE, "det_id").agg(F.max(F.struct("value", (-F.col("annotation_id")).alias("neg"))).alias("b"))
     hit = F.col("b.value") >= threshold
     matched = best.select(*IMAGE, "det_id", F.col("b.value").alias("best_ciou"), F.when(hit, -F.col("b.neg")).alias("annotation_id"), hit.cast("long").alias("tp"), (~hit).cast("long").alias("fp"))
     lone = _per_image(dets.select(*IMAGE, "det_id"), gts, "left_anti")
@@ -74,13 +74,13 @@ def match_predictions(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, f
     return matched.unionByName(background)
 
 
-def missed_ground_truth(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, scope: str = "predicted", measure: str | Callable = "ciou", cell: int | None = None) -> DataFrame:
+def missed_ground_truth(dets: DataFrame, gts: DataFrame, threshold: float = 0.4, scope: str = "predicted", measure: str | Callable = "ciou", cell: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """image_id, file_name, annotation_id, fn = 1 of ground truth that no detection reaches. scope='predicted'
     looks only at images with detections, 'all' at every image."""
     if scope not in ("predicted", "all"):
         raise ValueError(f"scope must be predicted or all, not {scope!r}")
     dets = clip_boxes(dets)
-    found = pairs(dets, gts, measure, cell).groupBy("image_id", "annotation_id").agg(F.max("value").alias("value")).filter(F.col("value") >= threshold)
+    found = (pairs(dets, gts, measure, cell) if near is None else near).groupBy("image_id", "annotation_id").agg(F.max("value").alias("value")).filter(F.col("value") >= threshold)
     within = _per_image(gts, dets, "left_semi") if scope == "predicted" else gts
     return within.join(found, ["image_id", "annotation_id"], "left_anti").select(*IMAGE, "annotation_id", F.lit(1).cast("long").alias("fn"))
 

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from boxlake.sources.shared import written
 
 
+def reserved(df: DataFrame, *names: str) -> None:
+    """Fails before anything runs if df has columns that an operator uses for itself."""
+    if taken := sorted({c.lower() for c in df.columns} & set(names)):
+        raise ValueError(f"columns {taken} must be renamed first")
+
+
 def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with __range and __place: rows of a range come before those of the next, and have their places inside it.
     Rows that are equal in the order get places of their own. The table is written, so places are the same whenever
     they are read."""
+    reserved(df, "__range", "__place")
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     rows = written(placed)  # the upper bits of this id count partitions, the lower 33 their rows
     return rows.withColumn("__range", F.shiftright("__place", 33)).withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.operators import matching, metrics
+from boxlake.operators.ordered import with_place
 from boxlake.sources.shared import written
 
 KEYS = ("image_id", "file_name")
@@ -74,11 +75,23 @@ def image_table(dets: DataFrame, gts: DataFrame, method: str = "entropy", thresh
     return ratios.join(metrics.image_ap(dets, gts, near=near), list(KEYS), "left")
 
 
+def in_order(table: DataFrame, by: str = "uncertainty", ascending: bool = False, name: str = "place") -> DataFrame:
+    """table with its rows' places (from 0) by a column, then file_name; nulls come last. Rows are dealt out by ranges of the
+    order and come sorted within them, so writing it gives sorted files in the order of their names."""
+    column = F.col(f"`{by}`")
+    null_last = F.when(column.isNull(), F.lit(1)).otherwise(F.lit(0))
+    keyed = table.withColumns({"__null": null_last, "__key": column if ascending else -column})
+    placed = with_place(keyed, ["__null", "__key", "file_name"], name).drop("__null", "__key")
+    return placed.repartitionByRange(name).sortWithinPartitions(name)
+
+
 def match_rows(dets: DataFrame, gts: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """All match rows of an image with its metrics: detections as pred_ columns, misses as gt_ columns."""
-    found = matching.match_predictions(dets, gts, threshold).select(*KEYS, F.col("det_id").alias("pred_det_id"), F.col("best_ciou").alias("pred_best_ciou"), F.coalesce(F.to_json(F.struct("annotation_id")), F.lit("None")).alias("pred_matching_gt"), "tp", "fp")
-    lost = matching.missed_ground_truth(dets, gts, threshold).select(*KEYS, F.col("annotation_id").alias("gt_annotation_id"), "fn")
-    return found.unionByName(lost, allowMissingColumns=True).join(metrics.image_ap(dets, gts), list(KEYS), "left")
+    """All match rows of an image with its metrics: detections as pred_ columns, misses as gt_ columns. Boxes are paired once."""
+    near = written(matching.pairs(matching.clip_boxes(dets), gts, "iou", ciou="ciou"))
+    ciou = near.drop("value").withColumnRenamed("ciou", "value")
+    found = matching.match_predictions(dets, gts, threshold, near=ciou).select(*KEYS, F.col("det_id").alias("pred_det_id"), F.col("best_ciou").alias("pred_best_ciou"), F.when(F.col("annotation_id").isNotNull(), F.to_json(F.struct("annotation_id"))).otherwise("None").alias("pred_matching_gt"), "tp", "fp")
+    lost = matching.missed_ground_truth(dets, gts, threshold, near=ciou).select(*KEYS, F.col("annotation_id").alias("gt_annotation_id"), "fn")
+    return found.unionByName(lost, allowMissingColumns=True).join(metrics.image_ap(dets, gts, near=near), list(KEYS), "left")
 
 
 def hard_samples(table: DataFrame, parity: bool = False, **limits: float) -> DataFrame:

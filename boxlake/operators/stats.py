@@ -7,6 +7,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.operators.ordered import in_ranges, running
+from boxlake.sources.shared import written
+
 
 def _named(df: DataFrame, label_map: DataFrame) -> DataFrame:
     return df.join(label_map, "category_id", "left")
@@ -70,6 +73,32 @@ def metric_correlations(table: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 
+def describe(table: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), approximate: bool = False) -> DataFrame:
+    """column, count, mean, std (of a sample), min, q25, q50, q75 (a column for each quantile), max of numbers that aren't null. Quantiles
+    are exact, between the two nearest values in proportion: values are dealt out by ranges and counted, so no task holds a column.
+    approximate takes Spark's sketch, in the one pass of the other measures."""
+    if any(not 0 <= q <= 1 for q in quantiles):
+        raise ValueError("quantiles must be from 0 to 1")
+    names = [f"q{round(100 * q):02d}" for q in quantiles]
+    values = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns))).alias("v")).select("v.*").filter("value IS NOT NULL")
+    v = F.col("value")
+    measures = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if approximate:
+        sketch = F.percentile_approx(v, list(quantiles), 10_000)
+        out = values.groupBy("column").agg(*measures, sketch.alias("at")).select("*", *(F.col("at")[i].alias(n) for i, n in enumerate(names)))
+    else:
+        rows = in_ranges(values, "column", "value")
+        sums = written(rows.groupBy("column").agg(*measures))
+        # an order's places on both sides of each quantile
+        far = lambda q: (F.col("count") - 1) * F.lit(float(q))
+        ends = F.array(*(F.struct(F.lit(n).alias("q"), (F.floor(far(q)) + side).alias("place"), (far(q) - F.floor(far(q)) if side else 1 - far(q) + F.floor(far(q))).alias("share")) for n, q in zip(names, quantiles, strict=True) for side in (0, 1)))
+        wanted = sums.select("column", F.explode(ends).alias("e")).select("column", "e.*").filter("share > 0")
+        placed = running(rows.withColumn("one", F.lit(1).cast("long")), ["column"], {"upto": ("sum", "one")}).select("column", "value", (F.col("upto") - 1).alias("place"))
+        at = placed.join(wanted, ["column", "place"]).groupBy("column").agg(*(F.sum(F.when(F.col("q") == n, v * F.col("share"))).alias(n) for n in names))
+        out = sums.join(at, "column")
+    return out.select("column", "count", "mean", "std", "min", *names, "max")
+
+
 def mean_objective(table: DataFrame) -> DataFrame:
     """Means over images with ground truth, and the objective a search would lower."""
     scored = table.filter("map50 >= 0")

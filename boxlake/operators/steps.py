@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxlake.operators import matching, sampling, selection
+from boxlake.operators.checks import check_parameters
+from boxlake.sources import writers
+from boxlake.sources.shared import written
 
 PREDICTED = "image_id bigint, file_name string, x_min double, y_min double, x_max double, y_max double, score double, category_id int"
 
@@ -40,11 +45,59 @@ class Pipeline:
 
 def hard_negative_cycle(images: DataFrame, gts: DataFrame, score: Callable[[DataFrame], DataFrame], ratio: float = 20.0, **limits: float) -> DataFrame:
     """Samples many empties with the positives, scores those images, and gives the hard ones."""
+    check_parameters(ratio=ratio)
     sampled = sampling.sample_pos_neg(images, gts, ratio)
     table = selection.image_table(score(sampled), gts.join(sampled.select("image_id"), "image_id", "left_semi"))
     return selection.hard_samples(table, **limits)
 
 
+@dataclass(frozen=True)
+class CycleSettings:
+    """What a round of hard-negative learning takes from the training settings."""
+
+    ratio: float = 20.0
+    seed: int = sampling.SEED
+    fp_tp: float = 0.2
+    fn_tp: float = 0.2
+    max_map: float = 0.3
+    score: float = 0.7
+    max_uncertainty: float = 4.0
+    root: str = ""
+
+
+def hard_negative_round(images: DataFrame, gts: DataFrame, manifest: DataFrame, score: Callable[[DataFrame], DataFrame], settings: CycleSettings = CycleSettings()) -> dict[str, DataFrame]:
+    """A round to its end, in steps that each write what they give: sampled (images with many empties), detections (what
+    score finds in them), hard (the samples chosen), paths (their list) and manifest (whose train split is that list)."""
+    limits = {k: getattr(settings, k) for k in ("fp_tp", "fn_tp", "max_map", "score", "max_uncertainty")}
+
+    def sample(c: dict) -> dict:
+        return {"sampled": written(sampling.sample_pos_neg(images, gts, settings.ratio, settings.seed))}
+
+    def detect(c: dict) -> dict:
+        return {"detections": written(score(c["sampled"]))}
+
+    def choose(c: dict) -> dict:
+        truth = gts.join(c["sampled"].select("image_id"), "image_id", "left_semi")
+        return {"hard": written(selection.hard_samples(selection.image_table(c["detections"], truth), **limits))}
+
+    def subset(c: dict) -> dict:
+        root = settings.root.rstrip("/")
+        hard = c["hard"].withColumn("file_name", F.concat(F.lit(f"{root}/"), "file_name")) if root else c["hard"]
+        return dict(zip(("paths", "manifest"), selection.training_subset(hard, manifest), strict=True))
+
+    return Pipeline([sample, detect, choose, subset]).run()
+
+
+def write_hard_negative_round(found: dict[str, DataFrame], folder: str, root: str, names: dict[int, str]) -> None:
+    """The round's path list under folder/images, and folder/manifest whose train split names it; the other splits are those of
+    the manifest, which are a few folders."""
+    writers.write_path_list(found["paths"], f"{folder}/images", "path")
+    dirs: dict[str, list[str]] = {"train": [f"{folder}/images"]}
+    for r in found["manifest"].filter("split <> 'train'").orderBy("split", "dir").collect():
+        dirs.setdefault(r.split, []).append(r.dir)
+    writers.write_manifest(found["paths"].sparkSession, f"{folder}/manifest", root, dirs, names)
+
+
 def performance_report(dets: DataFrame, gts: DataFrame) -> DataFrame:
     """The evaluation table without arrays, ready for a CSV sink."""
     return selection.image_table(dets, gts).drop("all_scores")
@@ -58,20 +111,13 @@ def classification_report(dets: DataFrame, gts: DataFrame, n_classes: int, thres
 
 
 def register_tile_function(spark: SparkSession, name: str = "tiles") -> None:
-    """A SQL table function (width, height, tile, overlap) of tile corners, for convenience; ``tile_grid`` is the
-    built-in form."""
-    from pyspark.sql.functions import udtf
-
-    from boxlake.operators.tiling import check_tiles
-
-    class Tiles:
-        def eval(self, width: int, height: int, tile: int, overlap: float):
-            step = check_tiles(tile, overlap)
-            axis = lambda side: [max(min(k * step, side - tile), 0) for k in range(max(-(-(side - tile) // step), 0) + 1)]
-            for x0 in axis(width):
-                for y0 in axis(height):
-                    yield x0, y0, min(x0 + tile, width), min(y0 + tile, height)
-
-    spark.udtf.register(name, udtf(Tiles, returnType="x0: int, y0: int, x1: int, y1: int"))
-
-
+    """A SQL table function (width, height, tile, overlap) of tile corners x0, y0, x1, y1, as ``tile_grid`` has them. It is SQL
+    itself, so queries that use it are planned as one."""
+    step = "(tile - CAST(tile * overlap AS INT))"
+    start = lambda k, side: f"greatest(least({k} * {step}, {side} - tile), 0)"
+    last = lambda side: f"greatest(CAST(ceil(({side} - tile) / {step}) AS INT), 0)"
+    spark.sql(f"""
+CREATE OR REPLACE TEMPORARY FUNCTION {name}(width INT, height INT, tile INT, overlap DOUBLE) RETURNS TABLE (x0 INT, y0 INT, x1 INT, y1 INT)
+RETURN SELECT x0, y0, least(x0 + tile, width), least(y0 + tile, height) FROM inline(flatten(
+  transform(sequence(0, {last('width')}), ix -> transform(sequence(0, {last('height')}), iy ->
+    named_struct('x0', {start('ix', 'width')}, 'y0', {start('iy', 'height')}))))) AS t(x0, y0)""")

@@ -116,17 +116,21 @@ def merge_tile_detections(dets: DataFrame, method: str = "nms", threshold: float
     raise ValueError(f"method must be nms, nmm or concat, not {method!r}")
 
 
-def lsnms(dets: DataFrame, threshold: float = 0.5, cell: int = 256) -> DataFrame:
-    """nms for images with very many boxes. Boxes of one connected patch of cells are folded together; patches
-    share no cell, so no overlap crosses them and the result is that of nms."""
+def _patched(dets: DataFrame, cell: int) -> DataFrame:
+    """dets with patch: the smallest det_id of the boxes that cells they touch connect it with."""
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     node = F.struct("image_id", "det_id")
     cells = dets.select("image_id", node.alias("b"), F.explode(span("x_min", "x_max")).alias("cx"), "y_min", "y_max").select("image_id", "b", "cx", F.explode(span("y_min", "y_max")).alias("cy"))
     first = cells.groupBy("image_id", "cx", "cy").agg(F.min("b").alias("a"))
     patches = components(cells.join(first, ["image_id", "cx", "cy"]).select("a", "b"))
     label = patches.select("node.*", F.col("root.det_id").alias("patch"))
-    labelled = dets.join(label, ["image_id", "det_id"], "left").withColumn("patch", F.coalesce("patch", "det_id"))
-    kept = _kept_ids(["image_id", "patch"], labelled, -F.col("score"), threshold, boxes.iou)
+    return dets.join(label, ["image_id", "det_id"], "left").withColumn("patch", F.coalesce("patch", "det_id"))
+
+
+def lsnms(dets: DataFrame, threshold: float = 0.5, cell: int = 256) -> DataFrame:
+    """nms for images with very many boxes. Boxes of one connected patch of cells are folded together; patches
+    share no cell, so no overlap crosses them and the result is that of nms."""
+    kept = _kept_ids(["image_id", "patch"], _patched(dets, cell), -F.col("score"), threshold, boxes.iou)
     return dets.join(kept, ["image_id", "det_id"], "left_semi")
 
 
@@ -137,11 +141,33 @@ def rotated_iou(a: Column, b: Column) -> Column:
     return boxes.bound(areas, lambda s: F.coalesce(F.try_divide(s["shared"], s["both"] - s["shared"]), F.lit(0.0)))
 
 
-def rotated_nms(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """nms of boxes cx, cy, w, h, angle (radians), per image."""
-    corners = boxes.rotated_corners(*(F.col(c).cast("double") for c in ("cx", "cy", "w", "h", "angle")))
-    item = F.struct((-F.col("score")).alias("neg"), "det_id", corners.alias("corners"))
-    grouped = dets.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+def _cornered(df: DataFrame) -> DataFrame:
+    return df.withColumn("corners", boxes.rotated_corners(*(F.col(c).cast("double") for c in ("cx", "cy", "w", "h", "angle"))))
+
+
+def _hulls(df: DataFrame) -> DataFrame:
+    """The upright box around corners, as x_min, y_min, x_max, y_max."""
+    side = lambda end, axis: end(F.transform("corners", lambda p: p[axis]))
+    return df.withColumns({"x_min": side(F.array_min, "x"), "y_min": side(F.array_min, "y"), "x_max": side(F.array_max, "x"), "y_max": side(F.array_max, "y")})
+
+
+def rotated_pairs(dets: DataFrame, gts: DataFrame) -> DataFrame:
+    """image_id, det_id, annotation_id, value: IoU of rotated boxes (cx, cy, w, h, angle) of one image whose hulls overlap. Areas are
+    clipped only for those."""
+    d = _hulls(_cornered(dets)).select("image_id", "det_id", F.col("corners").alias("d"), *(F.col(c).alias(f"d_{c}") for c in BOX))
+    g = _hulls(_cornered(gts)).select("image_id", "annotation_id", F.col("corners").alias("g"), *(F.col(c).alias(f"g_{c}") for c in BOX))
+    near = d.join(g, "image_id").filter("d_x_min < g_x_max AND g_x_min < d_x_max AND d_y_min < g_y_max AND g_y_min < d_y_max")
+    return near.select("image_id", "det_id", "annotation_id", rotated_iou(F.col("d"), F.col("g")).alias("value"))
+
+
+def rotated_nms(dets: DataFrame, threshold: float = 0.5, cell: int | None = None) -> DataFrame:
+    """nms of boxes cx, cy, w, h, angle (radians), per image. With cell, an image's boxes are folded by connected patches of cells
+    that their hulls touch, as in ``lsnms``, with the same result."""
+    keys = ["image_id", "patch"] if cell else ["image_id"]
+    turned = _cornered(dets.select("image_id", "det_id", "score", "cx", "cy", "w", "h", "angle"))
+    turned = _patched(_hulls(turned), cell) if cell else turned
+    item = F.struct((-F.col("score")).alias("neg"), "det_id", "corners")
+    grouped = turned.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
     step = lambda kept, b: F.when(F.exists(kept, lambda k: rotated_iou(k["corners"], b["corners"]) > threshold), kept).otherwise(F.array_append(kept, b))
     kept = grouped.select("image_id", F.explode(F.aggregate("items", F.filter("items", lambda b: F.lit(False)), step)).alias("b")).select("image_id", "b.det_id")
     return dets.join(kept, ["image_id", "det_id"], "left_semi")

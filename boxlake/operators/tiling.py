@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.operators import sampling
+from boxlake.operators.checks import check_parameters
 from boxlake.operators.conversions import expand_box
+from boxlake.sources.shared import written
 
 TILE_KEYS = ("image_id", "ix", "iy")
 
 
 def check_tiles(tile: int, overlap: float) -> int:
-    if tile <= 0 or not 0 <= overlap < 1:
-        raise ValueError("a tile's side must be positive and the overlap in 0 to 1")
+    check_parameters(tile=tile, overlap=overlap)
     return tile - int(tile * overlap)
 
 
@@ -75,13 +76,11 @@ def distinct_tiles(tiles: DataFrame) -> DataFrame:
 def sample_tiles(tiles: DataFrame, empty_ratio: float = 1.0, save_all: bool = False, only_empty: bool = False, seed: int = 41) -> DataFrame:
     """Tiles with boxes and min(floor(tiles with boxes * ratio), empty tiles) of the empty ones; save_all keeps
     all empties, only_empty gives the sampled empties alone."""
-    if save_all and only_empty:
-        raise ValueError("save_all and only_empty exclude each other")
-    if empty_ratio < 0:
-        raise ValueError("empty_ratio must not be negative")
-    full, bare = tiles.filter("annotation_id IS NOT NULL"), tiles.filter("annotation_id IS NULL")
+    check_parameters(save_all=save_all, only_empty=only_empty, ratio=empty_ratio)
     if save_all:
         return tiles
+    tiles = written(tiles)  # counted, sampled and given out: the boxes are put into tiles once
+    full, bare = tiles.filter("annotation_id IS NOT NULL"), tiles.filter("annotation_id IS NULL")
     counts = full.select(*TILE_KEYS).distinct().agg(F.floor(F.count(F.lit(1)) * empty_ratio).alias("n"))
     key = F.concat_ws("_", "file_name", "x0", "y0")
     picked = sampling.lowest_hashes(bare.withColumn("__key", key), counts, "__key", seed).drop("__key")

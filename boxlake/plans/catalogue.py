@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.plans import box_queries, evaluation_queries, job_queries, source_queries
+from boxlake.plans import box_queries, evaluation_queries, job_queries, rotated_queries, source_queries, table_queries
 
-_PARTS = (evaluation_queries, box_queries, job_queries, source_queries)
+_PARTS = (evaluation_queries, box_queries, job_queries, source_queries, rotated_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,8 +63,36 @@ def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> D
     return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations, categories."""
+#: What items of a COCO document may hold, and keys that only items have.
+_ITEM = (
+    "id bigint, width int, height int, file_name string, name string, url string, image_id bigint, category_id int, "
+    "bbox array<double>, segmentation array<array<double>>, area double, iscrowd int"
+)
+_ITEM_KEY = r'"(id|file_name|image_id|category_id|bbox)"\s*:'
+
+
+def read_coco_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations, categories of COCO documents of any size and layout: a file is cut at its opening braces, so tasks
+    read ranges of one. An item's kind shows in its keys: images have file_name, annotations bbox or image_id, categories a
+    name (and no url, which licences have). Items that hold braces themselves (masks as counts, braces in names) can't be cut so: they
+    fail the read when it is computed, and ``read_coco`` with whole=True reads such documents."""
+    found, has_key = spark.read.option("lineSep", "{").text(path), F.col("value").rlike(_ITEM_KEY)
+    json = F.concat(F.lit("{"), F.substring_index("value", "}", 1), F.lit("}"))
+    item = F.from_json(json, _ITEM, {"mode": "PERMISSIVE"})
+    known = F.coalesce(item["file_name"], item["name"], item["image_id"].cast("string")).isNotNull()
+    whole = F.col("value").contains("}") & item["id"].isNotNull() & known
+    wrong = F.raise_error(F.concat(F.lit("not a plain COCO item, read the document as a whole: "), F.substring("value", 1, 100))).cast("struct<" + _ITEM.replace(" ", ":").replace(",:", ",") + ">")
+    items = found.select(F.when(whole & has_key, item).when(has_key, wrong).alias("r")).select("r.*")  # what has no key is between items
+    images = items.filter("file_name is not null").select("id", "width", "height", "file_name")
+    annotations = items.filter("file_name is null and (image_id is not null or bbox is not null)").select("id", "image_id", "category_id", "bbox", "segmentation", "area", "iscrowd")
+    categories = items.filter("file_name is null and image_id is null and bbox is null and name is not null and url is null").select(F.col("id").cast("int").alias("id"), "name")
+    return images, annotations, categories
+
+
+def read_coco(spark: SparkSession, path: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations, categories; whole: each document by one task, with all that JSON allows."""
+    if not whole:
+        return read_coco_split(spark, path)
     doc = _json(spark, path, COCO)
     return tuple(doc.select(F.explode(c).alias("r")).select("r.*") for c in ("images", "annotations", "categories"))
 

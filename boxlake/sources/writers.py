@@ -3,15 +3,26 @@ text for other tools is a file per image, COCO comes in shards unless one docume
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlake.functions.paths import image_key
 from boxlake.operators.conversions import CORNERS
+from boxlake.operators.ordered import with_place
+
+#: Bytes that are copied at once.
+COPIED = 8 << 20
+
+
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def _label_lines(df: DataFrame, path: str, fields: list[Column], file: str, mode: str) -> None:
@@ -21,9 +32,7 @@ def _label_lines(df: DataFrame, path: str, fields: list[Column], file: str, mode
         raise ValueError(f"mode must be errorifexists or overwrite, not {mode!r}")
     rows = df.select(image_key(F.col(file)).alias("image_key"), F.concat_ws(" ", *(f.cast("string") for f in fields)).alias("value"))
     files = rows.groupBy("image_key").agg(F.array_join(F.sort_array(F.collect_set("value")), "\n").alias("lines"))
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store, folder = _store(df.sparkSession, path)
     if store.exists(folder):
         if mode == "errorifexists":
             raise FileExistsError(path)
@@ -68,8 +77,44 @@ def coco_shards(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return joined.select(F.to_json(F.struct(F.struct("id", "width", "height", "file_name").alias("image"), F.coalesce("annotations", F.array().cast(grouped.schema["annotations"].dataType)).alias("annotations"))).alias("value"))
 
 
+def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """section, place, value: the lines of one COCO document, an item to a line. In the order of section and place they are the
+    document, so ranges of them can be written side by side. Items go by id; no task holds a list of them."""
+    sections = [(images, ["id", "width", "height", "file_name"]), (annotations, ["id", "image_id", "category_id", "bbox", "segmentation", "area", "iscrowd"]), (categories, ["id", "name"])]
+    marks = ['{"info":{"description":""},"licenses":[],"images":[', '],"annotations":[', '],"categories":[', "]}"]
+    out = images.sparkSession.createDataFrame([(2 * k, 0, x) for k, x in enumerate(marks)], "section int, place bigint, value string")
+    for k, (df, fields) in enumerate(sections):
+        items = with_place(df.select("id", F.to_json(F.struct(*fields)).alias("value")), ["id"], "place")
+        out = out.unionByName(items.select(F.lit(2 * k + 1).alias("section"), "place", F.concat(F.when(F.col("place") > 0, F.lit(",")).otherwise(F.lit("")), "value").alias("value")))
+    return out
+
+
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder, one after another by name, as one file. One task copies bytes; it holds a block of them."""
+    store, where = _store(spark, folder)
+    names = sorted(f.getPath().toString() for f in store.listStatus(where) if f.getPath().getName().startswith("part-"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as stores
+
+        url = lambda x: x if ":/" in x else f"file://{x}"
+        for batch in batches:
+            to, target = stores.FileSystem.from_uri(url(batch.column(0)[0].as_py()))
+            part = f"{target}.{uuid.uuid4().hex}"
+            with to.open_output_stream(part) as out:
+                for name in batch.column(1)[0].as_py():
+                    source, at = stores.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", url(name)))
+                    with source.open_input_stream(at) as block:
+                        while piece := block.read(COPIED):
+                            out.write(piece)
+            to.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    spark.createDataFrame([(path, names)], "path string, names array<string>").mapInArrow(run, "n bigint").collect()
+
+
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row, value: the whole set as one COCO document. For sets that a single file may hold; shards otherwise."""
+    """One row, value: the whole set as one COCO document, for sets of a few images; ``write_coco`` writes larger ones."""
     item = lambda df, cols: df.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("x"))
     i = item(images, ["id", "width", "height", "file_name"]).withColumnRenamed("x", "images")
     a = item(annotations, ["id", "image_id", "category_id", "bbox", "segmentation", "area", "iscrowd"]).withColumnRenamed("x", "annotations")
@@ -79,8 +124,14 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
+    """single: one document, path/coco.json, whose ranges are written side by side and joined at the store."""
     if single:
-        coco_document(images, annotations, categories).coalesce(1).write.mode(mode).text(path)
+        spark = images.sparkSession
+        lines = coco_lines(images, annotations, categories).repartitionByRange("section", "place").sortWithinPartitions("section", "place")
+        lines.select("value").write.mode(mode).text(f"{path}/_parts")
+        join_files(spark, f"{path}/_parts", f"{path}/coco.json")
+        store, parts = _store(spark, f"{path}/_parts")
+        store.delete(parts, True)
     else:
         coco_shards(images, annotations).write.mode(mode).text(f"{path}/shards")
         categories.write.mode(mode).json(f"{path}/categories")

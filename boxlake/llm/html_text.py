@@ -13,7 +13,13 @@ one. Without an article or main, what stands beside the path from the body to th
 it is a heading or as dense as the path's thinnest node. Short blocks are less dense than any node that
 holds many; beside the main text itself the bar is therefore its own thinnest block, and paragraphs,
 quotes, lists, tables and (inside an element of the body) blocks without blocks in them stay unless most
-of them is links.
+of them is links. So do elements of the same tag and class beside it: a page's posts, whether they are articles or not.
+
+The density follows the published composite one (characters by tag, times a logarithm of characters by linked character and tags
+by linked tag, to a base that grows with the page's share of links) but for three things: one is added inside the logarithm
+and what it is taken of is 1 at least, so that no density is negative; the base's logarithm is 1 at least, where the published one
+is undefined on pages without links; and a node without links takes its base from the page's linked characters alone, which
+would otherwise not count for it. Readers' comments are never the text of a page where anything else has any.
 
 Character references are decoded, white space ``[\\x20\\x09-\\x0D]`` inside a block becomes one space,
 blocks are trimmed and joined in page order by one space.
@@ -73,10 +79,11 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "dropped", "named", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "dropped", "named", "kind", "place", "size", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: frozenset[str] = frozenset()):
-        self.tag, self.parent, self.dropped, self.named, self.kids = tag, parent, dropped, named, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: frozenset[str] = frozenset(), kind: str = ""):
+        self.tag, self.parent, self.dropped, self.named, self.kind, self.kids = tag, parent, dropped, named, kind, []
+        self.place, self.size = 0, 1
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -112,6 +119,11 @@ def _named(tag: str, attrs: str, inside_article: bool) -> frozenset[str]:
     return frozenset(found)
 
 
+def _class(attrs: str) -> str:
+    """The element's classes as they are written, in lower case."""
+    return next((" ".join(unescape(value.strip("\"'")).lower().split()) for name, value in _ATTR.findall(attrs) if name.lower() == "class"), "") if attrs else ""
+
+
 def parse(html: str) -> Node:
     """The page's tree; kids are nodes and strings (text, references decoded)."""
     root = Node("html", None)
@@ -151,7 +163,7 @@ def parse(html: str) -> Node:
         parent = open_nodes[-1]
         if tag == "html":
             continue
-        new = Node(tag, parent, _is_dropped(tag, m["attrs"], articles > 0), _named(tag, m["attrs"], articles > 0))
+        new = Node(tag, parent, _is_dropped(tag, m["attrs"], articles > 0), _named(tag, m["attrs"], articles > 0), _class(m["attrs"]))
         parent.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
@@ -186,14 +198,16 @@ def _drop_named(root: Node) -> None:
         if node.tag in ("article", "main"):
             around = max(around, plain[node])
             if not named:
-                own = plain[node] - sum(plain[x] for x in _first_named(node))
+                own = plain[node] - sum(plain[x] for x in _first_of(node, lambda n: bool(n.named)))
                 free = max(free, own)
         above[node] = named, around
+    readers = _first_of(root, lambda n: bool(n.named & READER_WORDS))
+    others = plain[root] - sum(plain[n] for n in readers)
     for node in nodes:
         if node.named:
             around = above[node][1]
-            if node.named <= READER_WORDS and free:
-                holds = False
+            if node.named & READER_WORDS and others:
+                holds = False  # readers' words are never the text where anything else has any
             elif around:  # a part of the article
                 holds = articles[node] > free or 2 * plain[node] > plain[root]
             elif articles[node]:
@@ -203,14 +217,14 @@ def _drop_named(root: Node) -> None:
             node.dropped = not holds
 
 
-def _first_named(top: Node) -> list[Node]:
-    """The uppermost named elements below a node."""
+def _first_of(top: Node, wanted: Callable[[Node], bool]) -> list[Node]:
+    """The uppermost elements below a node that are wanted."""
     out, todo = [], [top]
     while todo:
         node = todo.pop()
         for k in node.kids:
             if not isinstance(k, str) and not k.dropped:
-                (out if k.named else todo).append(k)
+                (out if wanted(k) else todo).append(k)
     return out
 
 
@@ -234,9 +248,13 @@ def _density(root: Node, chars: int, links: int, tags: int, link_tags: int) -> f
 
 
 def measure(root: Node) -> list[Node]:
-    """Composite densities of all nodes and the sums of their children's."""
+    """Composite densities of all nodes and the sums of their children's; nodes get their places in page order and how many
+    nodes their subtrees have, so that one below another is known by its place."""
     nodes = _ordered(root)
+    for place, node in enumerate(nodes):
+        node.place = place
     for node in reversed(nodes):
+        node.size = 1 + sum(k.size for k in node.kids if not isinstance(k, str) and not k.dropped)
         for kid in node.kids:
             if isinstance(kid, str):
                 n = len(_SPACE.sub("", kid))
@@ -265,7 +283,10 @@ def main_node(root: Node) -> tuple[Node, float]:
     best = max(nodes, key=lambda n: n.total)
     marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     inside = [n for n in marked if _below(n, best)]
-    outer = [n for n in inside if not any(n is not m and _below(n, m) for m in inside)]
+    outer: list[Node] = []
+    for n in inside:  # in page order
+        if not outer or not _below(n, outer[-1]):
+            outer.append(n)
     if inside and best.tag not in ("article", "main") and 2 * sum(n.chars for n in outer) >= best.chars and not any(_below(best, n) for n in marked):
         best = max(outer, key=lambda n: n.chars - n.links)
     for n in marked:  # part of an article: the article
@@ -280,11 +301,7 @@ def main_node(root: Node) -> tuple[Node, float]:
 
 
 def _below(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+    return top.place <= node.place < top.place + top.size
 
 
 def _with_path(root: Node, best: Node, threshold: float) -> list:
@@ -317,7 +334,8 @@ def _with_path(root: Node, best: Node, threshold: float) -> list:
             elif not k.dropped and k.chars:
                 leaf = node.parent.tag not in ("html", "body") and not any(not isinstance(x, str) and x.tag in BLOCKS for x in k.kids)
                 bar = least if near or k.tag in TEXTS else threshold
-                if k.tag in HEADINGS or (near and _only_headings(k)) or k.density >= bar > 0 or (near and (k.tag in TEXTS or leaf) and 2 * k.links < k.chars):
+                post = k.kind != "" and near and _alike(k, node)
+                if post or k.tag in HEADINGS or (near and _only_headings(k)) or k.density >= bar > 0 or (near and (k.tag in TEXTS or leaf) and 2 * k.links < k.chars):
                     parts[side].append(k)
         close()
         before.append(parts[0])
@@ -327,6 +345,11 @@ def _with_path(root: Node, best: Node, threshold: float) -> list:
     return [x for part in reversed(before) for x in part] + [None, best, None] + [x for part in after for x in part]
 
 
+def _alike(node: Node, other: Node) -> bool:
+    """Both stand in one element, with the same tag and class, and most of the node isn't links: posts of one page."""
+    return node.parent is other.parent and (node.tag, node.kind) == (other.tag, other.kind) and 2 * node.links < node.chars
+
+
 def _only_headings(node: Node) -> bool:
     """All text of the node stands in headings."""
     todo: list = [node]
@@ -341,12 +364,12 @@ def _only_headings(node: Node) -> bool:
 
 
 def _articles(root: Node, best: Node, threshold: float) -> list:
-    """The best article, and the page's others beside it that are as dense as its path's thinnest node."""
+    """The best article, and the page's others that stand beside it with its class or are as dense as its path's thinnest node."""
     out: list = []
     todo: list[Node] = [root]
     while todo:
         node = todo.pop()
-        if node is best or (node.tag == best.tag and 2 * node.links < node.chars and node.density >= threshold and not _below(best, node)):
+        if node is best or _alike(node, best) or (node.tag == best.tag and 2 * node.links < node.chars and node.density >= threshold and not _below(best, node)):
             out += [None, node, None]
         elif node.tag != best.tag:
             todo.extend(k for k in reversed(node.kids) if not isinstance(k, str) and not k.dropped)

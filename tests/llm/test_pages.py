@@ -1,5 +1,6 @@
 """Main text of pages and WARC archives."""
 
+import time
 import base64
 import hashlib
 
@@ -186,3 +187,30 @@ def test_archive_of_many_records_has_a_trained_dictionary():
     assert list(warc.records_in(content)) == records
     assert len(content) - int.from_bytes(content[4:8], "little") < sum(map(len, records)) / 3
     assert list(warc.records_in(warc.archive(records[:1]))) == records[:1]
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div id='content'>{}</div>"])
+@pytest.mark.parametrize("title", ["", "<h2>Title</h2>", "<h3><a href='q'>Linked title</a></h3>"])
+@pytest.mark.parametrize("sizes", [(1, 2, 1), (1, 5, 1), (2, 1, 3)])
+def test_posts_beside_each_other_all_stay(sizes, title, wrap):
+    """However long each is, and whether they are articles or not."""
+    posts = "".join(f"<div class='post'>{title}" + f"<p>{'post' + str(i)} has words that go on and on for a while.</p>" * n + "</div>" for i, n in enumerate(sizes))
+    for body in (posts, posts.replace("<div class='post'>", "<article>").replace("</div>", "</article>")):
+        page = "<html><body><div class='menu'><a href='x'>Home</a></div>" + wrap.format(body) + "<div class='footer'>Copyright <a href='z'>us</a></div></body></html>"
+        text = html_text.extract(page)
+        assert [text.count(f"post{i}") for i in range(3)] == list(sizes) and "Home" not in text and "Copyright" not in text
+
+
+@pytest.mark.parametrize("name", ["id='comments'", "class='comment-list'", "class='comments widget'", "id='disqus'"])
+def test_comments_never_hold_the_page(name):
+    """Not even where they are most of its text and no element is an article."""
+    story, remarks = "<p>" + "story text " * 20 + "</p>", "<div><p>" + "remark made " * 30 + "</p></div>"
+    text = html_text.extract(f"<html><body><h1>Head</h1><div class='story'>{story * 2}</div><div {name}>{remarks * 6}</div></body></html>")
+    assert text.count("story text") == 40 and "remark" not in text
+    assert "remark" in html_text.extract(f"<html><body><div {name}>{remarks}</div></body></html>")  # nothing else has text
+
+
+def test_thousands_of_articles():
+    began = time.time()
+    text = html_text.extract("<html><body>" + "<article><p>one of many</p></article>" * 8000 + "</body></html>")
+    assert text.count("one of many") == 8000 and time.time() - began < 10

@@ -112,6 +112,10 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+#: The list of a folder's archives; names that begin so aren't read as archives.
+LISTED = "_manifest"
+
+
 def _writer(folder: str, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def put(fs, base: str, records: list[bytes], place: int) -> tuple[str, int, int]:
         content, task = archive(records), TaskContext.get()
@@ -156,14 +160,21 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
-    """Writes the archives under folder, which all executors share; gives a row per file: path, n_records, n_bytes."""
+    """Writes the archives under folder, which all executors share; gives a row per file: path, n_records, n_bytes. The list is
+    also put into the folder when all are written, so what attempts that failed or earlier writes have left isn't read."""
     typed = with_record_types(pages, min_bytes)
-    return written(typed.mapInArrow(_writer(folder, date), "path string, n_records bigint, n_bytes bigint"), "warc-manifest")
+    manifest = written(typed.mapInArrow(_writer(folder, date), "path string, n_records bigint, n_bytes bigint"), "warc-manifest")
+    manifest.write.mode("overwrite").parquet(f"{folder}/{LISTED}")
+    return manifest
 
 
 def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """A row per record of the archives in folder (of the manifest's, if one is given); the payload of a response
-    is checked against its digest."""
+    """A row per record of the archives in folder (of the manifest's, if one is given, else of those that the folder's own list
+    has, if there is one); the payload of a response is checked against its digest."""
+    if manifest is None:
+        listed = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{LISTED}")
+        if listed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(listed):
+            manifest = spark.read.parquet(f"{folder}/{LISTED}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

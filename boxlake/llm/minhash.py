@@ -6,13 +6,15 @@ shingles. Documents with equal sets are one class; from there on only classes ar
 
 1. Band buckets propose; a bucket is never expanded into its pairs. A shingle that one candidate alone
    holds can be shared with nobody, so a class with more than 1 - threshold of such shingles drops out.
-2. In each bucket every class is tested against the most central one (fewest such shingles), and the
-   links' components are found.
+2. In each bucket every class is paired with the most central one (fewest such shingles). A pair's signatures, a bit of
+   each of the 128 minima, are compared first: clear misses are rejected there, all others are tested on their full
+   sets, and the links' components are found.
 3. Pairs of a centre's family that lie in different components are looked for by what they must share
-   outside the centre (see ``_across``), so only pairs that share rare shingles are made and tested.
+   outside the centre (see ``_across``), so only pairs that share rare shingles are made, verified by signature and tested.
    Links within a component change nothing: no component is missed.
 
-With 32 bands of 4 minima a pair at the threshold 0.8 shares no bucket with probability 5e-8.
+With 32 bands of 4 minima a pair at the threshold 0.8 shares no bucket with probability 5e-8. Its signatures agree in 9 bits of 10 on
+average; a pair is rejected where fewer agree than a true one has with a probability of ``MISSED`` at most.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; very long texts are shingled whole; rows that
@@ -24,6 +26,7 @@ columns, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from boxlake.llm.common import as_row, drop_written, read_table, row_key, writte
 from boxlake.llm.hashing import mix, shingle_sets, slices_of
 
 BANDS, ROWS = 32, 4
+#: Probability with which a pair at the threshold may be rejected by its signatures.
+MISSED = 1e-9
 SLICE_BYTES = 1 << 18
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 
@@ -48,6 +53,22 @@ def minima(values: np.ndarray, multipliers: np.ndarray, addends: np.ndarray) ->
     return out
 
 
+def signature(least: np.ndarray) -> list[int]:
+    """A bit of each minimum, 64 to a number; where two sets have the same minimum their bits agree, else in half of all cases."""
+    bits = np.packbits((mix(least) & np.uint64(1)).astype(np.uint8))
+    return np.frombuffer(np.pad(bits, (0, -len(bits) % 8)).tobytes(), np.int64).tolist()
+
+
+def least_agreement(threshold: float, minima: int, missed: float = MISSED) -> int:
+    """The most bits such that a pair of this similarity agrees in fewer with a probability of missed at most (a binomial sum)."""
+    p, total = (1 + threshold) / 2, 0.0
+    for k in range(minima + 1):
+        total += math.comb(minima, k) * p**k * (1 - p) ** (minima - k)
+        if total > missed:
+            return k
+    return minima
+
+
 def _set_key(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
@@ -62,9 +83,11 @@ def _signatures(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.Reco
             for part in slices_of(batch, 1, SLICE_BYTES):
                 sets = shingle_sets([(x or "").encode() for x in part.column(1).to_pylist()], words)
                 keys = [_set_key(s) for s in sets]
-                values = [mix((minima(s, mul, add).reshape(bands, rows) * weights).sum(axis=1) + which).view(np.int64) if len(s) else None for s in sets]
-                arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands"])
+                least = [minima(s, mul, add) if len(s) else None for s in sets]
+                values = [None if m is None else mix((m.reshape(bands, rows) * weights).sum(axis=1) + which).view(np.int64) for m in least]
+                signs = [None if m is None else signature(m) for m in least]
+                arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands", "sign"])
 
     return run
 
@@ -88,13 +111,20 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
 
 
+def _verified(pairs: DataFrame, signs: DataFrame, least: int, minima: int) -> DataFrame:
+    """a, b, an, bn, close of pairs: their sizes, and whether their signatures (doc, n, sign) agree in so many bits."""
+    end = lambda x: signs.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("sign").alias(f"{x}_sign"))
+    differ = F.aggregate(F.zip_with("a_sign", "b_sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").select("a", "b", "an", "bn", (F.lit(minima) - differ >= least).alias("close"))
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, shared, an, bn, linked: pairs counted on their full sets."""
     counted = _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), F.size("sa").cast("long").alias("an"), F.size("sb").cast("long").alias("bn"))
     return written(counted.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("an") + F.col("bn") - F.col("shared"))), "near-tested")
 
 
-def _across(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components, members of one centre's family, that may still be linked.
 
     A pair must share percent / (100 + percent) of both sizes together. What it shares inside the centre is
@@ -103,8 +133,8 @@ def _across(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     pairs that meet there are made; unique shingles, which come first, meet nobody. Pairs that need nothing
     from outside differ in size and are found by classes of size.
     """
-    family = tested.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.col("shared").alias("inside"), F.col("bn").alias("n"))
-    family = family.unionByName(tested.select(F.col("a").alias("c"), F.col("a").alias("doc"), F.col("an").alias("inside"), F.col("an").alias("n")).distinct())
+    family = star.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.col("bn").alias("n"))
+    family = family.unionByName(star.select(F.col("a").alias("c"), F.col("a").alias("doc"), F.col("an").alias("n")).distinct())
     root_of = lambda df, column, name: df.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
     rooted = root_of(root_of(family, "doc", "root"), "c", "main")
     rooted = written(rooted, "near-family")
@@ -113,6 +143,8 @@ def _across(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
 
     outside = _with_sets(open_rows.filter("doc <> c").select(F.col("c").alias("a"), F.col("doc").alias("b")), sets)
     tokens = written(outside.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.explode(F.array_except("sb", "sa")).alias("token")), "near-outside")
+    n_outside = tokens.groupBy("c", "doc").agg(F.count(F.lit(1)).alias("n_outside"))
+    open_rows = written(open_rows.join(n_outside, ["c", "doc"], "left").withColumn("inside", F.col("n") - F.coalesce("n_outside", F.lit(0))).drop("n_outside"), "near-inside")
     common = tokens.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = Window.partitionBy("c", "doc")  # a document's shingles
     shared = tokens.join(common, ["c", "token"]).withColumn("later", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("df", "token")))
@@ -179,7 +211,7 @@ def _near(docs: DataFrame, words: int, threshold: float, bands: int, rows: int)
     """near_duplicates where a doc_id has one text; it may be of any type that can be ordered."""
     percent = round(100 * threshold)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sig = written(docs.select("doc_id", "text").mapInArrow(_signatures(words, bands, rows), f"doc_id {id_type}, n_shingles bigint, set_key binary, bands array<bigint>"), "near-signatures")
+    sig = written(docs.select("doc_id", "text").mapInArrow(_signatures(words, bands, rows), f"doc_id {id_type}, n_shingles bigint, set_key binary, bands array<bigint>, sign array<bigint>"), "near-signatures")
     classes = written(sig.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc")), "near-classes")
     reps = sig.withColumnRenamed("doc_id", "doc").join(classes, ["set_key", "doc"], "left_semi")
     banded = reps.select("doc", "n_shingles", "set_key", F.explode("bands").alias("bucket"))
@@ -201,10 +233,12 @@ def _near(docs: DataFrame, words: int, threshold: float, bands: int, rows: int)
     live = written(members.join(shared, "doc"), "near-live")
     centres = live.groupBy("bucket").agg(F.min(F.struct(((F.col("n") - F.col("g")) / F.col("n")).alias("alone"), "doc")).alias("centre"))
     star = live.join(centres.select("bucket", F.col("centre.doc").alias("a")), "bucket").filter("doc <> a")
-    tested = _tested(written(star.select("a", F.col("doc").alias("b")).distinct(), "near-star"), sets, percent)
-    links = tested.filter("linked").select("a", "b")
+    signs = written(reps.select("doc", F.col("n_shingles").alias("n"), "sign").join(wanted, "doc", "left_semi"), "near-signs")
+    verify = lambda pairs: written(_verified(pairs, signs, least_agreement(threshold, bands * rows), bands * rows), "near-verified")
+    star = verify(star.select("a", F.col("doc").alias("b")).distinct())
+    links = _tested(star.filter("close"), sets, percent).filter("linked").select("a", "b")
     roots = connected_components(links)
-    rest = written(_across(tested, roots, sets, percent), "near-rest")
+    rest = verify(_across(star, roots, sets, percent)).filter("close")
     if not rest.isEmpty():
         more_links = _tested(rest, sets, percent).filter("linked").select("a", "b")
         roots = connected_components(links.union(more_links))

@@ -10,10 +10,12 @@ sorted suffixes only samples at run ends stay. Streaming the text, a sample give
 (inside a run its source moves along with it and its length falls by one); matches of ``length`` bytes
 or more are linked to their sources, and of each class of linked strings the earliest start stays.
 
-Grams with very many different stretches (``HOT`` or more: varied text around something common) are dealt
-on by the middles of their strings. Where as many distinct stretches remain about one middle, they go to
-no index: the first place of each of their strings is a minimum by the string's hash, combined before the
-shuffle, so no group meets in one task. Matches never cross documents.
+Grams with very many different stretches (``HOT`` or more: varied text around something common) would make an index
+too large for a task. They are dealt on by the middles of their strings, and where as many distinct stretches
+remain about one middle by second designated grams of their strings, which are longer each time: equal strings have
+equal ones, so they still meet. Each time equal pieces meet as hashes and all but the first place are repeats; the
+firsts of a shard go to its index as soon as they are fewer than that. Grams end at the length of a string, where a
+shard has one. So whatever is different meets in an index of bounded size. Matches never cross documents.
 
 Defined results: a null text is empty; texts shorter than length lose nothing; very long texts are worked
 on whole, a row at a time; of texts that share a doc_id only positions inside one row count as the same
@@ -36,8 +38,9 @@ from boxlake.llm.common import drop_written, read_table, row_key, written
 from boxlake.llm.hashing import prefix_hashes, slices_of, span_hashes
 
 LENGTH, GRAM = 100, 32
-#: Different stretches from which a gram or a shard counts as hot, and offsets that share a piece of a hot stretch.
-HOT, PIECE = 4096, 8
+#: Different stretches from which a gram or a shard is dealt on, offsets that share a piece of such a stretch, and how
+#: many times pieces are dealt by longer grams.
+HOT, PIECE, LEVELS = 4096, 8, 3
 #: Bytes of text in one index (and at most one more shard), and of the texts that are worked on at once.
 INDEX_BYTES, SLICE_BYTES = 1 << 20, 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
@@ -49,10 +52,16 @@ def designated(text: np.ndarray, length: int = LENGTH, gram: int = GRAM, h: np.n
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none.astype(np.uint64), none, none
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     at = np.arange(len(text) - gram + 1)
     hashes = span_hashes(prefix_hashes(text) if h is None else h, at, at + gram)
-    width = length - gram + 1
+    starts, which = np.arange(n), _least(hashes, n, length - gram + 1)
+    edges = np.flatnonzero(np.diff(which, prepend=-1))
+    return which[edges], hashes[which[edges]], starts[edges], starts[np.append(edges[1:], len(starts)) - 1]
+
+
+def _least(hashes: np.ndarray, n: int, width: int) -> np.ndarray:
+    """For each of n places where the least of the next so many hashes stands, the first of equal ones."""
+    out: list[np.ndarray] = []
     # blocks keep positions within the low bits beside the hash
     step = 1 << 22
     for start in range(0, n, step):
@@ -64,10 +73,8 @@ def designated(text: np.ndarray, length: int = LENGTH, gram: int = GRAM, h: np.n
             size *= 2
         if size < width:
             least = np.minimum(least[: stop - start], least[width - size : width - size + stop - start])
-        out.append((np.arange(start, stop), (least[: stop - start] & _LOW).astype(np.int64) + start))
-    starts, which = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    edges = np.flatnonzero(np.diff(which, prepend=-1))
-    return which[edges], hashes[which[edges]], starts[edges], starts[np.append(edges[1:], len(starts)) - 1]
+        out.append((least[: stop - start] & _LOW).astype(np.int64) + start)
+    return np.concatenate(out)
 
 
 #: A place is one long: start of the stretch, offset of the gram in it, its strings less one, whether its gram is hot.
@@ -287,20 +294,17 @@ def _index(length: int):
     return run
 
 
-def removed_spans(places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, pieces: np.ndarray, hot: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, pieces: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The maximal removed runs of a text: all strings of the stretches that don't stand first here (owned), the
-    ranges that the index marked in those that do, of owned stretches of hot grams the pieces that don't stand
-    first here, and of the pieces of hot shards all strings but the firsts."""
+    ranges that were marked in those that do, and of owned stretches of hot grams the pieces that don't stand first
+    here."""
     first_here = np.isin(places, owned & ~1)
     starts, counts = place_keys(places[~first_here])
     hot_starts, hot_counts = place_keys(owned[(owned & 1) == 1])
     other = ~np.isin(hot_starts << 13 | hot_counts, pieces)
-    n = hot & 0x1FFF
-    strings = np.repeat((hot >> 13) - np.cumsum(n) + n, n) + np.arange(n.sum())
-    again = strings[~np.isin(strings, firsts)]
     starts, counts = np.concatenate([starts, hot_starts[other]]), np.concatenate([counts, hot_counts[other]])
-    froms = np.concatenate([starts, ranges >> 32, again])
-    tos = np.concatenate([starts + counts - 1 + length, ranges & 0xFFFFFFFF, again + length])
+    froms = np.concatenate([starts, ranges >> 32])
+    tos = np.concatenate([starts + counts - 1 + length, ranges & 0xFFFFFFFF])
     order = np.argsort(froms, kind="stable")
     froms, tos = froms[order], np.maximum.accumulate(tos[order])
     new = np.concatenate([[True], froms[1:] > tos[:-1]])[: len(froms)]
@@ -308,7 +312,7 @@ def removed_spans(places: np.ndarray, owned: np.ndarray, ranges: np.ndarray, pie
 
 
 def _spans(length: int):
-    """(h1, h2, places, owned, ranges, pieces, hot, firsts) to (h1, h2, starts, stops) of the texts that lose bytes."""
+    """(h1, h2, places, owned, ranges, pieces) to (h1, h2, starts, stops) of the texts that lose bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,25 +342,60 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, batch.column(2), batch.column(3)], names=["h1", "h2", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
 
 
-def first_strings(stretches: DataFrame, length: int) -> DataFrame:
-    """h1, h2, firsts: starts of the strings of the stretches (doc_id, h1, h2, start, body) that stand nowhere earlier."""
-    strings = stretches.select("doc_id", "h1", "h2", F.expr(f"inline(transform(sequence(0, octet_length(body) - {length}), k -> struct(unhex(sha2(substring(body, k + 1, {length}), 256)) AS string, start + k AS at)))"))
-    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "h1", "h2", "at")).alias("first"))
-    return first.groupBy("first.h1", "first.h2").agg(F.collect_list("first.at").alias("firsts"))
+def _dealt(length: int, gram: int):
+    """(doc_id, h1, h2, shard, start, body) to the same rows cut into the strings that one gram is designated for, and gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_of(batch, 5, SLICE_BYTES):
+                bodies = part.column(5).to_pylist()
+                raw, sizes = b"".join(bodies), np.array([len(x) for x in bodies])
+                ends = np.cumsum(sizes)
+                text, at = np.frombuffer(raw, np.uint8), np.arange(len(raw) - gram + 1)
+                hashes = span_hashes(prefix_hashes(text), at, at + gram)
+                which = _least(hashes, len(raw) - length + 1, length - gram + 1)
+                of = np.repeat(np.arange(len(bodies)), sizes)[: len(which)]
+                inside = np.flatnonzero(np.arange(len(which)) + length <= ends[of])  # strings of one body
+                of, which = of[inside], which[inside]
+                edges = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (of[1:] != of[:-1])]))
+                first, last, of = inside[edges], inside[np.append(edges[1:], len(inside)) - 1], of[edges]
+                rows = part.take(pa.array(of))
+                start = rows.column(4).to_numpy(zero_copy_only=False) + first - (ends - sizes)[of]
+                cut = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                grams = hashes[which[edges]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(start), pa.array(cut, pa.binary()), pa.array(grams)], names=["doc_id", "h1", "h2", "shard", "start", "body", "gram"])
+
+    return run
 
 
-def _hot_marks(cuts: DataFrame, length: int, hot_from: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """What comes of the owned stretches of hot grams: pieces for the index, and arrays by document."""
-    pieces = pieces_of(cuts.filter("hot"), length).groupBy("shard", "body").agg(F.min(F.struct("doc_id", "h1", "h2", "start")).alias("first")).select("first.*", "shard", "body")
-    pieces = written(pieces, "repeat-pieces")
-    sizes = written(pieces.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-shards")
-    key = F.shiftleft("start", 13).bitwiseOR(F.octet_length("body") - length + 1)
-    hottest = pieces.join(sizes.filter(F.col("n") >= hot_from).select("shard"), "shard", "left_semi")
-    lists = pieces.groupBy("h1", "h2").agg(F.collect_list(key).alias("pieces"))
-    lists = lists.join(hottest.groupBy("h1", "h2").agg(F.collect_list(key).alias("hot")), ["h1", "h2"], "left").join(first_strings(hottest, length), ["h1", "h2"], "left")
+def _hot_marks(cuts: DataFrame, length: int, gram: int, hot_from: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """What comes of the owned stretches of hot grams: pieces for the index, ranges of repeats by document, and the pieces
+    that stand first, by document."""
+    columns = ["doc_id", "h1", "h2", "shard", "start", "body"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.select("doc_id", "h1", "h2").schema)
+    earliest = lambda df: df.groupBy("shard", "body").agg(F.min(F.struct("doc_id", "h1", "h2", "start")).alias("first")).select("first.*", "shard", "body")
+    pieces = written(earliest(pieces_of(cuts.filter("hot"), length)), "repeat-pieces")
+    lists = pieces.groupBy("h1", "h2").agg(F.collect_list(F.shiftleft("start", 13).bitwiseOR(F.octet_length("body") - length + 1)).alias("pieces"))
     lists = written(lists, "repeat-hot")
-    index = pieces.join(sizes.filter(F.col("n") < hot_from).select("shard"), "shard", "left_semi")
-    return index.select("doc_id", "h1", "h2", "shard", "start", "body"), lists, [pieces, sizes, lists]
+    tables, again, index, first = [pieces, lists], None, None, pieces
+    for level in range(LEVELS + 1):
+        sizes = written(first.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-shards")
+        tables.append(sizes)
+        bounded = F.lit(True) if level == LEVELS else F.col("n") < hot_from  # at last a shard has one string
+        some = first.join(sizes.filter(bounded).select("shard"), "shard", "left_semi").select(*columns)
+        index = some if index is None else index.union(some)
+        if level == LEVELS or sizes.filter(~bounded).isEmpty():
+            break
+        longer = gram + (length - gram) * (level + 1) // LEVELS
+        left = first.join(sizes.filter(~bounded).select("shard"), "shard", "left_semi").select(*columns)
+        dealt = left.mapInArrow(_dealt(length, longer), f"{kinds}, shard bigint, start bigint, body binary, gram bigint")
+        dealt = written(dealt.withColumn("shard", F.xxhash64("shard", "gram")).select(*columns), "repeat-dealt")
+        first = written(earliest(dealt), "repeat-pieces")
+        tables += [dealt, first]
+        later = dealt.join(first.select("h1", "h2", "shard", "start"), ["h1", "h2", "shard", "start"], "left_anti")
+        later = later.select("h1", "h2", F.array(F.shiftleft("start", 32).bitwiseOR(F.col("start") + F.octet_length("body"))).alias("ranges"))
+        again = later if again is None else again.union(later)
+    return index, again, lists, tables
 
 
 def spans_of(keyed: DataFrame, length: int, gram: int, hot_from: int) -> DataFrame:
@@ -383,20 +422,19 @@ def spans_of(keyed: DataFrame, length: int, gram: int, hot_from: int) -> DataFra
     cuts = cuts.select("doc_id", "h1", "h2", F.expr(f"inline(transform(needed, x -> struct(x.gram AS shard, x.hot AS hot, x.place AS place, {cut} AS body)))"))
     cuts = written(cuts, "repeat-stretches")
     index = cuts.filter("not hot").select("doc_id", "h1", "h2", "shard", F.shiftright("place", _START).alias("start"), "body")
-    done, lists = [texts, firsts, sizes, cuts], None
+    done, lists, again = [texts, firsts, sizes, cuts], None, None
     hot_grams = sizes.filter("hot").select("gram", F.lit(1).cast("bigint").alias("flag"))
     if not hot_grams.isEmpty():
-        pieces, lists, tables = _hot_marks(cuts, length, hot_from)
+        pieces, again, lists, tables = _hot_marks(cuts, length, gram, hot_from)
         index, done = index.union(pieces), [*done, *tables]
         firsts = firsts.join(hot_grams, "gram", "left").withColumn("place", F.col("place").bitwiseOR(F.coalesce("flag", F.lit(0))))
     marks = index.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index(length), "h1 bigint, h2 bigint, ranges array<bigint>")
+    marks = marks if again is None else marks.unionByName(again)
     marks = marks.groupBy("h1", "h2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     owned = firsts.groupBy("h1", "h2").agg(F.collect_list("place").alias("owned"))
     ready = texts.select("h1", "h2", "places").join(owned, ["h1", "h2"], "left").join(marks, ["h1", "h2"], "left")
-    if lists is not None:
-        ready = ready.join(lists, ["h1", "h2"], "left")
-    none = F.lit(None).cast("array<bigint>")
-    ready = ready.select("h1", "h2", "places", "owned", "ranges", *(c if lists is not None else none.alias(c) for c in ("pieces", "hot", "firsts")))
+    ready = ready.withColumn("pieces", F.lit(None).cast("array<bigint>")) if lists is None else ready.join(lists, ["h1", "h2"], "left")
+    ready = ready.select("h1", "h2", "places", "owned", "ranges", "pieces")
     out = written(ready.mapInArrow(_spans(length), "h1 bigint, h2 bigint, starts array<bigint>, stops array<bigint>"), "repeat-spans")
     drop_written(*done)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.sources.shared import written
+from boxlake.sources.shared import drop_written, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         larger = written(larger.distinct())
         lowest = larger.groupBy("node").agg(F.min("root").alias("least"))
         smaller = larger.join(lowest, "node").select(F.when(F.col("root") == F.col("least"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("least").alias("root"))
-        edges = written(smaller.filter("node <> root").distinct())
+        before, edges = edges, written(smaller.filter("node <> root").distinct())
+        drop_written(before, larger)

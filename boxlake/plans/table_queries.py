@@ -16,7 +16,7 @@ from boxlake.sources.shared import new_folder, written
 R = Registry()
 
 # summaries and order
-_MEASURES = ["map50", "map75", "uncertainty", "max_score", "fp_tp_ratio"]
+_MEASURES = ["map50", "map75", "uncertainty", "max_score"]
 _DESCRIBED = "count({0}) AS count, avg({0}) AS mean, stddev_samp({0}) AS std, min({0}) AS min, quantile_cont({0}, 0.25) AS q25, quantile_cont({0}, 0.5) AS q50, quantile_cont({0}, 0.75) AS q75, max({0}) AS max"
 _ROUNDED = ", ".join(f"round({c}, 5) + 0e0 AS {c}" for c in ("mean", "std", "min", "q25", "q50", "q75", "max"))
 R.add(

@@ -124,27 +124,31 @@ def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(counted.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("an") + F.col("bn") - F.col("shared"))), "near-tested")
 
 
-def _across(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of different components, members of one centre's family, that may still be linked.
 
     A pair must share percent / (100 + percent) of both sizes together. What it shares inside the centre is
     at most the less of what each has of it; the rest has to come from shingles outside. Of those, taken
     from the rarest in the family, each side's first (count - needed + 1) must have one in common, so only
     pairs that meet there are made; unique shingles, which come first, meet nobody. Pairs that need nothing
-    from outside differ in size and are found by classes of size.
+    from outside differ in size and are found by classes of size. used gets the tables that the result reads.
     """
     family = star.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.col("bn").alias("n"))
     family = family.unionByName(star.select(F.col("a").alias("c"), F.col("a").alias("doc"), F.col("an").alias("n")).distinct())
     root_of = lambda df, column, name: df.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
     rooted = root_of(root_of(family, "doc", "root"), "c", "main")
     rooted = written(rooted, "near-family")
+    used.append(rooted)
     split = rooted.filter("root <> main").select("c").distinct()
     open_rows = written(rooted.join(split, "c"), "near-open")
+    used.append(open_rows)
 
     outside = _with_sets(open_rows.filter("doc <> c").select(F.col("c").alias("a"), F.col("doc").alias("b")), sets)
     tokens = written(outside.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.explode(F.array_except("sb", "sa")).alias("token")), "near-outside")
+    used.append(tokens)
     n_outside = tokens.groupBy("c", "doc").agg(F.count(F.lit(1)).alias("n_outside"))
     open_rows = written(open_rows.join(n_outside, ["c", "doc"], "left").withColumn("inside", F.col("n") - F.coalesce("n_outside", F.lit(0))).drop("n_outside"), "near-inside")
+    used.append(open_rows)
     common = tokens.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = Window.partitionBy("c", "doc")  # a document's shingles
     shared = tokens.join(common, ["c", "token"]).withColumn("later", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("df", "token")))
@@ -152,8 +156,10 @@ def _across(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     # a partner has percent / 100 of n at least, and shares no more inside the centre than this side has of it
     placed = placed.filter(100 * (F.col("left") + F.col("inside")) >= percent * F.col("n"))
     placed = written(placed, "near-placed")
+    used.append(placed)
     roots_of = placed.groupBy("c", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("c", "token")
-    placed = placed.join(written(roots_of, "near-tokens"), ["c", "token"], "left_semi")  # other tokens link nothing that is apart
+    used.append(roots_of := written(roots_of, "near-tokens"))
+    placed = placed.join(roots_of, ["c", "token"], "left_semi")  # other tokens link nothing that is apart
     side = lambda df, s: df.select("c", *(x for x in ("token", "size_class") if x in df.columns), *(F.col(x).alias(f"{s}_{x}") for x in ("doc", "n", "inside", "root", "left") if x in df.columns))
     need = F.col("y_n") + F.col("x_n")
     within = F.least("y_inside", "x_inside")
@@ -236,12 +242,15 @@ def _near(docs: DataFrame, words: int, threshold: float, bands: int, rows: int)
     signs = written(reps.select("doc", F.col("n_shingles").alias("n"), "sign").join(wanted, "doc", "left_semi"), "near-signs")
     verify = lambda pairs: written(_verified(pairs, signs, least_agreement(threshold, bands * rows), bands * rows), "near-verified")
     star = verify(star.select("a", F.col("doc").alias("b")).distinct())
-    links = _tested(star.filter("close"), sets, percent).filter("linked").select("a", "b")
+    used = [buckets, members, wanted, keyed, sets, shared, live, signs, star]
+    used.append(tested := _tested(star.filter("close"), sets, percent))
+    links = tested.filter("linked").select("a", "b")
     roots = connected_components(links)
-    rest = verify(_across(star, roots, sets, percent)).filter("close")
-    if not rest.isEmpty():
-        more_links = _tested(rest, sets, percent).filter("linked").select("a", "b")
-        roots = connected_components(links.union(more_links))
+    used.append(rest := verify(_across(star, roots, sets, percent, used)))
+    if not (rest := rest.filter("close")).isEmpty():
+        used.append(tested := _tested(rest, sets, percent))
+        roots = connected_components(links.union(tested.filter("linked").select("a", "b")))
+    drop_written(*used)  # the result reads signatures, classes and roots
 
     of_class = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("root", "doc").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import LOWER, SPACES, UPPER, as_row, read_table, row_key, written
+from boxlake.llm.common import LOWER, SPACES, UPPER, as_row, drop_written, read_table, row_key, written
 
 #: Bits in a word of a bitmap (a long, its sign left out) and parts that a hot key's documents are dealt to.
 WORD, SALTS = 62, 16
@@ -66,12 +66,16 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1, ke
     if keep == "first":
         gone = gone.filter(~F.struct("doc_id", "row_key", "pos").eqNullSafe(F.col("first")))
     words = gone.groupBy("doc_id", "row_key", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD})")).alias("bits"))
-    return words.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    out = words.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    out.reads = [seen, frequent]
+    return out
 
 
 def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """row (docs' columns), n_lines and kept, the array of lines that stay, of each row of docs."""
+    """row (docs' columns), n_lines and kept, the array of lines that stay, of each row of docs. The tables that the bitmaps
+    were made from go when these are written."""
     b = written(bitmaps, "line-bitmaps")
+    drop_written(*getattr(bitmaps, "reads", ()))
     packed = docs.select(as_row(docs).alias("row"), "doc_id", row_key("doc_id", "text").alias("row_key"))
     joined = packed.join(b, packed["doc_id"].eqNullSafe(b["doc_id"]) & (packed["row_key"] == b["row_key"]), "left").select("row", "dropped")
     all_lines = lines_of(F.col("row.text"))

@@ -485,3 +485,44 @@ def test_repeats_edges(spark, clashing, empty):
         repeats.repeated_spans(empty, 100, 4)
     starts, counts = repeats.place_keys(np.array([5 << 25 | 3 << 13 | 7 << 1]))
     assert (starts.tolist(), counts.tolist()) == ([5], [8])
+
+
+@pytest.mark.parametrize("ids", ["none", "third", "same"])
+def test_mix_comes_near_its_targets_without_ids(spark, ids):
+    """Rows under one doc_id, or none, are told apart by their texts: each source's words come within half of its largest document."""
+    rng = random.Random(17)
+    rows = [({"none": None, "third": None if i % 3 else i, "same": 5}[ids], " ".join(f"w{rng.random()}" for _ in range(rng.randint(1, 60))), "en", f"s{i % 4 // 2}", 0) for i in range(600)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, SCHEMA).repartition(3)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= r.most / 2 + 1 for r in got)
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA)).select("source", F.size(F.split("text", " ")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    assert {r.source: r.n for r in mixed} == {r.source: r.taken for r in got}
+
+
+def test_lines_of_a_very_long_document(spark):
+    """Every line's bit is read from its own word: 100,000 lines, a third of them in ten documents."""
+    common = [f"common {i}" for i in range(7)]
+    long = "\n".join(common[i % 7] if i % 3 == 0 else f"own {i}" for i in range(100_000))
+    docs = frame(spark, [long] + ["\n".join(common)] * 10)
+    out = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).select("doc_id", "text").collect()}
+    assert out[0] == "\n".join(x for x in long.split("\n") if x.startswith("own")) and {out[i] for i in range(1, 11)} == {""}
+
+
+def test_signatures_reject_only_clear_misses():
+    rng = np.random.default_rng(3)
+    seeds = minhash._SEEDS
+    least = minhash.least_agreement(0.8, 128)
+    assert 80 <= least <= 100
+    sign = lambda s: np.array(minhash.signature(minhash.minima(s, seeds[:128] | np.uint64(1), seeds[128:])))
+    agree = lambda a, b: 128 - sum(int(x).bit_count() for x in (sign(a) ^ sign(b)).view(np.uint64))
+    for n in (5, 60, 900):
+        for _ in range(40):
+            both, more = rng.integers(0, 1 << 63, 8 * n).astype(np.uint64), rng.integers(0, 1 << 63, 4 * n).astype(np.uint64)
+            assert agree(np.append(both, more[:n]), np.append(both, more[n : 2 * n])) >= least  # similarity 0.8
+            assert agree(more[: 2 * n], more[2 * n :]) < least  # nothing in common
+
+
+def test_long_words_are_not_remembered():
+    pieces = sentencepiece_codec.load(default_tokenizer("piece_bpe_32k.model"))
+    long = "漢字" * 3000
+    first = pieces.encode([f"short {long} words", long])
+    assert first == pieces.encode([f"short {long} words", long]) and all(len(w) <= sentencepiece_codec.SHORT for w in pieces.known) and pieces.known

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.functions import boxes
 from boxlake.operators.assignment import greedy_by_score, least_distance
-from boxlake.operators.matching import clip_boxes, pairs
+from boxlake.operators.matching import BOX, clip_boxes, pairs
 from boxlake.operators.ordered import in_ranges, running
 from boxlake.sources.shared import written
 
@@ -109,11 +110,30 @@ def folded_ap(hits: Column, positives: Column) -> Column:
     return F.aggregate(F.reverse(hits), start, step, lambda a: a["sum"] / POINTS)
 
 
+def _class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """image_id, category_id, file_name, positives (null: none), n (detections, null: none), ap1, ap2 ... of every class that an image
+    has in either table. Both are dealt out by image and class once, and all is folded where they meet."""
+    keys = ["image_id", "category_id"]
+    side = lambda df, p, *more: df.select(*keys, *more, *(F.col(c).alias(f"{p}_{c}") for c in BOX))
+    met = side(clip_boxes(dets), "d", "file_name", "det_id", "score").join(side(gts, "g", "annotation_id"), keys, "left")
+    value = boxes.iou(boxes.columns("d_"), boxes.columns("g_"))
+    met = met.select(*keys, "file_name", "det_id", "score", F.when(value >= min(thresholds), F.struct((-value).alias("neg"), "annotation_id")).alias("option"))
+    each = met.groupBy(*keys, "file_name", "det_id", "score").agg(F.sort_array(F.collect_list("option")).alias("options"))
+    ranked = each.groupBy(*keys).agg(F.min("file_name").alias("det_file"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "det_id", "options"))).alias("dets"))
+    truth = gts.groupBy(*keys).agg(F.min("file_name").alias("gt_file"), F.count(F.lit(1)).alias("positives"))
+    both = ranked.join(truth, keys, "full_outer")
+    ap = [F.when(F.col("positives").isNotNull(), F.coalesce(folded_ap(_hits(t), F.col("positives")), F.lit(0.0))).alias(f"ap{k}") for k, t in enumerate(thresholds)]
+    return both.select(*keys, F.coalesce("det_file", "gt_file").alias("file_name"), "positives", F.size("dets").alias("n"), *ap)
+
+
 def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None, max_detections: int | None = MOST, crowded: int | None = None) -> DataFrame:
     """image_id, file_name, category_id, threshold, ap of classes that have ground truth in the image. near: pairs
     that the caller has already. Hits and precision are folded where the image's boxes are; only sums leave."""
     keys = ["image_id", "file_name", "category_id"]
     dets = best_scored(dets, max_detections)
+    if near is None and crowded is None:
+        found = _class_ap(dets, gts, thresholds).filter("positives IS NOT NULL")
+        return found.select(*keys, F.inline(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"ap{k}").alias("ap")) for k, t in enumerate(thresholds)))))
     small, large = _split(dets, crowded)
     near = _paired(dets, gts, thresholds, crowded, None) if near is None else near.filter(F.col("value") >= min(thresholds))
     near = near if large is None else written(near)
@@ -132,8 +152,12 @@ def image_class_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...
 def image_ap(dets: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, near: DataFrame | None = None, max_detections: int | None = MOST, crowded: int | None = None) -> DataFrame:
     """image_id, file_name, map50, map75 (a column for each threshold) of every image with detections: the mean over
     its ground truth's classes, -1 where it has none."""
-    per_class = image_class_ap(dets, gts, thresholds, near, max_detections, crowded)
     names = {t: f"map{round(100 * t)}" for t in thresholds}
+    if near is None and crowded is None:  # images come from the same rows, so their list isn't made apart
+        found = _class_ap(best_scored(dets, max_detections), gts, thresholds)
+        means = found.groupBy("image_id").agg(F.min("file_name").alias("file_name"), F.max("n").alias("n"), *(F.avg(f"ap{k}").alias(c) for k, c in enumerate(names.values())))
+        return means.filter("n > 0").select("image_id", "file_name", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names.values()))
+    per_class = image_class_ap(dets, gts, thresholds, near, max_detections, crowded)
     means = per_class.groupBy("image_id").agg(*(F.avg(F.when(F.col("threshold") == t, F.col("ap"))).alias(c) for t, c in names.items()))
     images = dets.select("image_id", "file_name").distinct()
     return images.join(means, "image_id", "left").select("image_id", "file_name", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names.values()))

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from boxlake.operators import assignment, metrics
+from boxlake.operators import assignment, matching, metrics
 
 DET = "image_id bigint, file_name string, category_id int, det_id bigint, score double, x_min double, y_min double, x_max double, y_max double"
 GT = "image_id bigint, file_name string, category_id int, annotation_id bigint, x_min double, y_min double, x_max double, y_max double"
@@ -132,3 +132,25 @@ def test_assignment_of_a_crowd(spark):
     dets = [(i, "a", 0, 1000 * i + k, 0.5, *at(20 * k + 11, 100)) for i in range(3) for k in range(200)]
     rows = metrics.point_matches(spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT), 12).collect()
     assert len(rows) == 600 and sum(math.sqrt(r.value) for r in rows) == pytest.approx(600 * 11)
+
+
+def test_crowded_images_are_matched_without_their_pairs(spark):
+    """Boxes that all overlap each other: what is dealt out goes with the boxes, and a task gets none of the 4 million pairs."""
+    ids = spark.range(2000)
+    place = [F.lit(1).cast("bigint").alias("image_id"), F.lit("a").alias("file_name"), F.lit(0).alias("category_id")]
+    corners = lambda by: [(F.col("id") % 7 + by).cast("double").alias(c) for c in ("x_min", "y_min")] + [(F.col("id") % 5 + 900 + by).cast("double").alias(c) for c in ("x_max", "y_max")]
+    gts = ids.select(*place, F.col("id").alias("annotation_id"), *corners(0))
+    dets = ids.select(*place, F.col("id").alias("det_id"), (F.pmod(F.hash("id"), F.lit(1000)) / 1000).alias("score"), *corners(1))
+    assert metrics.greedy_hits(dets, gts, (0.5,), crowded=10).agg(F.sum("hit")).first()[0] == 2000
+    assert "Join" not in metrics._crowded_hits(dets, gts, (0.5,))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_by_cells_come_once_without_a_second_deal(spark):
+    rows = [(1, "a", 0, k, 0.5, -30.0 + 17 * k, 5.0 * k, 60.0 + 17 * k, 90.0 + 5 * k) for k in range(40)]
+    d = spark.createDataFrame(rows, DET)
+    g = spark.createDataFrame([(i, f, c, k, *b) for i, f, c, k, _, *b in rows], GT)
+    cells = matching.pairs(d, g, cell=32)
+    want = {(r.det_id, r.annotation_id): r.value for r in matching.pairs(d, g).collect() if r.value > 0}
+    got = [((r.det_id, r.annotation_id), r.value) for r in cells.collect() if r.value > 0]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Aggregate" not in cells._jdf.queryExecution().optimizedPlan().toString()

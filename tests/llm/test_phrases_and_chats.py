@@ -178,6 +178,18 @@ def test_chats_are_read_back(spark, chats):
     assert chat_format.read_back(chat_format.format_turns(spark.createDataFrame([], CHATS))).count() == 0
 
 
+def test_losses_are_those_of_the_examples(spark, chats, monkeypatch):
+    """Reading back goes through the examples: without one of them its reply is missing, and a wrong context is an error."""
+    turns, expand = written(chat_format.format_turns(spark.createDataFrame(chats, CHATS))), chat_format.expand
+    count = lambda: {r.conv_id: r.n_examples for r in chat_format.read_back(turns).collect()}[8]
+    assert count() == 150 and turns.count() == expand(turns, whole=True).count()
+    monkeypatch.setattr(chat_format, "expand", lambda t, whole=False: expand(t, whole).withColumns({c: F.when(F.col("place") > 2, F.col(c)) for c in ("context_chars", "target", "reply_start", "reply_chars")}))
+    assert count() == 149
+    monkeypatch.setattr(chat_format, "expand", lambda t, whole=False: expand(t, whole).withColumn("context_chars", F.col("context_chars") + 1))
+    with pytest.raises(Exception, match="came before"):
+        count()
+
+
 # prefix trie
 
 

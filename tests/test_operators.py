@@ -1,6 +1,7 @@
 """Hand-worked cases and properties of the operators."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -271,3 +272,25 @@ def test_staged_subsets_nest_in_each_folder(spark):
     stages = sampling.staged_subsets(images, images.filter("image_id < 40"), (0.0, 0.5, 99.0)).collect()
     at = {r: {x.file_name for x in stages if x.ratio == r} for r in (0.0, 0.5, 99.0)}
     assert [len(at[r]) for r in at] == [40, 60, 400] and at[0.0] < at[0.5] < at[99.0]
+
+
+def test_names_are_cut_as_by_patterns(spark):
+    names = ["a/b.c/d_0_1_2_3_4.jpg", "d\\e_x_y_7_10_20_30_40.png", "_0_1_2_3_4.jpg", "a_0_1_2_3.jpg", "a_0_1_2_3_x.jpg", "a__1_2_3_4", "a.b/", "", ".x", "a.", "a.b.", "x/.y.z", "no", None, "é_1_2_3_4_5.jpg"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    stem = F.regexp_replace(F.regexp_extract("name", r"[^/\\]+$", 0), r"\.[^.]+$", "")
+    part = lambda k: F.nullif(F.regexp_extract(stem, r"^(.*)_[^_]*_(\d+)_(\d+)_(\d+)_(\d+)$", k), F.lit(""))
+    want = [stem, *(part(k).cast("int") for k in range(2, 6)), F.concat(part(1), F.lit(".jpg"))]
+    got = df.select(*(c.alias(f"w{k}") for k, c in enumerate(want)), paths.stem(F.col("name")).alias("stem"), *(c.alias(n) for n, c in paths.parse_tile_name(F.col("name")).items()))
+    assert all(tuple(r)[:6] == tuple(r)[6:] for r in got.collect())
+    plan = df.select(*(c.alias(n) for n, c in paths.parse_tile_name(F.col("name")).items()))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # patterns for each part took most of the time
+
+
+@pytest.mark.parametrize("n", [12, 90])
+def test_crowded_suppression_reads_runs_of_images(spark, n):
+    rng = random.Random(n)
+    rows = [(i, f"i{i}", 0, i * 1000 + k, rng.choice([0.2, 0.5, 0.9]), *(float(v) for v in (x, y, x + rng.randint(0, 60), y + rng.randint(0, 60)))) for i in range(5) for k in range(n) for x, y in [(rng.randint(0, 120), rng.randint(0, 120))]]
+    d = spark.createDataFrame(rows, "image_id bigint, file_name string, category_id int, det_id bigint, score double, x_min double, y_min double, x_max double, y_max double")
+    crowded = suppression.nms(d, 0.3, crowded=3)
+    assert {r.det_id for r in crowded.collect()} == {r.det_id for r in suppression.nms(d, 0.3).collect()}
+    assert "FlatMapGroups" not in crowded._jdf.queryExecution().optimizedPlan().toString()  # a data frame for each image took most of the time

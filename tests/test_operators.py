@@ -294,3 +294,13 @@ def test_crowded_suppression_reads_runs_of_images(spark, n):
     crowded = suppression.nms(d, 0.3, crowded=3)
     assert {r.det_id for r in crowded.collect()} == {r.det_id for r in suppression.nms(d, 0.3).collect()}
     assert "FlatMapGroups" not in crowded._jdf.queryExecution().optimizedPlan().toString()  # a data frame for each image took most of the time
+
+
+def test_average_precision_takes_no_written_pairs(spark, monkeypatch):
+    """Image tables and match rows write pairs of one measure; average precision deals boxes out by itself."""
+    row = (1, "a", 0, 1, 0.0, 0.0, 10.0, 10.0)
+    g = spark.createDataFrame([row], "image_id bigint, file_name string, category_id int, annotation_id bigint, x_min double, y_min double, x_max double, y_max double")
+    d, seen, image_ap = g.withColumnRenamed("annotation_id", "det_id").withColumn("score", F.lit(0.9)), [], metrics.image_ap
+    monkeypatch.setattr(metrics, "image_ap", lambda *a, near=None, **k: seen.append(near) or image_ap(*a, near=near, **k))
+    assert selection.image_table(d, g).first().map50 == 1 and selection.match_rows(d, g).first().map75 == 1
+    assert seen == [None, None]

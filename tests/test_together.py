@@ -38,3 +38,18 @@ def test_cells_meet_where_images_are(tables):
     found = matching.match_predictions(det, gt, cell=256)
     assert not any("cell_x" in line for line in _plan(found).splitlines() if "Exchange" in line)
     assert _rows(found) == _rows(matching.match_predictions(shared.written(det), shared.written(gt), cell=256))
+
+
+def test_rotated_pairs_in_batches(spark):
+    rng = random.Random(5)
+    box = lambda k: (k % 4, k, rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(-3, 3))
+    schema = "image_id long, {} long, cx double, cy double, w double, h double, angle double"
+    d = spark.createDataFrame([box(k) for k in range(60)] + [(0, 60, 5.0, 5.0, 4.0, 4.0, 0.0), (0, 61, 5.0, 5.0, 0.0, 0.0, 0.0)], schema.format("det_id"))
+    g = spark.createDataFrame([box(k) for k in range(60)] + [(0, 60, 5.0, 5.0, 4.0, 4.0, 0.0), (0, 61, 6.0, 5.0, 4.0, 4.0, 0.0)], schema.format("annotation_id"))
+    found = suppression.rotated_pairs(d, g)
+    assert "MapInArrow" in _plan(found)
+    corners = lambda df, name: suppression._cornered(df).withColumnRenamed("corners", name)
+    want = corners(d, "a").select("image_id", "det_id", "a").join(corners(g, "b").select("image_id", "annotation_id", "b"), "image_id").withColumn("want", suppression.rotated_iou(F.col("a"), F.col("b")))
+    both = want.join(found, ["image_id", "det_id", "annotation_id"], "left").collect()
+    assert len(both) > 900 and all(abs(r.want - (r.value or 0.0)) < 1e-9 for r in both)
+    assert {r.value for r in both if (r.det_id, r.annotation_id) == (60, 60)} == {1.0}

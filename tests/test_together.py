@@ -40,6 +40,15 @@ def test_cells_meet_where_images_are(tables):
     assert _rows(found) == _rows(matching.match_predictions(shared.written(det), shared.written(gt), cell=256))
 
 
+def test_few_boxes_are_one_patch(spark):
+    rng = random.Random(3)
+    boxes = [(1 if k < 200 else 2 + k % 20, k, float(rng.random()), x := rng.randrange(2000), y := rng.randrange(2000), x + 90, y + 80) for k in range(400)]
+    det = spark.createDataFrame(boxes, "image_id long, det_id long, score double, x_min int, y_min int, x_max int, y_max int")
+    patch = suppression._patched(det, 64)
+    assert {r.image_id for r in patch.filter("patch IS NOT NULL").collect()} == {1}
+    assert _rows(suppression.lsnms(det, 0.2, cell=64)) == _rows(suppression.nms(det, 0.2))
+
+
 def test_rotated_pairs_in_batches(spark):
     rng = random.Random(5)
     box = lambda k: (k % 4, k, rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(-3, 3))

@@ -40,6 +40,27 @@ def test_cells_meet_where_images_are(tables):
     assert _rows(found) == _rows(matching.match_predictions(shared.written(det), shared.written(gt), cell=256))
 
 
+def test_tiles_are_not_dealt_out_again(spark, sf_dir, tables):
+    _, gt, images = tables
+    tiles = tiling.tiles_with_annotations(images, gt)
+    assert "Exchange" not in _plan(tiles) and "Exchange" not in _plan(tiling.distinct_tiles(tiles))
+    assert _rows(tiles) == _rows(tiling.tiles_with_annotations(shared.written(images), shared.written(gt)))
+
+
+def test_distinct_tiles_of_a_file_that_images_share(spark):
+    rows = [(1, "a", 0, 0, 5, 5), (1, "a", 0, 0, 5, 5), (2, "a", 0, 0, 5, 5), (2, "a", 5, 0, 9, 5), (3, "b", 0, 0, 5, 5), (4, None, 0, 0, 5, 5), (5, None, 0, 0, 5, 5)]
+    tiles = spark.createDataFrame(rows, "image_id int, file_name string, x0 int, y0 int, x1 int, y1 int")
+    found = tiling.distinct_tiles(tiles).select("file_name", "x0").collect()
+    assert sorted(map(str, found)) == sorted(map(str, tiles.select("file_name", "x0").distinct().collect()))
+
+
+def test_sampled_tiles_are_written_once(monkeypatch, tables):
+    _, gt, images = tables
+    tiles = tiling.tiles_with_annotations(images, gt)
+    seen = _recorded(monkeypatch, tiling)
+    assert tiling.sample_tiles(tiles, 0.5).count() and not seen
+
+
 def test_few_boxes_are_one_patch(spark):
     rng = random.Random(3)
     boxes = [(1 if k < 200 else 2 + k % 20, k, float(rng.random()), x := rng.randrange(2000), y := rng.randrange(2000), x + 90, y + 80) for k in range(400)]

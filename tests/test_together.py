@@ -83,3 +83,10 @@ def test_rotated_pairs_in_batches(spark):
     both = want.join(found, ["image_id", "det_id", "annotation_id"], "left").collect()
     assert len(both) > 900 and all(abs(r.want - (r.value or 0.0)) < 1e-9 for r in both)
     assert {r.value for r in both if (r.det_id, r.annotation_id) == (60, 60)} == {1.0}
+
+
+@pytest.mark.parametrize("name, module", [("point_matches", assignment), ("point_metrics", assignment), ("parameter_sweep", metrics)])
+def test_pairs_are_counted_where_they_are(spark, sf_dir, monkeypatch, name, module):
+    seen = _recorded(monkeypatch, module)
+    assert catalogue.queries()[name](spark, sf_dir).count()
+    assert any(k.get("together") for _, k in seen)

@@ -90,3 +90,10 @@ def test_pairs_are_counted_where_they_are(spark, sf_dir, monkeypatch, name, modu
     seen = _recorded(monkeypatch, module)
     assert catalogue.queries()[name](spark, sf_dir).count()
     assert any(k.get("together") for _, k in seen)
+
+
+@pytest.mark.parametrize("name", ["hard_negative_paths", "hard_negative_manifest"])
+def test_a_rounds_detections_stay_by_image(spark, sf_dir, monkeypatch, name):
+    seen = _recorded(monkeypatch, steps, "written_in_buckets")
+    assert catalogue.queries()[name](spark, sf_dir).count()
+    assert [df.columns[:1] for df, _ in seen] == [["image_id"]]

@@ -85,6 +85,15 @@ def test_rotated_pairs_in_batches(spark):
     assert {r.value for r in both if (r.det_id, r.annotation_id) == (60, 60)} == {1.0}
 
 
+def test_described_values_are_counted_first(spark, monkeypatch):
+    seen = _recorded(monkeypatch, stats, "in_ranges")
+    df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("a"))
+    row = stats.describe(df, ["a"]).first()
+    assert seen[0][0].count() == 7
+    want = df.agg(F.count("a"), F.avg("a"), F.stddev_samp("a"), F.min("a"), F.percentile("a", 0.25), F.percentile("a", 0.5), F.percentile("a", 0.75), F.max("a")).first()
+    assert tuple(row)[1:] == pytest.approx(tuple(want))
+
+
 @pytest.mark.parametrize("name, module", [("point_matches", assignment), ("point_metrics", assignment), ("parameter_sweep", metrics)])
 def test_pairs_are_counted_where_they_are(spark, sf_dir, monkeypatch, name, module):
     seen = _recorded(monkeypatch, module)

@@ -114,3 +114,28 @@ def test_task_export_is_compressed(spark, sf_dir, tmp_path, tables):
     (names,) = fixtures(spark, sf_dir, "fx_label_map")
     assert source_queries._tasks(spark, f"{tmp_path}/t", tables[0], names).count() == tables[0].count()
     assert list(tmp_path.glob("t/*.json.gz")) and not list(tmp_path.glob("t/*.json"))
+
+
+def test_parts_of_a_document_are_compressed(spark, tmp_path, monkeypatch):
+    parts, real = [], writers.join_files
+
+    def join(session, folder, path):
+        parts.extend(p.name for p in tmp_path.glob("_parts/part-*"))
+        real(session, folder, path)
+
+    monkeypatch.setattr(writers, "join_files", join)
+    images = spark.createDataFrame([(1, 4, 4, "a.jpg")], "id long, width int, height int, file_name string")
+    boxes = spark.createDataFrame([(7, 1, 0, [0.0, 0.0, 1.0, 1.0], [[0.0]], 1.0, 0)], "id long, image_id long, category_id int, bbox array<double>, segmentation array<array<double>>, area double, iscrowd int")
+    writers.write_coco(images, boxes, spark.createDataFrame([(0, "x")], "id int, name string"), str(tmp_path), single=True)
+    assert parts and all(p.endswith(".gz") for p in parts)
+    assert '"file_name":"a.jpg"' in (tmp_path / "coco.json").read_text()
+
+
+def test_numbering_moves_rows_once(spark):
+    from boxlake.operators import ordered
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    placed = ordered.with_place(spark.range(50).select((-F.col("id")).alias("id")), ["id"], "place")
+    assert "SortMergeJoin" not in _plan(placed) and [r.place for r in placed.orderBy("id").collect()] == list(range(50))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -106,6 +106,18 @@ def test_image_ap_by_hand(spark):
     assert metrics.image_ap(dets(spark, (1, 9, 0, A, 0.9)), g).first().map50 == -1
 
 
+@pytest.mark.parametrize("crowded", [None, 0])
+def test_a_mean_at_the_threshold_is_not_failed(spark, crowded):
+    """map75 is 0.3: precision summed from the last detection on came to a bit less."""
+    spot = lambda c, k: (200 * k, 200 * c, 200 * k + 100, 200 * c + 100)
+    truth = [(10 * c + k, 1, c, spot(c, k)) for c, n in ((0, 5), (1, 6)) for k in range(n)]
+    hits = {0: (0, 0, 1), 1: (0, 1, 1, 1, 1)}
+    found = [(10 * c + k, 1, c, spot(c, k) if hit else (5000, 5000, 5100, 5100), 0.9 - k / 100) for c, row in hits.items() for k, hit in enumerate(row)]
+    for d in (dets(spark, *found), dets(spark, *found[::-1])):
+        row = selection.failed(metrics.image_ap(d, gts(spark, *truth), crowded=crowded)).first()
+        assert row.map75 == pytest.approx(0.3) and not row.failed
+
+
 def test_hard_samples_parity_leaves_gaps(spark):
     g = gts(spark, (5, 1, 0, A))
     d = dets(spark, (1, 1, 0, FAR, 0.9))

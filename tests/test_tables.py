@@ -8,9 +8,11 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from boxlake import schemas
 from boxlake.operators import checks, conversions, labels, sampling, selection, stats, steps, suppression, tiling
 from boxlake.operators.ordered import in_ranges
 from boxlake.sources import readers, writers
+from boxlake.sources.shared import written, written_in_buckets
 from boxlake.streaming import jobs
 
 IMAGES = "id bigint, width int, height int, file_name string"
@@ -207,3 +209,30 @@ def test_distinct_images_are_exact(spark, tmp_path):
         some = [t for _, _, t, ts in rows if start <= int(ts[11:13]) < start + 2]
         want.append((start % 24, len(some), len({t for t in some if t is not None})))
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_hard_samples_of_streams_by_image(spark, tmp_path, buckets):
+    """State has the partitions that were asked for; images are judged once, with buckets and without."""
+    box = lambda k: (10 * k, 10 * k, 10 * k + 50, 10 * k + 50)
+    dets = spark.createDataFrame([(k, k % 30, f"i{k % 30}.jpg", 1000, 1000, k % 3, *box(k % 50), 0.5 + k % 40 / 100) for k in range(300)], schemas.DETECTIONS)
+    truth = spark.createDataFrame([(k, k % 40, f"i{k % 40}.jpg", 1000, 1000, k % 3, *box(k % 60)) for k in range(200)], schemas.GROUND_TRUTH)
+    gts = written_in_buckets(truth.repartition(buckets, "image_id"), "image_id", buckets) if buckets else written(truth)
+    timed = dets.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    timed.repartition(4, "det_id").write.parquet(source)
+    timed.limit(1).withColumns({"image_id": F.lit(-1).cast("bigint"), "ts": F.lit("2025-01-01 00:00:00").cast("timestamp")}).coalesce(1).write.mode("append").parquet(source)
+    batches = []
+
+    def sink(df, batch_id):
+        batches.append(batch_id)
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    with jobs.state_partitions(spark, 7):
+        run = jobs.hard_samples_stream(stream, gts, sink, "ts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {o["numShufflePartitions"] for o in run.lastProgress["stateOperators"]} == {7} and len(batches) == 1
+    columns = ["file_name", "by", "all_scores", "map50", "map75"]
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+    assert key(spark.read.parquet(out)) == key(selection.hard_samples(selection.image_table(dets, truth))) != []

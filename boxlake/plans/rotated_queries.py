@@ -75,8 +75,9 @@ w AS (
   UNION ALL
   SELECT r.image_id, r.k, CASE WHEN list_has_any(w.kept, r.clash) THEN w.kept ELSE list_append(w.kept, r.det_id) END FROM w JOIN r ON r.image_id = w.image_id AND r.k = w.k + 1)
 SELECT image_id, unnest(arg_max(kept, k)) AS det_id FROM w GROUP BY image_id"""
-R.add("rotated_nms", "fx_det", lambda d: suppression.rotated_nms(_turned(d), 0.4).select("image_id", "det_id"), _NMS)
-R.add("rotated_nms_cells", "fx_det", lambda d: suppression.rotated_nms(_turned(d), 0.4, cell=256).select("image_id", "det_id"), _NMS)
+_USED = ("image_id", "det_id", "score", "cx", "cy", "w", "h", "angle")  # rows pass through whole
+R.add("rotated_nms", "fx_det", lambda d: suppression.rotated_nms(_turned(d).select(*_USED), 0.4).select("image_id", "det_id"), _NMS)
+R.add("rotated_nms_cells", "fx_det", lambda d: suppression.rotated_nms(_turned(d).select(*_USED), 0.4, cell=256).select("image_id", "det_id"), _NMS)
 
 
 def _as_polygons(d):

@@ -1,5 +1,9 @@
 """Images whole in one task, however their tables lie, and crowds of boxes."""
 
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from boxlake import schemas
@@ -27,3 +31,46 @@ def in_split_buckets(spark, df):
 def test_crowded_suppression_of_a_table_in_buckets(spark):
     d = piled(spark)
     assert {r.det_id for r in suppression.nms(in_split_buckets(spark, d), 0.3, crowded=3).collect()} == {r.det_id for r in suppression.nms(d, 0.3).collect()}
+
+
+def turned(df):
+    """The boxes about their centres, each at an angle of its own."""
+    mid = lambda a, b: ((F.col(a) + F.col(b)) / 2).cast("double")
+    return df.select("det_id", "image_id", "score", mid("x_min", "x_max").alias("cx"), mid("y_min", "y_max").alias("cy"), (F.col("x_max") - F.col("x_min")).alias("w"), (F.col("y_max") - F.col("y_min")).alias("h"), (F.col("det_id") % 11 / 4).alias("angle"), F.array(F.struct("file_name", "category_id")).alias("others"))
+
+
+def folded(rows, threshold):
+    """The greedy fold, box by box, over the measure of ``rotated_pairs``."""
+    by_image, kept = {}, set()
+    for r in sorted(rows, key=lambda r: (-r.score, r.det_id)):
+        by_image.setdefault(r.image_id, []).append(r)
+    for found in by_image.values():
+        ends = np.array([[v for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1)) for v in (r.cx + i * r.w / 2 * math.cos(r.angle) - j * r.h / 2 * math.sin(r.angle), r.cy + i * r.w / 2 * math.sin(r.angle) + j * r.h / 2 * math.cos(r.angle))] for r in found])
+        stay = []
+        for k in range(len(found)):
+            if not stay or not (suppression._rotated_ious(ends[stay], np.repeat(ends[k : k + 1], len(stay), axis=0)) > threshold).any():
+                stay.append(k)
+        kept |= {found[k].det_id for k in stay}
+    return kept
+
+
+@pytest.mark.parametrize("cell", [None, 16])
+@pytest.mark.parametrize("n, images", [(900, 90), (900, 2), (300, 1)])
+def test_rotated_suppression_in_batches(spark, n, images, cell):
+    """Small images and crowds, in split buckets too; columns pass through, and no fold of Catalyst's is run over pairs."""
+    d = turned(piled(spark, n, images))
+    found = suppression.rotated_nms(in_split_buckets(spark, d), 0.3, cell)
+    rows = found.collect()
+    assert {r.det_id for r in rows} == folded(d.collect(), 0.3) and 0 < len(rows) < n
+    assert found.columns == d.columns and all(r.others[0].file_name == f"i{r.image_id}.jpg" for r in rows)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rotated_boxes_without_sides(spark):
+    """Sides that are null or not finite overlap nothing; without boxes there is nothing."""
+    apart = [(100 + k, 1, 0.5, 50.0 * (k + 1), 0.0, 9.0, 9.0, 0.0) for k in range(40)]  # a crowd
+    rows = [(1, 1, 0.9, 0.0, 0.0, 9.0, 9.0, 0.0), (2, 1, 0.8, 0.0, 0.0, 9.0, 9.0, 0.0), (3, 1, 0.7, None, 0.0, 9.0, 9.0, 0.0), (4, 1, 0.95, float("nan"), 0.0, 9.0, 9.0, 0.0), (5, None, 0.9, 0.0, 0.0, 9.0, 9.0, 0.0), (6, 1, 0.6, float("inf"), 0.0, 9.0, 9.0, 0.0), *apart]
+    d = spark.createDataFrame(rows, "det_id bigint, image_id bigint, score double, cx double, cy double, w double, h double, angle double")
+    for cell in (None, 8):
+        assert sorted(r.det_id for r in suppression.rotated_nms(d, 0.5, cell).collect()) == [1, 3, 4, 6, *(r[0] for r in apart)]
+        assert suppression.rotated_nms(d.filter("det_id < 0"), 0.5, cell).count() == 0

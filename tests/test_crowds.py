@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlake import schemas
-from boxlake.operators import suppression
+from boxlake.operators import assignment, suppression
 from boxlake.sources.shared import written_in_buckets
 
 
@@ -74,3 +74,47 @@ def test_rotated_boxes_without_sides(spark):
     for cell in (None, 8):
         assert sorted(r.det_id for r in suppression.rotated_nms(d, 0.5, cell).collect()) == [1, 3, 4, 6, *(r[0] for r in apart)]
         assert suppression.rotated_nms(d.filter("det_id < 0"), 0.5, cell).count() == 0
+
+
+def pile(n, seed=3):
+    """So many truths and detections on one image of fixed size: the more there are, the denser they lie."""
+    rng = np.random.default_rng(seed)
+    corner, size = rng.integers(0, 1000, (2, n)), rng.integers(20, 80, (2, n))
+    truth = np.concatenate([corner, corner + size]).astype(float)
+    return rng.permutation(n), truth, truth[:, rng.integers(0, n, n)] + rng.integers(-8, 9, (4, n))
+
+
+def greedy(ids, truth, found, threshold):
+    taken, out = np.zeros(len(ids), bool), []
+    for box in found.T:
+        w, h = (np.maximum(np.minimum(box[k + 2], truth[k + 2]) - np.maximum(box[k], truth[k]), 0) for k in (0, 1))
+        area = (truth[2] - truth[0]) * (truth[3] - truth[1])
+        value = np.where(taken, -1, w * h / ((box[2] - box[0]) * (box[3] - box[1]) + area - w * h))
+        best = min(np.flatnonzero(value == value.max()), key=lambda k: ids[k])
+        out.append(int(value[best] >= threshold))
+        taken[best] |= bool(out[-1])
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.4, 0.7, 0.95])
+@pytest.mark.parametrize("n", [7, 2000])
+def test_crowd_is_matched_as_box_by_box(threshold, n):
+    ids, truth, found = pile(n)
+    found[2:] = np.maximum(found[2:], found[:2] + 1)
+    assert assignment._Crowd(ids, truth, threshold).hits(found).tolist() == greedy(ids, truth, found, threshold)
+
+
+def test_copies_of_a_box_are_taken_by_id():
+    """More equal options than are kept for a detection."""
+    ids, truth = np.arange(500)[::-1].copy(), np.tile([[0.0], [0.0], [9.0], [9.0]], 500)
+    assert assignment._Crowd(ids, truth, 0.5).hits(np.tile([[0.0], [0.0], [9.0], [9.0]], 600)).tolist() == [1] * 500 + [0] * 100
+
+
+def test_what_a_detection_looks_at_grows_less_than_the_crowd():
+    looked = []
+    for n in (4_000, 64_000):
+        ids, truth, found = pile(n)
+        crowd = assignment._Crowd(ids, truth, 0.4)
+        crowd.hits(found)
+        looked.append(crowd.looked_at / n)
+    assert looked[1] < 8 * looked[0]  # 16 times before, as there are 16 times the boxes around

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlake import schemas
-from boxlake.operators import assignment, suppression
+from boxlake.operators import assignment, selection, suppression
+from boxlake.sources import shared
 from boxlake.sources.shared import written_in_buckets
 
 
@@ -118,3 +119,27 @@ def test_what_a_detection_looks_at_grows_less_than_the_crowd():
         crowd.hits(found)
         looked.append(crowd.looked_at / n)
     assert looked[1] < 8 * looked[0]  # 16 times before, as there are 16 times the boxes around
+
+
+def test_match_rows_of_tables_in_buckets(spark, monkeypatch):
+    """The rows are those of tables without buckets, and nothing that is paired is dealt out again."""
+    d = piled(spark)
+    box = lambda k: (7 * k % 50 + 3, 5 * k % 40, 7 * k % 50 + 63, 5 * k % 40 + 60)
+    g = spark.createDataFrame([(k, k % 30, f"i{k % 30}.jpg", 1000, 1000, k % 2, *box(k)) for k in range(400)], schemas.GROUND_TRUTH)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    whole = lambda df: written_in_buckets(df.repartition(n, "image_id"), "image_id", n)
+    dealt_d, dealt_g = whole(d), whole(g)
+    plans, made = [], selection.written
+
+    def seen(df, together=False):
+        with shared._set(spark, **{shared._ALL_KEYS: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            plans.append(df.select("*")._jdf.queryExecution().executedPlan().toString())
+        return made(df, together)
+
+    monkeypatch.setattr(selection, "written", seen)
+    found = selection.match_rows(dealt_d, dealt_g)
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect())
+    rows = key(found)
+    # the pairs were written, and pairs, rows and precision dealt out by more than the image; the union of matches still is dealt out by image
+    assert len(plans) == 1 and "pred_det_id" in plans[0] and plans[0].count("Exchange hashpartitioning") <= 1
+    assert rows == key(selection.match_rows(d, g)) != []
